@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 DICTIONARY, SHARE = 112 * 1024, 2048
 #: A text is encoded in blocks of so many bytes, so that the dictionary has a say in all of it.
 BLOCK = 2048
-LEVEL = 3
+#: The match finder of every compressor: short matches matter more than speed here.
+_FINDER = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
+#: Texts below this many bytes follow a stretch of the language's own sample, so that they
+#: share its letter statistics; alone they would be stored as they are by every compressor.
+SHORT, LEAD = 512, 1024
 #: Rejected: the second-best language costs less than this part more.
 MARGIN = 0.004
 UNDETERMINED = "und"
@@ -31,7 +35,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
     The sample holds, for each language, the text of the lowest content hash in each of
     DICTIONARY / 256 hash slots, and takes them in the order of that hash until DICTIONARY
-    bytes are met, at most SHARE bytes of each; it doesn't depend on the order of rows. Null languages and texts teach nothing.
+    bytes are met, at most SHARE bytes of each, in lower case; it doesn't depend on the order of rows. Languages with
+    more rows come first. Null languages and texts teach nothing.
     """
     slots = DICTIONARY // 256
     slim = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
@@ -39,12 +44,14 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     )
     slim = slim.withColumn("slot", F.pmod("h", F.lit(slots)))
     # The lowest hash of each slot, reduced on the map side whatever a language's share of the rows.
-    lowest = slim.groupBy("k", "slot").agg(F.min("h").alias("h"))
+    lowest = slim.groupBy("k", "slot").agg(F.min("h").alias("h"), F.count("*").alias("n"))
     rows = slim.join(lowest, ["k", "slot", "h"]).dropDuplicates(["k", "slot"])
     out: dict[str, bytes] = {}
     texts: dict[str, list[tuple[int, str]]] = {}
+    rows_of: dict[str, int] = {}
     for row in rows.toLocalIterator():
-        texts.setdefault(row.k, []).append((row.h, row.t))
+        texts.setdefault(row.k, []).append((row.h, row.t.lower()))
+        rows_of[row.k] = rows_of.get(row.k, 0) + row.n
     for lang, found in texts.items():
         joined = bytearray()
         for _, t in sorted(found):
@@ -52,26 +59,41 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
             if len(joined) >= DICTIONARY:
                 break
         out[lang] = bytes(joined[:DICTIONARY])
-    return dict(sorted(out.items()))
+    return dict(sorted(out.items(), key=lambda x: (-rows_of[x[0]], x[0])))
 
 
-def classify(texts: pa.Array, models: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+class Model:
+    """One language's compressor."""
+
+    def __init__(self, lang: str, raw: bytes):
+        self.lang = lang
+        params = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **_FINDER)
+        self.lead, rest = (raw[-LEAD:], raw[:-LEAD]) if len(raw) > 2 * LEAD else (raw[len(raw) // 2 :], raw[: len(raw) // 2])
+        content = zstandard.ZstdCompressionDict(rest.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(compression_params=params)
+        self._compress = zstandard.ZstdCompressor(compression_params=params, dict_data=content).compress
+        self._own = len(self._compress(self.lead))
+
+    def cost(self, text: bytes) -> int:
+        """Compressed bytes of a whole text, block by block."""
+        if len(text) < SHORT:
+            return len(self._compress(self.lead + text)) - self._own
+        return sum(len(self._compress(text[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
+
+
+def classify(texts: pa.Array, models: list[Model]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score (0 to 1) and rejection of each text."""
     lang, score, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
     for i, text in enumerate(texts.to_pylist()):
         if not models or text is None or not any(map(str.isalpha, text)):
             lang.append(UNDETERMINED)
             continue
-        raw = text.encode()
-        costs = [0] * len(models)
-        for at in range(0, len(raw), BLOCK):
-            part = raw[at : at + BLOCK]
-            for k, (_, model) in enumerate(models):
-                costs[k] += len(model.compress(part))
+        raw = text.lower().encode()
+        costs = [model.cost(raw) for model in models]
         best, second = sorted(costs)[:2] if len(costs) > 1 else (costs[0], costs[0] * 2)
-        margin = (second - best) / second
-        lang.append(models[costs.index(best)][0])
-        score[i] = min(1.0, margin / (10 * MARGIN))
+        margin = (second - best) / max(second, 1)
+        lang.append(models[costs.index(best)].lang)
+        score[i] = min(1.0, max(0.0, margin) / (10 * MARGIN))
         rejected[i] = margin < MARGIN
     return lang, score, rejected
 
@@ -80,17 +102,13 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     """One row per row of ``docs``: the id, ``lang_pred``, ``score`` and ``rejected``.
 
     ``und`` (score 0, rejected) for null texts, texts without a letter, and where nothing was
-    learned. Ties go to the first language by name. Map-only; whole texts in blocks.
+    learned. Ties go to the language with more learned rows, then by name. Map-only; whole texts in blocks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = []
-        for lang, raw in shared.value.items():
-            model = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            model.precompute_compress(level=LEVEL)
-            models.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=model, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        models = [Model(lang, raw) for lang, raw in shared.value.items()]
         for batch in batches:
             lang, score, rejected = classify(batch.column(1), models)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])

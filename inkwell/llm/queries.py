@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import language, quality, secrets
+from inkwell.llm import language, mixing, quality, secrets, tokens
+from inkwell.scratch import Scratch
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = Scratch(spark, "tokens").path
+    return tokens.read(tokens.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_documents(spark, sf_dir))
     base_failed = ~quality.apply_policy(rows, "base")
@@ -33,6 +45,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_frames": op1_token_frames,
+    "op3_mix_sources": op3_mix_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_language_id": op9_language_id,
@@ -41,6 +55,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op3_mix_sources": rf"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+                          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+        c AS (SELECT *, (r - 1) % 3 + 1 AS w, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+        l AS (SELECT *, cap / w AS room, row_number() OVER o AS k,
+                     (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                     / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+              FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+        t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT arg_min(level, k) FROM l WHERE level <= room) * w) AS target FROM l),
+        u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+        b AS (SELECT *, target - copies * source_size AS budget FROM u),
+        x AS (SELECT d.*, b.source_size, b.target, b.copies, b.budget,
+                     sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS m
+              FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, target,
+               (size * (copies + CASE WHEN upto <= budget OR (upto - m <= budget AND upto - budget < budget - (upto - m)) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM x""",
     "op7_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
         p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d),
