@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import language, mixing, quality, secrets, tokens
+from inkwell.llm import decontaminate, language, mixing, ngram_join, quality, secrets, tokens
 from inkwell.scratch import Scratch
 
 
@@ -22,10 +22,19 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, sf_dir)).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_documents(spark, sf_dir))
     base_failed = ~quality.apply_policy(rows, "base")
@@ -46,7 +55,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op5_ngram_join": op5_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_language_id": op9_language_id,

@@ -30,8 +30,8 @@ from inkwell.scratch import Scratch, parallelism
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Most bytes of ids in a frame; a longer document takes several frames.
 FRAME = 1 << 22
-#: Most words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, WORD = 300_000, 64
+#: Words of a generation that a worker remembers (it keeps two), and the longest of them in bytes.
+REMEMBERED, WORD = 250_000, 64
 
 
 class Encoder:
@@ -47,7 +47,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
-        self.end, self.whole, self.known = np.array([end_id], self.width).tobytes(), whole, {}
+        self.end, self.whole, self.known, self.older = np.array([end_id], self.width).tobytes(), whole, {}, {}
+
+        probe = [e.ids for e in self.tokenizer.encode_batch(["ABC XYZ", "abc xyz"], add_special_tokens=False)]
+        self.folds = probe[0] == probe[1]  # ASCII case is lost anyway: fewer words to remember
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,17 +70,22 @@ class Encoder:
                     yield ids + self.end
                 continue
             data = raw.tobytes()
+            if self.folds and b"<|" not in data:  # special tokens are matched before letters are folded
+                data = data.lower()
             split = [data[at[k] : at[k + 1]].split() for k in range(j - i)]
             if len(self.known) > REMEMBERED:
-                self.known = {}
-            new = list(set().union(*split).difference(self.known))
-            here = dict(zip(new, self._words([w.decode() for w in new]), strict=True)) if new else {}
-            long = {w: here[w] for w in new if len(w) > WORD}
-            self.known.update(here)
+                self.known, self.older = {}, self.known
+            new = set().union(*split).difference(self.known)
+            again = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            new = list(new - again)
+            if new:
+                self.known.update(zip(new, self._words([w.decode() for w in new]), strict=True))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words)) + self.end
-            for w in long:
-                del self.known[w]
+            for w in new:
+                if len(w) > WORD:
+                    del self.known[w]
 
 
 class Writer:
