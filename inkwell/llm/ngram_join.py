@@ -112,11 +112,11 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
 
     # Texts of equal sets: one node, reached again through one of its rows.
     groups = found.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("id").alias("copy_id"))
-    nodes = groups.join(found.select("row", "id", "h", "size", "keys"), "row").select(F.col("row").alias("node"), "k1", "k2", "copies", "copy_id", "id", "h", "size", "keys")
+    nodes = groups.hint("merge").join(found.select("row", "id", "h", "size", "keys"), "row").select(F.col("row").alias("node"), "k1", "k2", "copies", "copy_id", "id", "h", "size", "keys")
     nodes = scratch.table(nodes, "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = scratch.table(banded.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
+    ties = scratch.table(banded.join(hubs.hint("merge"), "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
     bunches = graph.components(ties, scratch, "bunch")
 
     # Tiles: a bunch is cut into chunks, and each pair of chunks meets in one group.
@@ -124,7 +124,8 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     shape = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS)).cast("int").alias("chunks"))
     placed = members.join(shape, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = slim.select(F.col("id").alias("doc"), "h", "text")
-    placed = placed.withColumnRenamed("h", "hash").join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("h")))
+    # A merge join at every size: what small runs shuffle is in proportion to what large ones do.
+    placed = placed.withColumnRenamed("h", "hash").hint("merge").join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("h")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("i"), F.greatest(c, "chunk").alias("j"))))
     tiles = placed.select("root", "node", "copies", "chunk", "text", pair.alias("t")).select("root", "t.i", "t.j", "chunk", "node", "copies", "text")
     tiles = tiles.repartition(parallelism(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
@@ -144,7 +145,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     known = scratch.table(known.withColumn("root", F.coalesce("root", "node")), "known")
     named = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     facts = known.join(named, "root").select("k1", "k2", "copy_id", "class_id", F.col("root").alias("class_row"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    full = found.where("size > 0").select("id", "row", "k1", "k2").join(scratch.table(facts, "facts"), ["k1", "k2"])
+    full = found.where("size > 0").select("id", "row", "k1", "k2").join(scratch.table(facts, "facts").hint("merge"), ["k1", "k2"])
     alone = found.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("class_row"))
     return full.select(*alone.columns).unionByName(alone).withColumnRenamed("id", id_col)
 
