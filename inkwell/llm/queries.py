@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, language, mixing, ngram_join, quality, secrets, substring_dedup, suffix_dedup, tokens
+from inkwell.llm import decontaminate, language, mixing, ngram_join, pages, quality, secrets, substring_dedup, suffix_dedup, tokens
 from inkwell.scratch import Scratch
 
 
@@ -62,6 +62,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_ownership": op8_secret_ownership,
     "op9_language_id": op9_language_id,
+    "op10_page_text": op10_page_text,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
