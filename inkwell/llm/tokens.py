@@ -8,8 +8,11 @@ the file and decompresses only the frames of the documents it was asked for.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,7 +34,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Most bytes of ids in a frame; a longer document takes several frames.
 FRAME = 1 << 22
 #: Words of a generation that a worker remembers (it keeps two), and the longest of them in bytes.
-REMEMBERED, WORD = 250_000, 64
+REMEMBERED, WORD = 300_000, 64
 
 
 class Encoder:
@@ -51,16 +54,52 @@ class Encoder:
 
         probe = [e.ids for e in self.tokenizer.encode_batch(["ABC XYZ", "abc xyz"], add_special_tokens=False)]
         self.folds = probe[0] == probe[1]  # ASCII case is lost anyway: fewer words to remember
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, new: list[str]) -> list[bytes]:
-        """The ids of each word: one call for all of them, cut where the word changes."""
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        size = self.width.itemsize
-        ids, ends = np.array(found.ids, self.width).tobytes(), (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), "right") * size).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.bare = self._bare(path) if self.folds else None
+        self.tails: dict[str, bytes] = {}
+
+    @staticmethod
+    def _bare(path: str):
+        """The tokenizer without what does nothing to a lower-case word of letters, or None.
+
+        That is so where the normalizer only composes, folds case and white space, and the
+        pre-tokenizer keeps runs of letters whole and apart from runs of marks.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        found = Tokenizer.from_file(path)
+        setup = json.loads(found.to_str())
+        kinds = [x["type"] for x in (setup["normalizer"] or {}).get("normalizers", [])]
+        steps = (setup["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = "".join(x["pattern"].get("Regex", "") for x in steps if x["type"] == "Split")
+        if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+            return None
+        found.normalizer = None
+        found.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return found
+
+    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word; a word of letters and the marks behind it are encoded apart."""
+        rest, split, cores = [], [], set()
+        for word in new:
+            text = word.decode()
+            core = text.rstrip(".,!?;:") if self.bare else ""
+            if core and core.isalpha() and core.islower() and (core.isascii() or unicodedata.is_normalized("NFC", text)):
+                split.append((word, core.encode(), text[len(core) :]))
+                cores.add(split[-1][1])
+            else:
+                rest.append(word)
+        out = dict(zip(rest, self._encode([w.decode() for w in rest]), strict=True))
+        cores = {c: self.known.get(c) or self.older.get(c) for c in cores}
+        unknown = [c for c, ids in cores.items() if ids is None]
+        cores.update(zip(unknown, self._encode([c.decode() for c in unknown], self.bare), strict=True))
+        for tail in {x[2] for x in split}.difference(self.tails):
+            self.tails[tail] = self._encode([tail])[0] if tail else b""
+        for word, core, tail in split:
+            out[word] = cores[core] + self.tails[tail]
+        return out
 
     def documents(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text with the end id, as bytes of ``width``; null counts as empty."""
@@ -73,6 +112,8 @@ class Encoder:
             if self.folds and b"<|" not in data:  # special tokens are matched before letters are folded
                 data = data.lower()
             split = [data[at[k] : at[k + 1]].split() for k in range(j - i)]
+            if len(self.tails) > REMEMBERED:
+                self.tails = {}
             if len(self.known) > REMEMBERED:
                 self.known, self.older = {}, self.known
             new = set().union(*split).difference(self.known)
@@ -80,7 +121,7 @@ class Encoder:
             self.known.update((w, self.older[w]) for w in again)
             new = list(new - again)
             if new:
-                self.known.update(zip(new, self._words([w.decode() for w in new]), strict=True))
+                self.known.update(self._words(new))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words)) + self.end
             for w in new:
@@ -88,6 +129,12 @@ class Encoder:
                     del self.known[w]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int, whole: bool) -> Encoder:
+    """One encoder for all tasks of a worker: it keeps the words that it has seen."""
+    return Encoder(path, end_id, whole)
+
+
 class Writer:
     """One file, document by document."""
 
@@ -186,7 +233,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, whole: bool
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer, end_id, whole)
+                encoder = _encoder(tokenizer, end_id, whole)
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(f"{top}/{name}", compression=None)
                 writer = Writer(out, encoder.width)
