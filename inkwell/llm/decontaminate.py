@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import vec
+from inkwell.scratch import bounded_batches
 
 #: Shortest tile in tokens (shorter items: the whole item), and the covered part of an item
 #: from which a document counts as contaminated.
@@ -135,6 +136,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
     reported as they are; repeated rows and items are matched each on their own; an empty
     benchmark or table gives no rows. Map-only over ``docs``, once per benchmark block.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {item_kind}, coverage double, n_tiles long, longest long, tiles array<struct<doc_token:long,item_token:long,length:long>>"
@@ -163,6 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
 
 def clean(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates; see ``find``."""
+    bounded_batches(docs.sparkSession)
     for _, texts in _blocks(benchmark, item_col, item_text_col, tile_size):
         shared = docs.sparkSession.sparkContext.broadcast(texts)
         at = docs.columns.index(text_col)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from inkwell.scratch import bounded_batches
 
 #: Bytes of the dictionary of one language, and of one text's share in it; together they
 #: bound what training gathers on the driver.
@@ -105,6 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     learned. Ties go to the language with more learned rows, then by name. Map-only; whole texts in blocks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +119,20 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     return slim.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
+def known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not rejected; see ``identify``."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Model(lang, raw) for lang, raw in shared.value.items()]
+        for batch in batches:
+            yield batch.filter(pa.array(~classify(batch.column(at), models)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows to learn from: crc32 of the id as text, modulo 3, is not 1."""
     return docs.where(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1)

@@ -41,29 +41,23 @@ def plan_targets(sources: DataFrame, share: float = 1.0) -> DataFrame:
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("key", "source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, copies and taken.
+def _hash(seed: str, id_col: str):
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
-    Size is the number of words of the whole text (null: 0). Each document is taken
-    floor(target / source size) times, and once more below its source's hash threshold; the
-    document at the threshold goes to the nearer side. A null source is a source; null ids
-    share one hash and repeated ids theirs, and rows of one hash are taken or left together;
-    an empty table gives no rows; columns in ``keep`` are carried, others are not.
-    """
-    scratch = Scratch(docs.sparkSession, "mix")
-    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, BITS // 4), 16, 10).cast("long")
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"),
-    )
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = scratch.table(rows.withColumn("key", key), "sizes")
 
+def _key(source_col: str):
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+
+
+def thresholds(docs: DataFrame, scratch: Scratch, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes (id, key, size, h) and each source's plan (key, source_size, target, copies, threshold)."""
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _hash(seed, id_col).alias("h"), _key(source_col).alias("key"))
+    rows = scratch.table(rows, "sizes")
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     plan = scratch.table(plan_targets(sources), "targets")
-    few = plan.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda x: x)
+    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = plan.select("key", base.alias("copies"), (F.col("target") - base * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
 
@@ -79,11 +73,34 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     inside = slim.withColumn("prefix", F.shiftright("h", BITS - LEVEL_BITS * LEVELS)).join(small(state.select("key", "prefix")), ["key", "prefix"], "left_semi")
     counts = inside.groupBy("key", F.col("h").alias("bucket")).agg(F.sum("size").alias("m")).withColumn("upto", F.sum("m").over(running))
     state = _boundary(state, counts, last=True)
-    plan = scratch.table(plan.join(state.select("key", "copies", "threshold"), "key"), "thresholds")
+    plan = plan.join(state.select("key", "copies", "threshold"), "key").select("key", "source_size", "target", "copies", "threshold")
+    return rows, small(scratch.table(plan, "thresholds"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, copies and taken.
+
+    Size is the number of words of the whole text (null: 0). Each document is taken
+    floor(target / source size) times, and once more below its source's hash threshold; the
+    document at the threshold goes to the nearer side. A null source is a source; null ids
+    share one hash and repeated ids theirs, and rows of one hash are taken or left together;
+    an empty table gives no rows; other columns are not carried.
+    """
+    rows, plan = thresholds(docs, Scratch(docs.sparkSession, "mix"), seed, id_col, text_col, source_col)
     copies = F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    out = rows.join(small(plan.drop("source", "weight")), "key").withColumn("copies", copies)
-    carried = [F.col(f"kept.`{c}`").alias(c) for c in keep]
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carried)
+    out = rows.join(plan, "key").withColumn("copies", copies)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as many times as it is taken; see ``mix``."""
+    _, plan = thresholds(docs, Scratch(docs.sparkSession, "mixed"), seed, id_col, text_col, source_col)
+    plan = plan.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
+    tagged = docs.withColumn("__mine", _key(source_col)).withColumn("__h", _hash(seed, id_col))
+    joined = tagged.join(plan, F.col("__mine") == F.col("__key"))
+    copies = F.col("__copies") + F.when(F.col("__h") < F.col("__threshold"), 1).otherwise(0)
+    times = F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("__time")
+    return joined.select(*docs.columns, times).select(*docs.columns)
 
 
 def _boundary(state: DataFrame, counts: DataFrame, last: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ from inkwell.llm import graph, vec
 from inkwell.scratch import Scratch, parallelism
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
+WORD = r"[^\x20\x09-\x0D]"
 #: Most hash functions, and most texts and words of one side of a tile.
 HASHES, TILE_TEXTS, TILE_WORDS = 160, 128, 400_000
 _COLUMNS = 4096
@@ -82,15 +83,15 @@ def signatures(texts: pa.Array, k: int, bands: int, rows: int) -> Iterator[tuple
 
 
 def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, class_id, copy_id, n_links, row.
-
-    class_id is the least id of the texts that hang together by links (Jaccard of their sets
-    of k-grams of words at or over the threshold), copy_id the least id among equal sets,
-    n_links the number of other rows linked to this one, copies included; ``class_row`` is the
-    least row number of the class, so exactly one row of a class has row == class_row. A null, empty
-    or blank text has no set: it links to nothing and is a class of its own. Texts of fewer
-    than k words have one gram of all their words. Ids may be null or repeated (classes are
-    told apart by ``class_row``); other columns are not carried; an empty table gives no rows.
+    """One row per row of ``docs``: id, class_id, copy_id, n_links, h, class_row, stays.
+
+    A class is what hangs together by links: Jaccard of the sets of k-grams of words at or
+    over the threshold. class_id is its least id (null last, then by content hash ``h``) and
+    ``stays`` marks the row with that id and hash; copy_id is the least id among equal sets;
+    n_links counts the other rows linked to this one, copies included; class_row tells classes
+    apart. A null, empty or blank text has no set: it links to nothing and is a class of its
+    own. Texts of fewer than k words have one gram of all their words. Ids may be null or
+    repeated; other columns are not carried; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
@@ -111,8 +112,9 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     # Texts of equal sets: one node, reached again through one of its rows.
-    groups = found.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("id").alias("copy_id"))
-    nodes = groups.hint("merge").join(found.select("row", "id", "h", "size", "keys"), "row").select(F.col("row").alias("node"), "k1", "k2", "copies", "copy_id", "id", "h", "size", "keys")
+    groups = found.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "row")).alias("rep"))
+    groups = groups.select("k1", "k2", "copies", F.col("rep.row").alias("row"))
+    nodes = groups.hint("merge").join(found.select("row", "id", "h", "size", "keys"), "row").withColumnRenamed("row", "node")
     nodes = scratch.table(nodes, "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -141,13 +143,30 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     scratch.drop("ties", "members", "bunch_edges")
     classes = graph.components(links.where("a != b").select("a", "b"), scratch, "class")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "k1", "k2", "copies", "copy_id").join(classes, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
+    known = nodes.select("node", "k1", "k2", "copies", "id", "h").join(classes, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
     known = scratch.table(known.withColumn("root", F.coalesce("root", "node")), "known")
-    named = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = known.join(named, "root").select("k1", "k2", "copy_id", "class_id", F.col("root").alias("class_row"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    full = found.where("size > 0").select("id", "row", "k1", "k2").join(scratch.table(facts, "facts").hint("merge"), ["k1", "k2"])
-    alone = found.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("class_row"))
-    return full.select(*alone.columns).unionByName(alone).withColumnRenamed("id", id_col)
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    facts = known.join(first, "root").select("k1", "k2", F.col("root").alias("class_row"), F.col("id").alias("copy_id"), F.col("first.id").alias("class_id"), F.col("first.h").alias("class_h"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    full = found.where("size > 0").select("id", "h", "row", "k1", "k2").join(scratch.table(facts, "facts").hint("merge"), ["k1", "k2"])
+    stays = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
+    full = full.select("id", "class_id", "copy_id", "n_links", "h", "class_row", stays.alias("stays"))
+    alone = found.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "h", F.col("row").alias("class_row"), F.lit(True).alias("stays"))
+    return full.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each class: the one of the least id.
+
+    Rows that repeat both id and text are one document. Texts without a word all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    chosen = scratch.table(join(docs, k, threshold, recall, id_col, text_col).where("stays").select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).groupBy("__id", "__h").agg(F.count("*").alias("__n")), "chosen")
+    hashed = docs.withColumn("__h2", F.xxhash64(F.col(text_col).cast("string")))
+    kept = hashed.join(chosen.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
+    if not chosen.where("__n > 1").isEmpty():
+        again = (F.col("__n") > 1) & F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+        kept = kept.where(~again).unionByName(kept.where(again).dropDuplicates(["__id", "__h"]))
+    return kept.select(*docs.columns)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:

@@ -9,6 +9,7 @@ leaves and are dropped, and the internal nodes at the window's depth are the rep
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwell.llm import repeats, vec
@@ -47,5 +48,5 @@ def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: st
         return len(words), len(words) - len(kept), [{"start": int(a), "end": int(b)} for a, b in zip(*vec.runs(gone), strict=True)], b" ".join(kept).decode()
 
     corpus = repeats.Corpus(docs, window, repeats.word_units, find, keep == "first", id_col, text_col, "subtrees")
-    out = corpus.rewritten(finish, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", ["n_words", "n_removed", "spans", "kept"])
+    out = corpus.rewritten(finish, "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string", ["n_words", "n_removed", "spans", "kept"], pa.string())
     return out.withColumnRenamed("id", id_col)

@@ -10,6 +10,7 @@ has an earlier match, keeping none removes what has either.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: st
         return len(raw), len(raw) - len(kept), [{"start": int(a), "end": int(b)} for a, b in zip(*vec.runs(gone), strict=True)], kept
 
     corpus = repeats.Corpus(docs, window, repeats.byte_units, find, keep == "first", id_col, text_col, "suffixes")
-    out = corpus.rewritten(finish, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", ["n_bytes", "n_removed", "spans", "kept"])
+    out = corpus.rewritten(finish, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", ["n_bytes", "n_removed", "spans", "kept"], pa.binary())
     return out.withColumnRenamed("id", id_col)
 
 

@@ -46,7 +46,7 @@ def test_join_equals_brute_force(spark, monkeypatch, tile):
     links, root = brute_links([r[1] for r in data])
     assert {i: got[i].n_links for i in got} == {i: links[i] for i in range(len(data))}
     assert same_partition([got[i].class_id for i in range(len(data))], root)
-    keep = [r for r in got.values() if r.row == r.class_row]
+    keep = [r for r in got.values() if r.stays]
     assert len(keep) == len(set(root))
 
 
