@@ -8,3 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _load() -> None:
+    from inkwell.plans import search_queries
+
+    for module in (search_queries,):
+        QUERIES.update(module.QUERIES)
+        ORACLES.update(module.ORACLES)
+
+
+_load()

@@ -1 +1 @@
-
+"""Scans of digests, pages, captions and event streams."""

@@ -1 +1 @@
-
+"""Incremental runs."""
