@@ -51,7 +51,7 @@ def ordered_dimensions(text: Column) -> Column:
 
 def strict_date(value: Column) -> Column:
     """The text is a real YYYY-MM-DD date."""
-    return value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.coalesce(F.date_format(F.try_to_date(value, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == value, F.lit(False))
+    return value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.coalesce(F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "yyyy-MM-dd") == value, F.lit(False))
 
 
 def source_url(value: Column) -> Column:

@@ -111,7 +111,9 @@ def batches(entries: DataFrame, items: int = 10, characters: int = 100_000) -> D
     The fold runs inside one array a publisher; an entry that is too long is a batch by itself.
     """
     one = F.struct(F.col("archive_index"), F.col("id"), F.col("source_characters").cast("long").alias("size"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:string,batch:bigint>>").alias("out"))
+    kind = dict(entries.dtypes)["id"]
+    state = f"struct<batch:bigint,n:int,used:bigint,out:array<struct<id:{kind},batch:bigint>>>"
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().alias("out")).cast(state)
 
     def step(acc, x):
         fresh = (acc.n == 0) | (acc.n >= items) | (acc.used + x["size"] > characters)
@@ -119,7 +121,7 @@ def batches(entries: DataFrame, items: int = 10, characters: int = 100_000) -> D
         return F.struct(
             number.alias("batch"), F.when(fresh, 1).otherwise(acc.n + 1).alias("n"), F.when(fresh, x["size"]).otherwise(acc.used + x["size"]).alias("used"),
             F.concat(acc.out, F.array(F.struct(x["id"].alias("id"), number.alias("batch")))).alias("out"),
-        )
+        ).cast(state)
 
     rows = entries.groupBy("publisher").agg(F.array_sort(F.collect_list(one)).alias("rows"))
     return rows.select("publisher", F.inline(F.aggregate("rows", start, step).out))
