@@ -15,7 +15,9 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Most bytes of ids in a frame; a longer document takes several frames.
 FRAME = 1 << 22
 #: Words of a generation that a worker remembers (it keeps two), and the longest of them in bytes.
-REMEMBERED, WORD = 300_000, 64
+REMEMBERED, WORD = 600_000, 64
+#: Marks that a tokenizer keeps apart from the letters before them.
+MARKS = ".,!?;:"
 
 
 class Encoder:
@@ -78,28 +82,25 @@ class Encoder:
         return found
 
     def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.width.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each word; a word of letters and the marks behind it are encoded apart."""
-        rest, split, cores = [], [], set()
-        for word in new:
-            text = word.decode()
-            core = text.rstrip(".,!?;:") if self.bare else ""
-            if core and core.isalpha() and core.islower() and (core.isascii() or unicodedata.is_normalized("NFC", text)):
-                split.append((word, core.encode(), text[len(core) :]))
-                cores.add(split[-1][1])
-            else:
-                rest.append(word)
-        out = dict(zip(rest, self._encode([w.decode() for w in rest]), strict=True))
-        cores = {c: self.known.get(c) or self.older.get(c) for c in cores}
-        unknown = [c for c, ids in cores.items() if ids is None]
-        cores.update(zip(unknown, self._encode([c.decode() for c in unknown], self.bare), strict=True))
-        for tail in {x[2] for x in split}.difference(self.tails):
-            self.tails[tail] = self._encode([tail])[0] if tail else b""
-        for word, core, tail in split:
-            out[word] = cores[core] + self.tails[tail]
-        return out
+        """The ids of each word; a lower-case word of letters and the marks behind it are encoded apart."""
+        joined = b"\n".join(new).decode()
+        texts = joined.split("\n")
+        if self.bare is None or not unicodedata.is_normalized("NFC", joined):
+            return dict(zip(new, self._encode(texts), strict=True))
+        cores = [t.rstrip(MARKS) for t in texts]
+        easy = [c.isalpha() and c.islower() for c in cores]
+        letters = list(dict.fromkeys(compress(cores, easy)))
+        known = dict(zip(letters, self._encode(letters, self.bare), strict=True))
+        hard = [t for t, x in zip(texts, easy, strict=True) if not x]
+        known_hard = iter(self._encode(hard))
+        tails = [t[len(c) :] for t, c in zip(texts, cores, strict=True)]
+        marks = list(set(compress(tails, easy)))
+        of_marks = dict(zip(marks, self._encode(marks), strict=True))
+        return {w: known[c] + of_marks[m] if x else next(known_hard) for w, c, m, x in zip(new, cores, tails, easy, strict=True)}
 
     def documents(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text with the end id, as bytes of ``width``; null counts as empty."""
@@ -112,21 +113,24 @@ class Encoder:
             if self.folds and b"<|" not in data:  # special tokens are matched before letters are folded
                 data = data.lower()
             split = [data[at[k] : at[k + 1]].split() for k in range(j - i)]
-            if len(self.tails) > REMEMBERED:
-                self.tails = {}
             if len(self.known) > REMEMBERED:
                 self.known, self.older = {}, self.known
-            new = set().union(*split).difference(self.known)
+            known = self.known
+            found = [list(map(known.get, words)) for words in split]
+            holes = [[k for k, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+            new = {words[k] for words, gaps in zip(split, holes, strict=True) for k in gaps}
             again = new.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in again)
+            known.update((w, self.older[w]) for w in again)
             new = list(new - again)
             if new:
-                self.known.update(self._words(new))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words)) + self.end
+                known.update(self._words(new))
+            for words, row, gaps in zip(split, found, holes, strict=True):
+                for k in gaps:
+                    row[k] = known[words[k]]
+                yield b"".join(row) + self.end
             for w in new:
                 if len(w) > WORD:
-                    del self.known[w]
+                    del known[w]
 
 
 @functools.lru_cache(maxsize=1)
