@@ -1,0 +1,206 @@
+"""HTML digests: cards of many layouts into one record model; page extraction to Markdown.
+
+A layout is data: selectors by field. The parser builds a small tree, so that a card's parts
+are found by class, attribute or heading whatever their order.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+@dataclass
+class Node:
+    tag: str
+    attrs: dict[str, str]
+    parent: Node | None = None
+    children: list = field(default_factory=list)
+
+    def text(self, without: str = "") -> str:
+        skip = set(without.split(","))
+        parts = [c if isinstance(c, str) else "" if c.tag in skip or skip & set(c.attrs.get("class", "").split()) else c.text(without) for c in self.children]
+        return re.sub(r"\s+", " ", " ".join(parts).replace(" ", " ")).strip()
+
+    def all(self) -> Iterator[Node]:
+        for c in self.children:
+            if isinstance(c, Node):
+                yield c
+                yield from c.all()
+
+    def matches(self, simple: str) -> bool:
+        m = re.fullmatch(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)", simple)
+        if m[1] and m[1] != self.tag or not set(m[2].split(".")[1:]) <= set(self.attrs.get("class", "").split()):
+            return False
+        return all((x[0] in self.attrs) and (not x[1] or self.attrs[x[0]] == x[1].strip('"')) for x in (a.split("=", 1) + [""] for a in re.findall(r"\[([^\]]+)\]", m[3])))
+
+    def find(self, selector: str) -> list[Node]:
+        """Nodes by ``a b, c``: descendants, in order; alternatives by comma."""
+        out: list[Node] = []
+        for choice in selector.split(","):
+            found = [self]
+            for simple in choice.split():
+                found = list(dict.fromkeys(id(n) and n for f in found for n in f.all() if n.matches(simple)))
+            out += found
+        return out
+
+    def __hash__(self) -> int:
+        return id(self)
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("#root", {})
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node and node.tag != tag:
+            node = node.parent
+        if node and node.parent:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def tree(html: str) -> Node:
+    builder = _Builder()
+    builder.feed(html or "")
+    return builder.root
+
+
+#: Layouts: the card, and for each field the places to look in turn. ``@x`` is an attribute of
+#: the card, ``heading:pattern`` the first paragraph of the section below such a heading.
+LAYOUTS = {
+    "outline": {
+        "card": "article.article-card", "id": ["@id"], "title_original": ["h3"], "title_zh": [".translated-title"], "published_at": [".date"], "score": [".score"], "priority": ["@data-priority", ".priority"],
+        "category": ["@data-categories"], "confidence": [".confidence"], "core_zh": ["heading:核心观点"], "evidence": ["heading:关键证据"], "impact": ["heading:^影响面$"],
+    },
+    "bilingual": {
+        "card": "article.analysis-card", "id": ["@data-radar-id", "@id"], "title_original": [".original-title", "h3 [data-lang-content=en]"], "title_zh": ["h3 [data-lang-content=zh]", "h3"], "published_at": [".eyebrow"],
+        "score": ["@data-score"], "priority": ["@data-priority"], "category": ["@data-category"], "confidence": [".chips", ".confidence"], "core_zh": [".take [data-lang-content=zh]"], "evidence": ["heading:关键证据|Key evidence"], "impact": ["heading:影响范围|Impact"],
+    },
+    "scoreline": {
+        "card": "article.article-card", "id": ["@data-radar-id", "@id"], "title_original": [".original-title", ".source-title"], "title_zh": ["h3 [data-lang-content=zh]", "h3"], "published_at": [".eyebrow", "footer span"],
+        "score": ["@data-score"], "priority": ["@data-priority"], "category": ["@data-category"], "confidence": [".scoreline", "p.confidence", ".confidence"], "core_zh": [".core [data-lang-content=zh]", "heading:核心观点"], "evidence": ["heading:关键证据|Key evidence", ".evidence"], "impact": ["heading:影响范围|Impact|^影响$"],
+    },
+}
+
+
+def _value(card: Node, place: str) -> str:
+    if place.startswith("@"):
+        return card.attrs.get(place[1:], "").strip()
+    if place.startswith("heading:"):
+        for h in card.find("h4"):
+            if re.search(place[8:], h.text()) and h.parent:
+                return next((p.text("small") for p in h.parent.find("p, li")), h.parent.text("h4"))
+        return ""
+    return next((n.text() for n in card.find(place)), "")
+
+
+def cards(html: str, layout: str) -> list[dict[str, str | None]]:
+    """One record a card; the last https link is its source."""
+    rules = LAYOUTS[layout]
+    out = []
+    for card in tree(html).find(rules["card"]):
+        row = {name: next((v for p in places if (v := _value(card, p))), None) for name, places in rules.items() if name != "card"}
+        links = [a.attrs.get("href", "") for a in card.find("a")]
+        row["source_url"] = next((u for u in reversed(links) if u.startswith("https://")), None)
+        if row["published_at"]:
+            row["published_at"] = (re.search(r"\d{4}-\d{2}-\d{2}", row["published_at"]) or [row["published_at"]])[0]
+        number = re.search(r"\d+(?:\.\d+)?", row["score"] or "")
+        row["score"] = number[0] if number else None
+        out.append(row)
+    return out
+
+
+FIELDS = [*(k for k in LAYOUTS["outline"] if k != "card"), "source_url"]
+
+
+def scan(digests: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+    """Records of (digest, layout, html); ``expected`` counts by digest fail the scan where they differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, layout, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = cards(page, layout)
+                if expected and digest in expected and len(rows) != expected[digest]:
+                    raise ValueError(f"{digest}: expected {expected[digest]} cards, found {len(rows)}")
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(rows), pa.string()), *(pa.array([r[f] for r in rows], pa.string()) for f in FIELDS)], ["digest", *FIELDS])
+
+    return digests.select("digest", "layout", "html").mapInArrow(run, "digest string, " + ", ".join(f"{f} string" for f in FIELDS))
+
+
+_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th"}
+_NOISE = {"nav", "footer", "header", "aside", "form", "script", "style", "noscript", "button", "svg"}
+
+
+def article(html: str, url: str, least: int = 300) -> dict:
+    """Main content as Markdown with absolute links, its counts, and whether it is thin."""
+    root = tree(html)
+    for choice in ("main article", "article", "main", "body"):
+        found = next((n for n in root.find(choice) if len(n.text(",".join(_NOISE))) >= least), None)
+        if found:
+            break
+    found = found or root
+    title = next((t for s in ("h1", "meta[property=og:title]", "title") for n in root.find(s) if (t := n.attrs.get("content") or n.text())), None)
+    date = next((n.attrs.get("datetime") or n.attrs.get("content") for s in ("meta[property=article:published_time]", "time") for n in root.find(s)), None)
+    lines: list[str] = []
+
+    def inline(node: Node) -> str:
+        out = []
+        for c in node.children:
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag == "a" and c.attrs.get("href"):
+                out.append(f"[{c.text()}]({urljoin(url or '', c.attrs['href'])})")
+            elif c.tag not in _NOISE and not ({"ad", "ads"} & set(c.attrs.get("class", "").split())) and c.tag not in _BLOCKS:
+                out.append(inline(c) if c.tag != "br" else " ")
+        return re.sub(r"\s+", " ", "".join(out)).strip()
+
+    def walk(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str) or c.tag in _NOISE or {"ad", "ads"} & set(c.attrs.get("class", "").split()):
+                continue
+            if c.tag in _BLOCKS and (text := inline(c)):
+                lead = "#" * int(c.tag[1]) + " " if c.tag[0] == "h" and c.tag[1:].isdigit() else "- " if c.tag == "li" else "> " if c.tag == "blockquote" else ""
+                lines.append(lead + text)
+            walk(c)
+
+    walk(found)
+    body = "\n\n".join(lines)
+    headings = sum(x.startswith("#") for x in lines)
+    visible = len(re.sub(r"\s+", " ", " ".join(lines)))
+    return {"status": "extracted" if visible >= least else "thin", "title": title, "published_at": date, "markdown": body, "heading_count": headings, "paragraph_count": len(lines) - headings, "character_count": visible}
+
+
+def articles(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    kind = pages.schema[id_col].dataType.simpleString()
+    fields = {"status": pa.string(), "title": pa.string(), "published_at": pa.string(), "markdown": pa.string(), "heading_count": pa.int32(), "paragraph_count": pa.int32(), "character_count": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [article(h or "", u or "") for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in fields.items())], [id_col, *fields])
+
+    ddl = f"`{id_col}` {kind}, status string, title string, published_at string, markdown string, heading_count int, paragraph_count int, character_count int"
+    return pages.select(F.col(id_col), "url", "html").mapInArrow(run, ddl)
