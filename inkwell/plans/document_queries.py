@@ -52,7 +52,7 @@ _VERIFIED = rf"""{b.PAIRS},
 _STOP = "CASE WHEN strpos(reverse(substr(body, 1, (start_ + {t})::INT + length({s}))), reverse({s})) = 0 THEN -1 ELSE least(start_ + {t} + length({s}), n) - strpos(reverse(substr(body, 1, (start_ + {t})::INT + length({s}))), reverse({s})) - length({s}) + 1 END"
 _BEST = "greatest(" + ", ".join(_STOP.replace("{s}", s).replace("{t}", "1500") for s in ("chr(10) || chr(10)", "'。'", "'. '")) + ")"
 _END = f"CASE WHEN start_ + 1500 >= n THEN n WHEN {_BEST} > start_ + 900 THEN {_BEST} + 1 ELSE start_ + 1500 END"
-_WS = r"E' \t\n\r\f\v'"
+_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _CHUNKS = f"""bodies AS (SELECT doc_id AS id, trim(text, {_WS}) AS body, length(trim(text, {_WS})) AS n FROM documents WHERE trim(text, {_WS}) <> ''),
     steps AS (SELECT id, body, n, 0::BIGINT AS start_, 1 AS k FROM bodies
               UNION ALL SELECT id, body, n, greatest(start_ + 1, e - 150), k + 1 FROM (SELECT *, {_END} AS e FROM steps) WHERE e < n),
@@ -139,7 +139,7 @@ QUERIES = {
     "corpus_verify": lambda s, sf: chunks.corpus_violations(chunks.chunk(_plain(s, sf).where("id % 10 != 0"), "id", "text"), _plain(s, sf)),
     "browser_index": lambda s, sf: chunks.browser_index(chunks.chunk(_plain(s, sf), "id", "text"), _articles(s, sf)),
     "first_paragraphs": lambda s, sf: _plain(s, sf).select("id", text.first_paragraph(F.col("text")).alias("lead"), text.escape_html(F.substring("text", 1, 60)).alias("escaped")),
-    "label_distance": lambda s, sf: b.ledger(s, sf).select("id", F.round(text.label_distance(F.substring("title", 1, 40), F.substring("content", 10, 40)), 9).alias("distance")),
+    "label_distance": lambda s, sf: b.ledger(s, sf).select("id", F.round(text.label_distance(*[F.regexp_replace(F.substring(c, i, 40), "[^ -~]", "") for c, i in (("title", 1), ("content", 10))]), 9).alias("distance")),
     "browse_filter": lambda s, sf: browse.browse(b.ledger(s, sf), year="2026", category="ai-operating-model", priority="must-read", keyword=" THE ").select("id", "publisher", "title"),
     "sort_by_date": lambda s, sf: (lambda rows: browse.page(rows, browse.ordered(rows, "date"), 2).select("id", "published_at", scores.normalized(F.col("score_total"), F.col("score_scale")).alias("percent")))(b.ledger(s, sf)),
     "sort_by_score": lambda s, sf: (lambda rows: browse.page(rows, browse.ordered(rows, "score"), 1).select("id", "published_at", scores.normalized(F.col("score_total"), F.col("score_scale")).alias("percent")))(b.ledger(s, sf)),
@@ -180,7 +180,7 @@ ORACLES = {
     "chunk_fingerprints": f"WITH RECURSIVE {_CHUNKS} SELECT id || ':' || lpad(chunk_no::VARCHAR, greatest(3, length(chunk_no::VARCHAR))::INT, '0') AS chunk_id, sha256(content) AS fingerprint FROM chunks",
     "corpus_verify": f"SELECT doc_id::VARCHAR AS subject, 'no chunks' AS violation FROM documents WHERE doc_id % 10 = 0 OR trim(coalesce(text, ''), {_WS}) = ''",
     "browser_index": f"WITH RECURSIVE {b.LEDGER}, {_CHUNKS}, c AS (SELECT id, count(*) AS chunk_count, arg_min(content, chunk_no) AS first_chunk FROM chunks GROUP BY id) SELECT doc_id AS id, title, publisher, coalesce(chunk_count, 0)::BIGINT AS chunk_count, coalesce(CASE WHEN doc_id % 3 = 0 THEN nullif(title, '') END, substr(first_chunk, 1, 220), '') AS summary FROM ledger LEFT JOIN c ON c.id = doc_id",
-    "label_distance": f"WITH {b.LEDGER} SELECT id, round(coalesce(levenshtein(substr(title, 1, 40), substr(content, 10, 40)) / nullif(greatest(length(substr(title, 1, 40)), length(substr(content, 10, 40))), 0), 0)::DOUBLE, 9) AS distance FROM ledger",
+    "label_distance": f"WITH {b.LEDGER}, l AS (SELECT id, regexp_replace(substr(title, 1, 40), '[^ -~]', '', 'g') AS x, regexp_replace(substr(content, 10, 40), '[^ -~]', '', 'g') AS y FROM ledger) SELECT id, round(coalesce(levenshtein(x, y) / nullif(greatest(length(x), length(y)), 0), 0)::DOUBLE, 9) AS distance FROM l",
     "browse_filter": f"WITH {b.LEDGER} SELECT id, publisher, title FROM ledger WHERE starts_with(published_at, '2026') AND category = 'ai-operating-model' AND priority = 'must-read' AND contains(lower(title || ' ' || publisher || ' ' || category), 'the')",
     "sort_by_date": f"WITH {b.LEDGER}, r AS (SELECT id, published_at, {_SORTED} AS percent FROM ledger) SELECT * FROM r ORDER BY published_at DESC NULLS LAST, percent DESC NULLS LAST, id LIMIT 30 OFFSET 30",
     "sort_by_score": f"WITH {b.LEDGER}, r AS (SELECT id, published_at, {_SORTED} AS percent FROM ledger) SELECT * FROM r ORDER BY percent DESC NULLS LAST, published_at DESC NULLS LAST, id LIMIT 30",

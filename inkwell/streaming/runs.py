@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import urls
@@ -32,7 +32,9 @@ def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str):
     def apply(batch: DataFrame, number: int) -> None:
         own = f"{ledger_path}/batch={number}"
         known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path).where(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
-        fresh = batch.withColumn("key", urls.merge_key(F.col("url"))).dropDuplicates(["key"]).dropDuplicates(["id"])
+        keyed = batch.withColumn("key", urls.merge_key(F.col("url")))
+        first = Window.partitionBy("key").orderBy("id")
+        fresh = keyed.withColumn("turn", F.row_number().over(first)).where("turn = 1").dropDuplicates(["id"])
         fresh = fresh.join(known.select("id"), "id", "left_anti").join(known.select(urls.merge_key(F.col("url")).alias("key")), "key", "left_anti").select(*schema.names)
         fresh.write.mode("overwrite").parquet(own)
 
@@ -42,3 +44,8 @@ def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str):
 def status_stream(events: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Counts by event type and window, final once the watermark has passed."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+def keep_complete(counts: DataFrame, path: str, checkpoint: str):
+    """The whole small result after each batch, in one folder that is replaced."""
+    return counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.coalesce(1).write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
