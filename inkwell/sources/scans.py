@@ -20,7 +20,7 @@ def latest(rows: DataFrame, key: str = "id", order: str = "path") -> DataFrame:
 
 def ledger_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of records, or an object that holds them under ``articles``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     trimmed = F.ltrim("value")
     plain = F.from_json("value", f"array<struct<{schema}>>")
     boxed = F.from_json("value", f"struct<articles:array<struct<{schema}>>>").getField("articles")
@@ -29,7 +29,7 @@ def ledger_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(folder, body) of a text file that may lie beside each record; join left, missing is empty."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "").alias("folder"), F.col("value").alias("body"))
 
 
