@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text
 from inkwell.operators import answers, search
 from inkwell.plans import bindings as b
+from inkwell.scratch import Scratch
 
 QUERY = ["the", "reading", "tion", "and", "er"]
 FILTERS = {"publishers": ["src1", "src3", "src5"], "priorities": ["must-read", "track"], "date_from": "2026-02-01", "date_to": "2026-06-30"}
@@ -22,6 +23,12 @@ def _projection(spark, sf):
     return top.join(b.ledger(spark, sf).select("id", "title", "published_at", "url", F.substring("content", 1, 220).alias("summary")), "id")
 
 
+def _indexed(spark, sf, filters=None):
+    path = Scratch(spark, "index").path
+    search.write_index(b.searchable(b.ledger(spark, sf)), path)
+    return search.search_index(spark, path, QUERY, filters)
+
+
 def _batch(spark, sf):
     asked = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search_many(b.searchable(b.ledger(spark, sf)), asked)
@@ -49,6 +56,8 @@ _LATIN = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9+._-]*')
 QUERIES = {
     "bm25_search_topk": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), QUERY),
     "bm25_filtered": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), QUERY, FILTERS),
+    "bm25_indexed": _indexed,
+    "bm25_indexed_filtered": lambda s, sf: _indexed(s, sf, FILTERS),
     "bm25_insufficient": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), ["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),
     "bm25_batch_queries": _batch,
     "evidence_projection": _projection,
@@ -65,6 +74,8 @@ _VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(HAN))
 ORACLES = {
     "bm25_search_topk": _bm25(QUERY),
     "bm25_filtered": _bm25(QUERY, _WHERE),
+    "bm25_indexed": _bm25(QUERY),
+    "bm25_indexed_filtered": _bm25(QUERY, _WHERE),
     "bm25_insufficient": _bm25(["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),
     "bm25_batch_queries": f"""WITH {b.LEDGER}, {b.SEARCHABLE},
         stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM toks),
