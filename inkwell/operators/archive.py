@@ -137,3 +137,17 @@ def safe_path(path: Column) -> Column:
     """Four parts below the archive, a known file, nothing encoded or hidden."""
     known = path.rlike(r"^/?archive/[^/]+/[^/]+/(source|translation)\.md$|^/?archive/[^/]+/[^/]+/(index|reader)\.html$")
     return known & ~path.rlike(r"(?i)%2e|%2f|%5c|\\|/\.")
+
+
+def by_publisher_rank(entries: DataFrame, publishers: list[str], other: int = 99) -> DataFrame:
+    """Entries with their place in the order of publishers (unknown ones share the last) and then index."""
+    place = F.array_position(F.array(*map(F.lit, publishers)), F.col("publisher"))
+    rank = F.when(place > 0, place - 1).otherwise(other)
+    order = Window.partitionBy("rank").orderBy("archive_index", "id")
+    return entries.withColumn("rank", rank.cast("int")).withColumn("turn", F.row_number().over(order))
+
+
+def inspected(candidates: DataFrame, inspections: DataFrame) -> DataFrame:
+    """Candidates with the inspection of their URL as one struct, null where there was none."""
+    rows = inspections.select("url", F.struct("http", "title", "characters").alias("inspection"))
+    return candidates.join(rows, "url", "left")

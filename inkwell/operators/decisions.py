@@ -114,3 +114,17 @@ def source_violations(sources: DataFrame) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
     return sources.withColumn("v", found).select("source_id", F.explode("v").alias("violation"))
+
+
+def library_violations(scenarios: DataFrame, cases: DataFrame, ranks: int = 12, markets: int = 2, home: str = "中国") -> DataFrame:
+    """Rules on whole libraries: 20 to 30 scenarios, each rank once, enough companies of the home market."""
+    whole = scenarios.groupBy("library").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("matrix_rank")).alias("found"))
+    homes = cases.where(F.col("market") == home).groupBy("library").agg(F.count_distinct("company").alias("companies"))
+    rows = whole.join(homes, "library", "left")
+    rules = {
+        "20 to 30 scenarios": ~F.col("n").between(20, 30),
+        "each rank once": F.col("found") != F.sequence(F.lit(1), F.lit(ranks)),
+        "companies of the home market": F.coalesce("companies", F.lit(0)) < markets,
+    }
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return rows.select("library", F.explode(broken).alias("violation"))

@@ -235,3 +235,14 @@ def test_event_lines_survive_malformed_rows(spark, tmp_path):
     assert kinds == ["status", "error", "done"]
     runs.write_events(runs.event_stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination()
     assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out").glob("part-*")) == 3
+
+
+def test_glossaries_of_all_shapes():
+    from inkwell.operators import dialogue
+
+    want = {"智能体": ["agent"]}
+    assert dialogue.glossary({"agent": "智能体"}) == want
+    assert dialogue.glossary({"智能体": ["agent"]}) == want
+    assert dialogue.glossary({"x": {"preferred": "智能体", "prohibited": ["agent"]}}) == want
+    assert dialogue.glossary([{"term": "x", "translation": "智能体", "forbidden": "agent"}]) == want
+    assert dialogue.glossary(None) == {} and dialogue.glossary({"x": 3}) == {}
