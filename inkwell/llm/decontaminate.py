@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkwell.llm import vec
 from inkwell.scratch import bounded_batches
@@ -138,7 +139,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_kind, item_type = benchmark.schema[item_col].dataType.simpleString(), to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {item_kind}, coverage double, n_tiles long, longest long, tiles array<struct<doc_token:long,item_token:long,length:long>>"
     slim = docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string")).alias("text"))
     out = None
@@ -153,11 +154,10 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
                 found = list(matches(batch.column(1), seeds, tile_size, coverage))
                 tiles = [[dict(zip(("doc_token", "item_token", "length"), t, strict=True)) for t in sorted(x[3])] for x in found]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([ids[x[1]] for x in found], type_of[0]), pa.array([x[2] for x in found], pa.float64()),
+                    batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([ids[x[1]] for x in found], item_type), pa.array([x[2] for x in found], pa.float64()),
                     pa.array([len(x[3]) for x in found], pa.int64()), pa.array([max(t[2] for t in x[3]) for x in found], pa.int64()), pa.array(tiles, tiles_type),
                 ], [id_col, item_col, "coverage", "n_tiles", "longest", "tiles"])
 
-        type_of = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]]
         part = slim.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)

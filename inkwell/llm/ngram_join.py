@@ -123,7 +123,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
 
     # Tiles: a bunch is cut into chunks, and each pair of chunks meets in one group.
     members = scratch.table(bunches.join(nodes.select("node", "copies", "id", "h", "size"), "node"), "members")
-    shape = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS)).cast("int").alias("chunks"))
+    shape = members.groupBy("root").agg(F.least(F.count("*"), F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS))).cast("int").alias("chunks"))
     placed = members.join(shape, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = slim.select(F.col("id").alias("doc"), "h", "text")
     # A merge join at every size: what small runs shuffle is in proportion to what large ones do.

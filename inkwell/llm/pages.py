@@ -22,6 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkwell.scratch import Scratch, parallelism
 
@@ -225,7 +226,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
-    kind = pages.schema[id_col].dataType.simpleString()
+    id_type = pages.schema[id_col].dataType
+    kind = id_type.simpleString()
     url = F.lower(F.coalesce(F.col("url"), F.lit("")))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     slim = slim.withColumn("h", F.xxhash64("url", "html")).withColumn("host", F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
@@ -277,7 +279,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         yield rows(done, [(part << 40 | i, row) for i, row in sorted(ends.items())])
 
     def rows(done: list, ends: list) -> pa.RecordBatch:
-        page_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+        page_type = to_arrow_type(id_type)
         body = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", page_type), ("h", pa.int64()), ("all", pa.list_(pa.int64())), ("open", pa.bool_())])
         n, m = len(done), len(ends)
         return pa.RecordBatch.from_arrays([
