@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency (operator 8).
 
 Pass one finds pattern spans and generic high-entropy candidates in every whole text. Only
-salted hashes of the candidates leave the scan; they are aggregated by distinct repositories
+salted hashes of their values leave the scan; they are aggregated by distinct repositories
 and owners. A value that many owners carry is a copied example; one that few owners carry and
 that looks random is live-looking, and the scan adds a span for each of its occurrences.
 """
@@ -29,14 +29,18 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENTROPY, OWNERS, REPOS = 3.0, 2, 50
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base kinds, leftmost and non-overlapping per kind."""
-    out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
-    out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+def base_values(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind number, end, value) of the base kinds, leftmost and non-overlapping per kind."""
+    out = [(m.start(), 0, m.end(), m[1]) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
+    out += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
     return sorted(out)
 
 
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    return [x[:3] for x in base_values(text)]
+
+
 def entropy(value: str) -> float:
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -57,8 +61,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = OWNERS, max_repos: int = REPOS) -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base (spans) and spans (all).
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base (spans), spans (all), n_live, n_copied.
 
+    n_live and n_copied part the base spans by whether few or many owners carry their values.
     A null text counts as empty; a null owner or repository is one owner or repository of its
     own; null ids and repeated rows keep their own row, and copies of a row count once as
     owners; an empty table gives no rows; other columns are not carried. Positions are code
@@ -73,16 +78,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             base, extra = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                base.append([{"s": s, "k": k, "e": e} for s, k, e in base_spans(text)])
-                extra.append([{"s": s, "e": e, "v": text[s:e]} for s, e in candidates(text)])
+                found = base_values(text)
+                base.append([{"s": s, "k": k, "e": e} for s, k, e, _ in found])
+                extra.append([{"s": s, "k": 3, "e": e, "v": text[s:e]} for s, e in candidates(text)] + [{"s": s, "k": k, "e": e, "v": v} for s, k, e, v in found])
             spans = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())])
-            more = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("v", pa.string())])
+            more = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64()), ("v", pa.string())])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(base, pa.list_(spans)), pa.array(extra, pa.list_(more))], ["id", "owner", "repo", "base", "extra"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
-    found = slim.mapInArrow(run, f"id {kind}, owner string, repo string, base array<struct<s:long,k:int,e:long>>, extra array<struct<s:long,e:long,v:string>>")
+    found = slim.mapInArrow(run, f"id {kind}, owner string, repo string, base array<struct<s:long,k:int,e:long>>, extra array<struct<s:long,k:int,e:long,v:string>>")
     # Values are replaced by hashes before anything is written.
-    found = found.withColumn("extra", F.transform("extra", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.xxhash64(F.lit("ownership"), x.v).alias("h"))))
+    found = found.withColumn("extra", F.transform("extra", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.xxhash64(F.lit("ownership"), x.v).alias("h"))))
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "spans")
 
     each = found.where(F.size("extra") > 0).select("row", "owner", "repo", F.explode("extra").alias("x")).select("row", "owner", "repo", "x.*")
@@ -92,8 +98,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     per_repo = each.select("h", F.coalesce("owner", none).alias("owner"), F.coalesce("repo", none).alias("repo")).distinct()
     per_owner = per_repo.groupBy("h", "owner").agg(F.count("*").alias("repos"))
     owned = per_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = scratch.table(owned.where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("h"), "live")
-    added = each.join(live, "h").groupBy("row").agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    verdicts = scratch.table(owned.select("h", live.alias("live")), "verdicts")
+    judged = each.join(verdicts, "h")
+    added = judged.groupBy("row").agg(
+        F.collect_list(F.when((F.col("k") == 3) & F.col("live"), F.struct("s", F.lit(3).alias("k"), "e"))).alias("added"),
+        F.count_if((F.col("k") < 3) & F.col("live")).alias("n_live"), F.count_if((F.col("k") < 3) & ~F.col("live")).alias("n_copied"),
+    )
 
     def text_of(spans):
         name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), spans.k + 1)
@@ -106,4 +117,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return full.select(
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.array_join(F.transform("base", text_of), ",").alias("base"), F.array_join(F.transform("all", text_of), ",").alias("spans"),
+        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )

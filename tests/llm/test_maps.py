@@ -77,6 +77,9 @@ def test_secrets_spans_and_ownership(spark, tmp_path):
         assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(got[i].spans.split(","))
         assert ("token:" in got[i].spans) == (live in (t or "")), (t, got[i].spans)
+        assert got[i].n_live + got[i].n_copied == len(spans)
+    many = [(i, f"password = '{'example-password' if i else 'my-own-password'}'", None, f"o{i}", 0, "", 0, 0, 0, "", 0) for i in range(6)]
+    assert {r.doc_id: (r.n_live, r.n_copied) for r in secrets.scan(frame(spark, many)).collect()} == {i: (0, 1) if i else (1, 0) for i in range(6)}
     assert secrets.scan(empty(spark)).count() == 0
 
 
