@@ -246,3 +246,38 @@ def test_glossaries_of_all_shapes():
     assert dialogue.glossary({"x": {"preferred": "智能体", "prohibited": ["agent"]}}) == want
     assert dialogue.glossary([{"term": "x", "translation": "智能体", "forbidden": "agent"}]) == want
     assert dialogue.glossary(None) == {} and dialogue.glossary({"x": 3}) == {}
+
+
+def test_fetching_retries_only_what_may_pass():
+    from inkwell.sources import fetch
+
+    waits = []
+
+    def server(*answers):
+        left = list(answers)
+
+        def get(url, timeout):
+            answer = left.pop(0)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer, url, "text/html", "<p>x</p>"
+
+        return get
+
+    assert fetch.page("u", server(503, OSError("reset"), 200), sleep=waits.append)["attempts"] == 3 and waits == [0.5, 1.0]
+    assert fetch.page("u", server(404), sleep=waits.append)["status"] == "failed"
+    assert fetch.page("u", server(403), sleep=waits.append)["status"] == "blocked"
+    lost = fetch.page("u", server(*[OSError("down")] * 4), sleep=waits.append)
+    assert (lost["status"], lost["attempts"], lost["error"]) == ("failed", 4, "down")
+
+
+def test_fetching_a_table(spark):
+    from inkwell.sources import fetch
+
+    def get(url, timeout):
+        return (200 if url.endswith("1") else 404), url, "text/html", "body"
+
+    rows = fetch.pages(spark.createDataFrame([("a1",), ("b2",)], "url string"), get, sleep=lambda s: None).collect()
+    assert {r.url: (r.status, r.body) for r in rows} == {"a1": ("downloaded", "body"), "b2": ("failed", None)}
+    with pytest.raises(ValueError):
+        fetch.pages(spark.range(1), get, concurrency=13)
