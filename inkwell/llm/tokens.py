@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
 import struct
 import unicodedata
 import uuid
@@ -37,8 +38,8 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME = 1 << 22
 #: Words of a generation that a worker remembers (it keeps two), and the longest of them in bytes.
 REMEMBERED, WORD = 600_000, 64
-#: Marks that a tokenizer keeps apart from the letters before them.
-MARKS = ".,!?;:"
+#: Marks that a tokenizer keeps apart from the letters before them (an apostrophe may join them).
+MARKS = string.punctuation.replace("'", "")
 
 
 class Encoder:
@@ -59,6 +60,7 @@ class Encoder:
         probe = [e.ids for e in self.tokenizer.encode_batch(["ABC XYZ", "abc xyz"], add_special_tokens=False)]
         self.folds = probe[0] == probe[1]  # ASCII case is lost anyway: fewer words to remember
         self.bare = self._bare(path) if self.folds else None
+        self.letters: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     @staticmethod
@@ -93,8 +95,11 @@ class Encoder:
             return dict(zip(new, self._encode(texts), strict=True))
         cores = [t.rstrip(MARKS) for t in texts]
         easy = [c.isalpha() and c.islower() for c in cores]
-        letters = list(dict.fromkeys(compress(cores, easy)))
-        known = dict(zip(letters, self._encode(letters, self.bare), strict=True))
+        if len(self.letters) > REMEMBERED:
+            self.letters = {}
+        known = self.letters
+        letters = [c for c in dict.fromkeys(compress(cores, easy)) if c not in known]
+        known.update(zip(letters, self._encode(letters, self.bare), strict=True))
         hard = [t for t, x in zip(texts, easy, strict=True) if not x]
         known_hard = iter(self._encode(hard))
         tails = [t[len(c) :] for t, c in zip(texts, cores, strict=True)]
@@ -119,9 +124,8 @@ class Encoder:
             found = [list(map(known.get, words)) for words in split]
             holes = [[k for k, ids in enumerate(row) if ids is None] if None in row else () for row in found]
             new = {words[k] for words, gaps in zip(split, holes, strict=True) for k in gaps}
-            again = new.intersection(self.older)
-            known.update((w, self.older[w]) for w in again)
-            new = list(new - again)
+            known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in known]
             if new:
                 known.update(self._words(new))
             for words, row, gaps in zip(split, found, holes, strict=True):
@@ -144,7 +148,7 @@ class Writer:
 
     def __init__(self, out, width: np.dtype):
         self.out, self.width = out, width
-        self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        self.compressor = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, int, int, int]] = []
         self.tokens = 0
