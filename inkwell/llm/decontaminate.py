@@ -132,7 +132,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, tile_size: int)
 def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated (row of ``docs``, item): ids, coverage, n_tiles, longest, tiles.
 
-    Tokens are runs of letters and digits in lower case. Tiles are (token position in the
+    Tokens are runs of letters and digits in lower case; a character beyond ASCII counts as a
+    letter. Tiles are (token position in the
     text, in the item, length). Null and empty texts and items never match; null ids are
     reported as they are; repeated rows and items are matched each on their own; an empty
     benchmark or table gives no rows. Map-only over ``docs``, once per benchmark block.
