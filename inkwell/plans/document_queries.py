@@ -115,9 +115,16 @@ def _indexed(spark, sf):
     return d.select(F.col("doc_id").alias("page"), part(lambda i: i % 3 != 2, 40).alias("raw")).unionByName(d.select(F.col("doc_id").alias("page"), part(lambda i: i % 2 == 0, 100_000).alias("raw")))
 
 
-def _captions(spark, sf):
-    lines = F.transform(F.slice(F.split("text", "\n"), 1, 20), lambda x, i: F.concat(F.lit("\n\n"), i + 1, F.lit("\n00:0"), i, F.lit(":00.000 --> 00:01.000\n<c>"), F.replace(x, F.lit("the"), F.lit("R&amp;D")), F.lit("</c>\n"), F.replace(x, F.lit("the"), F.lit("R&amp;D"))))
-    return b.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("WEBVTT\n"), F.array_join(lines, "")).alias("vtt"))
+def _clock(seconds):
+    return F.format_string("%02d:%02d:%02d.000", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+
+
+def _captions(spark, sf, most=None):
+    """documents as caption files, one cue of two lines a line of text; of the first ``most`` lines where given."""
+    lines = F.split("text", "\n") if most is None else F.slice(F.split("text", "\n"), 1, most)
+    words = lambda x: F.replace(x, F.lit("the"), F.lit("R&amp;D"))
+    cues = F.transform(lines, lambda x, i: F.concat(F.lit("\n\n"), i + 1, F.lit("\n"), _clock(i), F.lit(" --> "), _clock(i + 1), F.lit("\n<c>"), words(x), F.lit("</c>\n"), words(x)))
+    return b.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("WEBVTT\n"), F.array_join(cues, "")).alias("vtt"))
 
 
 def _events(spark, sf):
@@ -157,7 +164,8 @@ QUERIES = {
     "library_counts": lambda s, sf: _built(s, sf).groupBy("library").agg(F.count("*").alias("scenarios"), F.count_if(F.col("priority") == "P0").alias("p0"), F.count("matrix_rank").alias("ranked")),
     "indexed_page_merge": lambda s, sf: scans.indexed_lines(_indexed(s, sf)).withColumn("coverage", F.round("coverage", 9)),
     "indexed_page_gate": lambda s, sf: scans.accepted(scans.indexed_lines(_indexed(s, sf)), 0.6).select("page", "captured"),
-    "vtt_dedup": lambda s, sf: _captions(s, sf).select("doc_id", scans.transcript(F.col("vtt")).alias("transcript")),
+    "vtt_dedup": lambda s, sf: _captions(s, sf, 20).select("doc_id", scans.transcript(F.col("vtt")).alias("transcript")),
+    "vtt_dedup_whole": lambda s, sf: _captions(s, sf).select("doc_id", scans.transcript(F.col("vtt")).alias("transcript")),
     "event_lines": _events,
 }
 
@@ -206,5 +214,6 @@ ORACLES = {
     "indexed_page_merge": f"WITH {_INDEXED} SELECT page, body, captured, total, round(captured / total, 9)::DOUBLE AS coverage FROM pages0",
     "indexed_page_gate": f"WITH {_INDEXED} SELECT page, captured FROM pages0 WHERE captured / total >= 0.6 AND length(body) >= 300",
     "vtt_dedup": f"WITH l AS (SELECT doc_id, unnest(range(len(l))) AS i, trim(replace(unnest(l), 'the', 'R&D')) AS x FROM (SELECT doc_id, string_split(text, chr(10))[:20] AS l FROM documents)), f AS (SELECT doc_id, x, min(i) AS i FROM l WHERE x <> '' AND NOT regexp_matches(x, '^[0-9]+$') GROUP BY ALL) SELECT d.doc_id, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i), '') AS transcript FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id",
+    "vtt_dedup_whole": f"WITH l AS (SELECT doc_id, unnest(range(len(l))) AS i, trim(replace(unnest(l), 'the', 'R&D')) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), f AS (SELECT doc_id, x, min(i) AS i FROM l WHERE x <> '' AND NOT regexp_matches(x, '^[0-9]+$') GROUP BY ALL) SELECT d.doc_id, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i), '') AS transcript FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id",
     "event_lines": "SELECT CASE WHEN event_id % 11 = 0 THEN 'error' ELSE event_type END AS type, CASE WHEN event_id % 11 <> 0 AND event_id % 2 = 0 THEN 'retrieving' END AS stage, CASE WHEN event_id % 11 = 0 THEN 'malformed event' END AS message, count(*) AS n FROM events WHERE event_id % 10 <> 0 GROUP BY ALL",
 }
