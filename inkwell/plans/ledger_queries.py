@@ -163,6 +163,7 @@ QUERIES = {
     "archive_audit": lambda s, sf: archive.audit(_audited(s, sf)),
     "id_set_equality": lambda s, sf: archive.set_difference(b.ledger(s, sf).where("doc_id % 50 != 0"), b.ledger(s, sf).where("doc_id % 60 != 0")),
     "manifest": lambda s, sf: archive.manifest(b.ledger(s, sf).withColumn("content", F.substring("content", 1, 80)), ["id", "publisher", "title", "published_at", "priority", "content"], "doc_id"),
+    "manifest_whole": lambda s, sf: archive.manifest(b.ledger(s, sf), ["id", "publisher", "title", "published_at", "priority", "content"], "doc_id"),
     "create_if_missing": lambda s, sf: archive.create_if_missing(b.ledger(s, sf).where("doc_id % 2 = 0").select("id", F.lit("kept").alias("body")), b.ledger(s, sf).where("doc_id % 3 = 0").select("id", F.lit("new").alias("body"))),
     "upsert_latest": lambda s, sf: archive.upsert(b.ledger(s, sf).select("id", F.lit(1).alias("updated_at"), F.length("content").alias("characters")), b.ledger(s, sf).where("doc_id % 4 = 0").select("id", (F.col("doc_id") % 3).cast("int").alias("updated_at"), F.lit(0).alias("characters"))),
     "safe_paths": lambda s, sf: b.ledger(s, sf).select("id", archive.safe_path(F.concat(F.lit("/archive/"), "publisher", F.lit("/"), F.when(F.col("doc_id") % 5 == 0, "%2e%2e").when(F.col("doc_id") % 7 == 0, ".hidden").otherwise(F.col("id")), F.when(F.col("doc_id") % 3 == 0, "/source.md").when(F.col("doc_id") % 3 == 1, "/reader.html").otherwise("/other.js"))).alias("safe")),
@@ -225,6 +226,7 @@ ORACLES = {
         SELECT CASE WHEN grouping(publisher) = 1 THEN '*' ELSE publisher END AS publisher, count(*) AS articles, count(DISTINCT id) AS unique_ids, count(DISTINCT url) AS unique_urls, count(*) FILTER (verified) AS verified, count(*) FILTER (verified IS NOT TRUE) AS unverified FROM a GROUP BY ROLLUP (publisher)""",
     "id_set_equality": f"WITH {b.LEDGER} SELECT id, CASE WHEN doc_id % 50 = 0 THEN 'right' ELSE 'left' END AS only_in FROM ledger WHERE (doc_id % 50 = 0) <> (doc_id % 60 = 0)",
     "manifest": f"""WITH {b.LEDGER} SELECT doc_id, array_to_string(list_transform([id, publisher, title, published_at, priority, substr(content, 1, 80)], lambda c: '"' || replace(coalesce(c, ''), '"', '""') || '"'), ',') AS line FROM ledger""",
+    "manifest_whole": f"""WITH {b.LEDGER} SELECT doc_id, array_to_string(list_transform([id, publisher, title, published_at, priority, content], lambda c: '"' || replace(coalesce(c, ''), '"', '""') || '"'), ',') AS line FROM ledger""",
     "create_if_missing": f"WITH {b.LEDGER} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE 'new' END AS body FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
     "upsert_latest": f"WITH {b.LEDGER} SELECT id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 >= 1 THEN (doc_id % 3)::INT ELSE 1 END AS updated_at, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 >= 1 THEN 0 ELSE length(content)::INT END AS characters FROM ledger",
     "safe_paths": f"WITH {b.LEDGER} SELECT id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 < 2 AS safe FROM ledger",

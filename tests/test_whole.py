@@ -1,11 +1,14 @@
 """Queries whose inputs are whole texts, against what prefixes of them would leave out."""
 
+import csv
+import io
+
 from inkwell.plans import registry
 
 
 def written(spark, tmp_path, texts):
     """A documents table of these texts (with no labels); its folder."""
-    rows = [(i, t, "en", f"src{i}", len(t)) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", f"src{i}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return str(tmp_path)
@@ -16,3 +19,10 @@ def test_captions_are_deduplicated_over_the_whole_file(spark, tmp_path):
     sf = written(spark, tmp_path, ["\n".join(lines), "a\nb\na"])
     got = {r.doc_id: r.transcript for r in registry.QUERIES["vtt_dedup_whole"](spark, sf).collect()}
     assert got == {0: "\n\n".join(dict.fromkeys(x.replace("the", "R&D") for x in lines)), 1: "a\n\nb"}
+
+
+def test_a_manifest_quotes_whole_contents(spark, tmp_path):
+    late = f'first line\n{"x" * 100}, "quoted", ""twice""\nlast "line"'
+    sf = written(spark, tmp_path, [late, None])
+    got = {r.doc_id: next(csv.reader(io.StringIO(r.line, newline=""), strict=True)) for r in registry.QUERIES["manifest_whole"](spark, sf).collect()}
+    assert {i: (r[2], r[5]) for i, r in got.items()} == {0: ("first line", late), 1: ("", "")}
