@@ -1,6 +1,7 @@
 """Queries whose inputs are whole texts, against what prefixes of them would leave out."""
 
 import csv
+import html
 import io
 
 from inkwell.plans import registry
@@ -26,3 +27,27 @@ def test_a_manifest_quotes_whole_contents(spark, tmp_path):
     sf = written(spark, tmp_path, [late, None])
     got = {r.doc_id: next(csv.reader(io.StringIO(r.line, newline=""), strict=True)) for r in registry.QUERIES["manifest_whole"](spark, sf).collect()}
     assert {i: (r[2], r[5]) for i, r in got.items()} == {0: ("first line", late), 1: ("", "")}
+
+
+def test_whole_texts_are_escaped(spark, tmp_path):
+    late = "a" * 60 + " <b> & \"c\" 'd' é\n" + "x" * 5000 + "<"
+    sf = written(spark, tmp_path, [late, None])
+    got = {r.id: r.escaped for r in registry.QUERIES["first_paragraphs"](spark, sf).collect()}
+    assert got == {0: html.escape(late).replace("&#x27;", "&#39;"), 1: ""}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1] / max(len(a), len(b), 1)
+
+
+def test_whole_labels_are_compared(spark, tmp_path):
+    same = "same words " * 5
+    labels = [(f"{same}and é late end", f"{same}and è other end"), ("漢字", "漢語 x"), ("one line", ""), ("", ""), ("t" * 110, "t" * 300)]
+    sf = written(spark, tmp_path, ["\n".join(x) for x in labels])
+    got = {r.id: r.distance for r in registry.QUERIES["label_distance_whole"](spark, sf).collect()}
+    assert got == {f"doc-{i:06d}": round(distance(*x), 9) for i, x in enumerate(labels)}
