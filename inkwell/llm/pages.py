@@ -2,9 +2,10 @@
 
 A page is cut into lines (blocks of text) in one pass over its markup. Lines in menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by
-their elements and names. Pages are then put in the order of host and path; each is paired
-with the nearer of its two neighbours on the host, their lines are aligned by a longest common
-subsequence, and shared lines that no article element vouches for are deleted as template.
+their elements and names. Pages are then put in the order of host and path; each is paired with the
+nearer of the two pages around it on the host whose lines differ from its own (runs of copies
+count as one page), their lines are aligned by a longest common subsequence, and shared lines
+that no article element vouches for are deleted as template.
 Articles share quoted lines with each other, and pages of one host repeat few menus literally,
 so neither source of evidence gives right results alone.
 """
@@ -49,8 +50,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-#: A neighbour that shares more of a page's lines is a copy of it and says nothing of templates.
-COPY = 0.8
 _ARTICLE, _MAIN = 2, 1
 
 
@@ -199,21 +198,53 @@ def shared(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
+def near(a: str, b: str) -> int:
+    """Length of the common start of two paths."""
+    return next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+
 def template(page: dict, neighbours: list[dict]) -> list[int]:
     """Indexes of a page's lines shared with the nearest page of its host that is no copy of it."""
+    others = [x for x in neighbours if x["host"] == page["host"] and x["all"] != page["all"]]
+    best = max(others, key=lambda x: near(page["path"], x["path"]), default=None)
+    return sorted(shared(page["all"], best["all"])) if best else []
+
+
+def same(a: dict, b: dict) -> bool:
+    """Whether two pages are of one run: copies of each other on a host."""
+    return a["host"] == b["host"] and a["all"] == b["all"]
+
 
-    def near(x: dict) -> int:
-        a, b = page["path"], x["path"]
-        return next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+def sides(run: dict, before: dict | None, after: dict | None) -> list[tuple[str, list[int]] | None]:
+    """Path and shared lines of the pages around a run; None where its host has none. All pages of the run share them."""
+    return [(x["path"], sorted(shared(run["all"], x["all"]))) if x and x["host"] == run["host"] else None for x in (before, after)]
 
-    for other in sorted((x for x in neighbours if x["host"] == page["host"]), key=lambda x: -near(x)):
-        found = shared(page["all"], other["all"])
-        if len(found) <= COPY * len(page["all"]):
-            return sorted(found)
-    return []
 
+def nearer(path: str, around: list[tuple[str, list[int]] | None]) -> list[int]:
+    """The shared lines on the side that is nearer to ``path``, the side before it where they are equally near."""
+    return max((x for x in around if x), key=lambda x: near(path, x[0]), default=("", []))[1]
 
-_SLIM = "host string, path string, page_id {}, h long, all array<long>, open boolean"
+
+def outer(parts: list[dict]) -> Iterator[tuple[int, int, list[tuple[str, list[int]] | None]]]:
+    """Partition, 0 or 1 and ``sides`` of each partition's first and last run, which go on in other partitions.
+
+    A part has its number, its number of runs, which of the two runs has pages to decide, and four
+    pages: the first of its first and second run, and the last of its last but one and last run.
+    """
+    parts = sorted(parts, key=lambda x: x["part"])
+    before: list[dict | None] = [None] * len(parts)
+    after: list[dict | None] = [None] * len(parts)
+    for i in range(1, len(parts)):
+        x = parts[i - 1]
+        before[i] = x["last"] if not same(x["last"], parts[i]["first"]) else x["penult"] if x["runs"] > 1 else before[i - 1]
+    for i in range(len(parts) - 2, -1, -1):
+        x = parts[i + 1]
+        after[i] = x["first"] if not same(x["first"], parts[i]["last"]) else x["second"] if x["runs"] > 1 else after[i + 1]
+    for x, b, a in zip(parts, before, after, strict=True):
+        if x["opens"][0]:
+            yield x["part"], 0, sides(x["first"], b, x["second"] if x["runs"] > 1 else a)
+        if x["opens"][1]:
+            yield x["part"], 1, sides(x["last"], x["penult"], a)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -252,62 +283,83 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = scratch.table(slim.select("page_id", "url", "html", "h", "host", "path").mapInArrow(parse, f"page_id {kind}, url string, h long, host string, path string, text string, kept array<struct<t:string,d:boolean>>, all array<long>, open boolean"), "parsed")
 
-    # Neighbours: a range partitioning keeps a hot host in order over many tasks; the rows at
-    # the partitions' ends (two a partition) meet their outer neighbours in a second step.
+    # Neighbours: a range partitioning keeps a hot host in order over many tasks. A run inside a
+    # partition is decided there; of the first and the last run, which may go on over any number of
+    # partitions, four pages a partition meet in one task, and each page is then decided by theirs.
     order = ["host", "path", "page_id", "h"]
     once = parsed.select(*order, "all", "open").dropDuplicates(order)  # repeated rows share one answer
     ordered = once.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
-    fields = ["host", "path", "page_id", "h", "all", "open"]
-    schema = _SLIM.format(kind)
+    page_type = to_arrow_type(id_type)
+    body = pa.struct([("host", pa.string()), ("path", pa.string()), ("all", pa.list_(pa.int64()))])
+    ends = ("first", "second", "penult", "last")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        window: list[dict] = []
-        ends: dict[int, dict] = {}  # the first two and the last two, by number
-        done, n = [], 0
+        run = last = before = None
+        runs, opens = 0, [False, False]
+        at: dict[str, dict | None] = dict.fromkeys(ends)
+        waiting: list[tuple] = []  # pages of the run that are to be decided: id, hash, path
+        done: list[tuple] = []
         for row in (r for batch in batches for r in batch.to_pylist()):
-            window = [*window[-2:], row]
-            if n < 2:
-                ends[n] = row
-            n += 1
-            if len(window) == 3 and window[1]["open"]:
-                done.append((window[1], template(window[1], [window[0], window[2]])))
-            if len(done) >= 1000:
-                yield rows(done, [])
-                done = []
-        ends.update({n - i: row for i, row in enumerate(reversed(window[-2:]), 1)})
-        yield rows(done, [(part << 40 | i, row) for i, row in sorted(ends.items())])
-
-    def rows(done: list, ends: list) -> pa.RecordBatch:
-        page_type = to_arrow_type(id_type)
-        body = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", page_type), ("h", pa.int64()), ("all", pa.list_(pa.int64())), ("open", pa.bool_())])
-        n, m = len(done), len(ends)
+            if run is None or not same(run, row):
+                if runs == 1:
+                    opens[0] = bool(waiting)
+                    done += [(i, h, None, path, 0) for i, h, path in waiting]
+                elif waiting:
+                    around = sides(run, before, row)
+                    done += [(i, h, nearer(path, around), None, None) for i, h, path in waiting]
+                run, before, waiting, runs = row, last, [], runs + 1
+                if runs <= 2:
+                    at[ends[runs - 1]] = row
+                if len(done) >= 1000:
+                    yield rows(done, part, None)
+                    done = []
+            last = row
+            if row["open"]:
+                waiting.append((row["page_id"], row["h"], row["path"]))
+        if runs:
+            side = int(runs > 1)
+            opens[side] = bool(waiting)
+            done += [(i, h, None, path, side) for i, h, path in waiting]
+            at |= {"penult": before, "last": last}
+            yield rows(done, part, {"runs": runs, "opens": opens} | {k: x and {n: x[n] for n in ("host", "path", "all")} for k, x in at.items()})
+
+    def rows(done: list, part: int, end: dict | None) -> pa.RecordBatch:
+        columns = [*map(list, zip(*done, strict=True))] if done else [[], [], [], [], []]
+        kinds = [page_type, pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int32()]
+        extra = [None] if end else []
         return pa.RecordBatch.from_arrays([
-            pa.array([x[0]["page_id"] for x in done] + [None] * m, page_type), pa.array([x[0]["h"] for x in done] + [None] * m, pa.int64()),
-            pa.array([x[1] for x in done] + [None] * m, pa.list_(pa.int64())), pa.array([None] * n + [x[0] for x in ends], pa.int64()),
-            pa.array([None] * n + [{k: x[1][k] for k in fields} for x in ends], body),
-        ], ["page_id", "h", "shared", "place", "end"])
+            *(pa.array(c + extra, t) for c, t in zip(columns, kinds, strict=True)), pa.array([part] * (len(done) + len(extra)), pa.int64()),
+            pa.array([None] * len(done) + [end] * len(extra), pa.struct([("runs", pa.int64()), ("opens", pa.list_(pa.bool_())), *((k, body) for k in ends)])),
+        ], ["page_id", "h", "shared", "path", "side", "part", "ends"])
 
     def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["place"])
-        pages_in_order = [r["end"] for r in line]
-        part = [r["place"] >> 40 for r in line]
-        done = []
-        for i, page in enumerate(pages_in_order):
-            first = i == 0 or part[i - 1] != part[i]
-            last = i + 1 == len(line) or part[i + 1] != part[i]
-            if page["open"] and (first or last):
-                done.append((page, template(page, pages_in_order[max(0, i - 1) : i] + pages_in_order[i + 1 : i + 2])))
-        yield rows(done, [])
-
-    paired = scratch.table(ordered.mapInArrow(pair, f"page_id {kind}, h long, shared array<long>, place long, end struct<{schema}>"), "paired")
-    outer = paired.where("end is not null").select("place", "end").coalesce(1).mapInArrow(join_ends, f"page_id {kind}, h long, shared array<long>, place long, end struct<{schema}>")
-    verdicts = paired.where("end is null").select("page_id", "h", "shared").unionByName(outer.select("page_id", "h", "shared"))
+        found = [*outer([r["ends"] | {"part": r["part"]} for batch in batches for r in batch.to_pylist()])]
+        around = pa.list_(pa.struct([("path", pa.string()), ("shared", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()),
+            pa.array([[y and {"path": y[0], "shared": y[1]} for y in x[2]] for x in found], around),
+        ], ["part", "side", "around"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = [nearer(p, [y and (y["path"], y["shared"]) for y in x]) for p, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], ["page_id", "h", "shared"])
+
+    slim_body = "struct<host:string,path:string,all:array<long>>"
+    paired = scratch.table(ordered.mapInArrow(pair, f"page_id {kind}, h long, shared array<long>, path string, side int, part long, ends struct<runs:long,opens:array<boolean>,{','.join(f'{k}:{slim_body}' for k in ends)}>"), "paired")
+    outside = paired.where("ends is not null").select("part", "ends").coalesce(1).mapInArrow(join_ends, "part long, side int, around array<struct<path:string,shared:array<long>>>")
+    left = paired.where("side is not null").select("page_id", "h", "path", "part", "side")
+    # Two rows a partition, each with the lines of one page at most.
+    left = left.join(F.broadcast(outside), ["part", "side"]).select("page_id", "h", "path", "around")
+    verdicts = paired.where("shared is not null").select("page_id", "h", "shared").unionByName(left.mapInArrow(decide, f"page_id {kind}, h long, shared array<long>"))
 
     decided = parsed.where("not open").select("page_id", "url", "text")
     doubtful = parsed.where("open").select("page_id", "url", "h", "kept")
-    same = F.col("page_id").eqNullSafe(F.col("v_id")) & (F.col("h") == F.col("v_h"))
-    resolved = doubtful.join(verdicts.select(F.col("page_id").alias("v_id"), F.col("h").alias("v_h"), "shared"), same, "left")
+    mine = F.col("page_id").eqNullSafe(F.col("v_id")) & (F.col("h") == F.col("v_h"))
+    resolved = doubtful.join(verdicts.select(F.col("page_id").alias("v_id"), F.col("h").alias("v_h"), "shared"), mine, "left")
     stays = F.filter("kept", lambda x, i: ~(x.d & F.array_contains(F.coalesce("shared", F.array().cast("array<long>")), i.cast("long"))))
     resolved = resolved.select("page_id", "url", F.array_join(F.transform(stays, lambda x: x.t), " ").alias("text"))
     return decided.unionByName(resolved).withColumnsRenamed({"page_id": id_col, "url": url_col})
