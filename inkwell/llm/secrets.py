@@ -2,8 +2,9 @@
 
 Pass one finds pattern spans and generic high-entropy candidates in every whole text. Only
 salted hashes of their values leave the scan; they are aggregated by distinct repositories
-and owners. A value that many owners carry is a copied example; one that few owners carry and
-that looks random is live-looking, and the scan adds a span for each of its occurrences.
+and owners, copies of a text as one repository. A value that many owners carry is a copied example;
+one that few owners carry and that looks random is live-looking, and the scan adds a span for
+each of its occurrences.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A candidate's least entropy in bits a character, and the most owners and repositories of a
-#: live-looking value.
+#: A candidate's least entropy in bits a character, and the most owners and, where it has several
+#: owners, repositories of a live-looking value.
 ENTROPY, OWNERS, REPOS = 3.0, 2, 50
 
 
@@ -68,7 +69,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     own; null ids and repeated rows keep their own row, and copies of a row count once as
     owners; an empty table gives no rows; other columns are not carried. Positions are code
     points. ``token`` spans are those of live-looking candidates: at most ``max_owners``
-    distinct owners and ``max_repos`` repositories carry the value anywhere in the corpus.
+    distinct owners carry the value anywhere in the corpus, and if these are two or more, at
+    most ``max_repos`` repositories. Copies of a text under any ids count as one repository.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -83,22 +85,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                 extra.append([{"s": s, "k": 3, "e": e, "v": text[s:e]} for s, e in candidates(text)] + [{"s": s, "k": k, "e": e, "v": v} for s, k, e, v in found])
             spans = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())])
             more = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64()), ("v", pa.string())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(base, pa.list_(spans)), pa.array(extra, pa.list_(more))], ["id", "owner", "repo", "base", "extra"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(base, pa.list_(spans)), pa.array(extra, pa.list_(more))], ["id", "owner", "repo", "copy", "base", "extra"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
-    found = slim.mapInArrow(run, f"id {kind}, owner string, repo string, base array<struct<s:long,k:int,e:long>>, extra array<struct<s:long,k:int,e:long,v:string>>")
+    found = slim.withColumn("copy", F.xxhash64("text")).mapInArrow(run, f"id {kind}, owner string, repo string, copy long, base array<struct<s:long,k:int,e:long>>, extra array<struct<s:long,k:int,e:long,v:string>>")
     # Values are replaced by hashes before anything is written.
     found = found.withColumn("extra", F.transform("extra", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.xxhash64(F.lit("ownership"), x.v).alias("h"))))
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "spans")
 
-    each = found.where(F.size("extra") > 0).select("row", "owner", "repo", F.explode("extra").alias("x")).select("row", "owner", "repo", "x.*")
+    each = found.where(F.size("extra") > 0).select("row", "owner", "repo", "copy", F.explode("extra").alias("x")).select("row", "owner", "repo", "copy", "x.*")
     none = F.lit("\0null")
-    # From (value, owner, repository) up, so that a value in a third of all rows is reduced
-    # on the map side of each shuffle.
-    per_repo = each.select("h", F.coalesce("owner", none).alias("owner"), F.coalesce("repo", none).alias("repo")).distinct()
-    per_owner = per_repo.groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    owned = per_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    # From single owners and texts up, so that a value in a third of all rows is reduced on the
+    # map side of each shuffle. The least owner and repository stand for all copies of a text.
+    carried = each.select("h", "copy", F.coalesce("owner", none).alias("owner"), F.coalesce("repo", none).alias("repo"))
+    owners = carried.select("h", "owner").distinct().select("h", F.lit(1).alias("owners"), F.lit(0).alias("repos"))
+    repos = carried.groupBy("h", "copy").agg(F.min(F.struct("owner", "repo")).alias("least")).select("h", "least").distinct().select("h", F.lit(0).alias("owners"), F.lit(1).alias("repos"))
+    owned = owners.unionByName(repos).groupBy("h").agg(F.sum("owners").alias("owners"), F.sum("repos").alias("repos"))
+    live = (F.col("owners") <= max_owners) & ((F.col("owners") == 1) | (F.col("repos") <= max_repos))
     verdicts = scratch.table(owned.select("h", live.alias("live")), "verdicts")
     judged = each.join(verdicts, "h")
     added = judged.groupBy("row").agg(
