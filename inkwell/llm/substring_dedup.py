@@ -1,9 +1,9 @@
-"""Substring deduplication of word sequences by prefix-partitioned suffix trees (operator 6).
+"""Substring deduplication of word sequences by prefix groups of suffixes (operator 6).
 
 Suffixes are split by variable-length prefixes: the anchor's words, and for a prefix that
-very many suffixes share, the whole window. Each group becomes a suffix tree built from the
-root down: a node's suffixes are split by the words that follow, nodes with one suffix are
-leaves and are dropped, and the internal nodes at the window's depth are the repeats.
+very many suffixes share, the whole window. In each group prefixes are ranked, doubling their
+length up to the window's; suffixes whose prefix occurs once are dropped, and equal ranks are
+the repeats. These are the nodes at the window's depth of a suffix tree, but no tree is built.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ WINDOW = 35
 
 
 def search(words: np.ndarray, starts: np.ndarray, first: bool, t: int = WINDOW) -> np.ndarray:
-    """Leaves below the internal nodes of depth ``t``; ``first``: but each node's first leaf."""
+    """Starts of windows that occur twice; ``first``: but each window's first start."""
     node = repeats.groups(words.astype(vec.U))
     return repeats.repeated_starts(repeats.classes(node, 1, t), starts, first)
 

@@ -1,10 +1,9 @@
-"""Suffix-array deduplication of byte strings (operator 4).
+"""Suffix deduplication of byte strings by ranks of equal windows (operator 4).
 
-A group of suffixes is put in suffix order by prefix doubling up to the window's length, with
-equal prefixes in the order of their places. In that order the previous smaller place of a
-suffix with the same window is its earlier match (its longest-previous-factor is at least a
-window long), and the next greater one its later match: keeping the first copy removes what
-has an earlier match, keeping none removes what has either.
+Prefixes of a group of suffixes are ranked by prefix doubling up to the window's length, and
+equal ranks are put in the order of their places. The place before a suffix of the same rank is
+its earlier match, and the one after it its later match: keeping the first copy removes what
+has an earlier match, keeping none removes what has either. No LPF array is built.
 """
 
 from __future__ import annotations
