@@ -12,9 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and labels as articles: nullable dates, scores, priorities and decorated URLs."""
+def ledger(spark: SparkSession, sf_dir: str, merge: bool = False) -> DataFrame:
+    """documents and labels as articles: nullable dates, scores, priorities and decorated URLs.
+
+    ``merge``: a merge join at every size, where whole texts go through it.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = labels.hint("merge") if merge else labels
     tail = F.when(F.col("doc_id") % 4 == 0, "/").when(F.col("doc_id") % 4 == 1, F.concat(F.lit("?utm_source=x&id="), "doc_id")).when(F.col("doc_id") % 4 == 2, "#top").otherwise("")
     topics = F.create_map(*[F.lit(x) for x in ("en", "ai-operating-model", "fr", "data-architecture", "de", "consumer-brand", "es", "governance-risk-trust")])
     return docs.join(labels, "doc_id", "left").select(

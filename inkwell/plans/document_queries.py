@@ -148,7 +148,7 @@ QUERIES = {
     "first_paragraphs": lambda s, sf: _plain(s, sf).select("id", text.first_paragraph(F.col("text")).alias("lead"), text.escape_html(F.col("text")).alias("escaped")),
     "label_distance": lambda s, sf: b.ledger(s, sf).select("id", F.round(text.label_distance(*[F.regexp_replace(F.substring(c, i, 40), "[^ -~]", "") for c, i in (("title", 1), ("content", 10))]), 9).alias("distance")),
     # Whole labels of any script: the title and the text's second line. No SQL: DuckDB's levenshtein counts bytes.
-    "label_distance_whole": lambda s, sf: b.ledger(s, sf).select("id", F.round(text.label_distance(F.col("title"), F.get(F.split("content", "\n"), F.lit(1))), 9).alias("distance")),
+    "label_distance_whole": lambda s, sf: b.ledger(s, sf, merge=True).select("id", F.round(text.label_distance(F.col("title"), F.get(F.split("content", "\n"), F.lit(1))), 9).alias("distance")),
     "browse_filter": lambda s, sf: browse.browse(b.ledger(s, sf), year="2026", category="ai-operating-model", priority="must-read", keyword=" THE ").select("id", "publisher", "title"),
     "sort_by_date": lambda s, sf: (lambda rows: browse.page(rows, browse.ordered(rows, "date"), 2).select("id", "published_at", scores.normalized(F.col("score_total"), F.col("score_scale")).alias("percent")))(b.ledger(s, sf)),
     "sort_by_score": lambda s, sf: (lambda rows: browse.page(rows, browse.ordered(rows, "score"), 1).select("id", "published_at", scores.normalized(F.col("score_total"), F.col("score_scale")).alias("percent")))(b.ledger(s, sf)),

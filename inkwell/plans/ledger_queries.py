@@ -163,7 +163,7 @@ QUERIES = {
     "archive_audit": lambda s, sf: archive.audit(_audited(s, sf)),
     "id_set_equality": lambda s, sf: archive.set_difference(b.ledger(s, sf).where("doc_id % 50 != 0"), b.ledger(s, sf).where("doc_id % 60 != 0")),
     "manifest": lambda s, sf: archive.manifest(b.ledger(s, sf).withColumn("content", F.substring("content", 1, 80)), ["id", "publisher", "title", "published_at", "priority", "content"], "doc_id"),
-    "manifest_whole": lambda s, sf: archive.manifest(b.ledger(s, sf), ["id", "publisher", "title", "published_at", "priority", "content"], "doc_id"),
+    "manifest_whole": lambda s, sf: archive.manifest(b.ledger(s, sf, merge=True), ["id", "publisher", "title", "published_at", "priority", "content"], "doc_id"),
     "create_if_missing": lambda s, sf: archive.create_if_missing(b.ledger(s, sf).where("doc_id % 2 = 0").select("id", F.lit("kept").alias("body")), b.ledger(s, sf).where("doc_id % 3 = 0").select("id", F.lit("new").alias("body"))),
     "upsert_latest": lambda s, sf: archive.upsert(b.ledger(s, sf).select("id", F.lit(1).alias("updated_at"), F.length("content").alias("characters")), b.ledger(s, sf).where("doc_id % 4 = 0").select("id", (F.col("doc_id") % 3).cast("int").alias("updated_at"), F.lit(0).alias("characters"))),
     "safe_paths": lambda s, sf: b.ledger(s, sf).select("id", archive.safe_path(F.concat(F.lit("/archive/"), "publisher", F.lit("/"), F.when(F.col("doc_id") % 5 == 0, "%2e%2e").when(F.col("doc_id") % 7 == 0, ".hidden").otherwise(F.col("id")), F.when(F.col("doc_id") % 3 == 0, "/source.md").when(F.col("doc_id") % 3 == 1, "/reader.html").otherwise("/other.js"))).alias("safe")),
