@@ -3,10 +3,11 @@
 1. One pass makes each text's set of word 5-grams and its band keys; texts with one set
    become one node with a number of copies.
 2. Bands shuffle nodes on their keys; a key's nodes are tied to its least node, never paired.
-3. The nodes that hang together are verified on their full sets, in tiles of bounded size:
-   all pairs of a tile are compared by one sparse-to-dense product. A tile gives back each
-   node's number of links and a spanning forest, so that a group of near copies costs rows
-   in proportion to its texts, while every link between different texts is counted.
+3. The nodes that hang together are verified on their full sets: a bunch of bounded size in one
+   task; a larger one is cut into cells, and the cells that share a band meet in tiles. The pairs
+   of a tile are compared by one sparse-to-dense product. A tile gives back each node's number
+   of links and a spanning forest, so that a group of near copies costs rows in proportion
+   to its texts, while every link between different texts is counted.
 """
 
 from __future__ import annotations
@@ -26,18 +27,23 @@ from inkwell.scratch import Scratch, parallelism
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 WORD = r"[^\x20\x09-\x0D]"
 #: Most hash functions, and most texts and words of one side of a tile.
-HASHES, TILE_TEXTS, TILE_WORDS = 160, 128, 400_000
+HASHES, TILE_TEXTS, TILE_WORDS = 160, 1024, 400_000
 _COLUMNS = 4096
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
-    """The most rows a band, and then the fewest bands, that find a pair at the threshold with the target recall."""
-    best = (1, 1)
+    """The most rows a band, and then the fewest bands, that find a pair at the threshold with the target recall.
+
+    A threshold so low that even bands of one row would be more than ``most`` is refused.
+    """
+    best = None
     for rows in range(1, most + 1):
         bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows > most:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"a threshold of {threshold} takes more than {most} hash functions for a recall of {recall}")
     return best
 
 
@@ -107,7 +113,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["id", "h", "size", "k1", "k2", "keys"])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     found = slim.mapInArrow(sign, f"id {kind}, h long, size long, k1 long, k2 long, keys array<long>")
     found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
@@ -117,19 +123,34 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     nodes = groups.hint("merge").join(found.select("row", "id", "h", "size", "keys"), "row").withColumnRenamed("row", "node")
     nodes = scratch.table(nodes, "nodes")
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = scratch.table(banded.join(hubs.hint("merge"), "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
-    bunches = graph.components(ties, scratch, "bunch")
-
-    # Tiles: a bunch is cut into chunks, and each pair of chunks meets in one group.
-    members = scratch.table(bunches.join(nodes.select("node", "copies", "id", "h", "size"), "node"), "members")
-    shape = members.groupBy("root").agg(F.least(F.count("*"), F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS))).cast("int").alias("chunks"))
-    placed = members.join(shape, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    hubs = scratch.table(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
+    tied = scratch.table(banded.join(hubs.hint("merge"), "key").select("node", "key", "hub"), "tied")
+    bunches = graph.contracted(tied.select("node", "hub"), scratch, "bunch")
+
+    # Cells: a bunch that is too large for one task is cut by the least hub, so that most texts
+    # that share a band are in one cell; what one hub leads is cut again where it is too large.
+    members = scratch.table(bunches.join(nodes.select("node", "copies", "id", "h", "size").hint("merge"), "node"), "members")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS)).cast("long")
+    shape = scratch.table(members.groupBy("root").agg(parts().alias("cells")).where("cells > 1"), "shape")
+    large = members.join(shape.hint("merge"), "root")
+    led = scratch.table(large.groupBy("near").agg(parts().alias("split")).where("split > 1"), "led")
+    cell = F.when(F.col("split") > 1, F.xxhash64("near", F.pmod(F.xxhash64("node"), "split"))).otherwise(F.pmod(F.xxhash64("near"), "cells"))
+    large = scratch.table(large.join(led.hint("merge"), "near", "left").select("root", "node", cell.alias("cell")), "cells")
+    # Only cells that share a band meet: the cells of a key are few, and most keys have the same ones.
+    meet = tied.select("node", "key").join(large.hint("merge"), "node").groupBy("root", "key").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    meet = meet.select("root", "cells").distinct().select("root", "cells", F.explode("cells").alias("i"))
+    meet = meet.select("root", "i", F.explode(F.filter("cells", lambda c: c >= F.col("i"))).alias("j")).distinct()
+    meet = scratch.table(meet, "meet")
+    sides = meet.select("root", F.col("i").alias("cell"), "i", "j").union(meet.where("i != j").select("root", F.col("j").alias("cell"), "i", "j"))
+    tiles = large.join(sides.groupBy("root", "cell").agg(F.collect_list(F.struct("i", "j")).alias("tiles")).hint("merge"), ["root", "cell"])
+    one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    whole = members.join(shape.hint("merge"), "root", "left_anti").select("root", "node", F.lit(0).cast("long").alias("cell"), one.alias("tiles"))
+    placed = scratch.table(whole.unionByName(tiles.select("root", "node", "cell", "tiles")), "placed")
     texts = slim.select(F.col("id").alias("doc"), "h", "text")
     # A merge join at every size: what small runs shuffle is in proportion to what large ones do.
-    placed = placed.withColumnRenamed("h", "hash").hint("merge").join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("h")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("i"), F.greatest(c, "chunk").alias("j"))))
-    tiles = placed.select("root", "node", "copies", "chunk", "text", pair.alias("t")).select("root", "t.i", "t.j", "chunk", "node", "copies", "text")
+    placed = placed.hint("merge").join(members.select("node", "copies", "id", F.col("h").alias("hash")), "node")
+    placed = placed.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("h")))
+    tiles = placed.select("root", "node", "copies", "cell", "text", F.explode("tiles").alias("t")).select("root", "t.i", "t.j", "cell", "node", "copies", "text")
     tiles = tiles.repartition(parallelism(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     limit = Fraction(threshold).limit_denominator(10_000)
 
@@ -140,7 +161,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
     links = scratch.table(tiles.mapInArrow(verify, "a long, b long, links long"), "links")
-    scratch.drop("ties", "members", "bunch_edges")
+    scratch.drop("hubs", "tied", "members", "placed", "cells", "meet")
     classes = graph.components(links.where("a != b").select("a", "b"), scratch, "class")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "k1", "k2", "copies", "id", "h").join(classes, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
@@ -160,13 +181,15 @@ def one_of_each(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, r
     Rows that repeat both id and text are one document. Texts without a word all stay.
     """
     scratch = Scratch(docs.sparkSession, "representatives")
-    chosen = scratch.table(join(docs, k, threshold, recall, id_col, text_col).where("stays").select(F.col(id_col).alias("__id"), F.col("h").alias("__h")).groupBy("__id", "__h").agg(F.count("*").alias("__n")), "chosen")
-    hashed = docs.withColumn("__h2", F.xxhash64(F.col(text_col).cast("string")))
-    kept = hashed.join(chosen.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
-    if not chosen.where("__n > 1").isEmpty():
-        again = (F.col("__n") > 1) & F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
-        kept = kept.where(~again).unionByName(kept.where(again).dropDuplicates(["__id", "__h"]))
-    return kept.select(*docs.columns)
+    chosen = join(docs, k, threshold, recall, id_col, text_col).where("stays").select(F.col(f"`{id_col}`").alias("id"), "h")
+    chosen = scratch.table(chosen.groupBy("id", "h").agg(F.count("*").alias("n")), "chosen")
+    # The caller's row is one struct, so that no column of it can clash.
+    packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("mine"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    kept = packed.join(chosen.hint("merge"), F.col("mine").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
+    if not chosen.where("n > 1").isEmpty():
+        again = (F.col("n") > 1) & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+        kept = kept.where(~again).unionByName(kept.where(again).dropDuplicates(["id", "h"]))
+    return kept.select("row.*")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -193,20 +216,18 @@ def _links(group: pa.Table, k: int, limit: Fraction) -> tuple[np.ndarray, np.nda
     """Spanning edges (a, b) and link counts of one tile; a node with a == b carries only its count."""
     node, first = np.unique(group.column("node").to_numpy(), return_index=True)
     group = group.take(pa.array(first))
-    chunk, copies = group.column("chunk").to_numpy(), group.column("copies").to_numpy()
+    cell, copies = group.column("cell").to_numpy(), group.column("copies").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     texts = group.column("text").combine_chunks()
     owner, gram = [], []
-    for i, _, raw, at in vec.blocks(texts):
+    for row, _, raw, at in vec.blocks(texts):
         o, g = shingles(raw, at, k)
-        owner.append(o + i)
+        owner.append(o + row)
         gram.append(g)
     owner, gram = np.concatenate(owner), np.concatenate(gram)
     size = np.bincount(owner, minlength=len(node))
-    left = chunk == chunk.min()
-    cross = bool((~left).any())
-    rows, cols = (np.flatnonzero(left), np.flatnonzero(~left)) if cross else (np.arange(len(node)),) * 2
-    if group.column("i")[0].as_py() != group.column("j")[0].as_py() and not cross:
-        return (np.zeros(0, np.int64),) * 3  # the other chunk is empty
+    cross = i != j
+    rows, cols = (np.flatnonzero(cell == x) for x in (i, j))
     _, column, count = np.unique(gram, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     owner = owner[shared]
