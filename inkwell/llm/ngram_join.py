@@ -142,7 +142,9 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     meet = meet.select("root", "i", F.explode(F.filter("cells", lambda c: c >= F.col("i"))).alias("j")).distinct()
     meet = scratch.table(meet, "meet")
     sides = meet.select("root", F.col("i").alias("cell"), "i", "j").union(meet.where("i != j").select("root", F.col("j").alias("cell"), "i", "j"))
-    tiles = large.join(sides.groupBy("root", "cell").agg(F.collect_list(F.struct("i", "j")).alias("tiles")).hint("merge"), ["root", "cell"])
+    # Written, so that both sides of the join are plain shuffles and a hot cell can be split.
+    sides = scratch.table(sides.groupBy("root", "cell").agg(F.collect_list(F.struct("i", "j")).alias("tiles")), "sides")
+    tiles = large.join(sides.hint("merge"), ["root", "cell"])
     one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     whole = members.join(shape.hint("merge"), "root", "left_anti").select("root", "node", F.lit(0).cast("long").alias("cell"), one.alias("tiles"))
     placed = scratch.table(whole.unionByName(tiles.select("root", "node", "cell", "tiles")), "placed")
@@ -161,7 +163,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
     links = scratch.table(tiles.mapInArrow(verify, "a long, b long, links long"), "links")
-    scratch.drop("hubs", "tied", "members", "placed", "cells", "meet")
+    scratch.drop("hubs", "tied", "members", "placed", "cells", "meet", "sides")
     classes = graph.components(links.where("a != b").select("a", "b"), scratch, "class")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "k1", "k2", "copies", "id", "h").join(classes, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
