@@ -119,7 +119,7 @@ def matches(texts: pa.Array, seeds: Seeds, least: int, coverage: float) -> Itera
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, tile_size: int) -> Iterator[tuple[list, list[str]]]:
     """Ids and lower-case texts of the benchmark, by blocks of bounded size."""
-    rows = benchmark.select(F.col(item_col).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     for b in range(n):
@@ -142,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
     spark = docs.sparkSession
     item_kind, item_type = benchmark.schema[item_col].dataType.simpleString(), to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {item_kind}, coverage double, n_tiles long, longest long, tiles array<struct<doc_token:long,item_token:long,length:long>>"
-    slim = docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string")).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     out = None
     for ids, texts in _blocks(benchmark, item_col, item_text_col, tile_size):
         shared = spark.sparkContext.broadcast((ids, texts))
@@ -165,19 +165,25 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that no item contaminates; see ``find``."""
+    """The rows of ``docs``, all columns under any names, that no item contaminates.
+
+    Rows with null or empty texts stay, as do all where the benchmark is empty or has only null
+    and empty items; null and repeated ids and repeated rows are judged each on their own
+    text, so copies go or stay together; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     for _, texts in _blocks(benchmark, item_col, item_text_col, tile_size):
         shared = docs.sparkSession.sparkContext.broadcast(texts)
         at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=docs.columns) -> Iterator[pa.RecordBatch]:
             seeds = Seeds(shared.value, tile_size)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in matches(batch.column(batch.num_columns - 1), seeds, tile_size, coverage)]] = False
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+                yield batch.select(range(batch.num_columns - 1)).rename_columns(names).filter(pa.array(keep))
 
-        folded = docs.select("*", F.lower(F.col(f"`{docs.columns[at]}`").cast("string")).alias("__folded"))
+        # The lower-case text comes last and is found by its place, whatever the columns' names.
+        folded = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select("*", F.lower(F.col(f"c{at}").cast("string")).alias("folded"))
         docs = folded.mapInArrow(run, docs.schema)
     return docs

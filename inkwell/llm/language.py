@@ -40,8 +40,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     more rows come first. Null languages and texts teach nothing.
     """
     slots = DICTIONARY // 256
-    slim = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("k"), F.substring(F.col(text_col), 1, SHARE).alias("t"), F.xxhash64(F.col(text_col)).alias("h")
+    slim = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}")).select(
+        F.col(f"`{lang_col}`").alias("k"), F.substring(F.col(f"`{text_col}`"), 1, SHARE).alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")
     )
     slim = slim.withColumn("slot", F.pmod("h", F.lit(slots)))
     # The lowest hash of each slot, reduced on the map side whatever a language's share of the rows.
@@ -115,24 +115,32 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             lang, score, rejected = classify(batch.column(1), models)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected; see ``identify``."""
+    """The rows of ``docs``, all columns under any names, whose language is not rejected.
+
+    Null texts and texts without a letter go; rows of null or repeated ids and repeated rows are
+    judged each on their own text; an empty table stays empty. Where nothing was learned (no
+    row has a language and letters) no row can be judged, and all stay.
+    """
+    if not dictionaries:
+        return docs
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Model(lang, raw) for lang, raw in shared.value.items()]
         for batch in batches:
-            yield batch.filter(pa.array(~classify(batch.column(at), models)[2]))
+            yield batch.rename_columns(names).filter(pa.array(~classify(batch.column(at), models)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns are found by their places, whatever their names.
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)
 
 
 def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows to learn from: crc32 of the id as text, modulo 3, is not 1."""
-    return docs.where(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1)
+    return docs.where(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(3)) != 1)

@@ -20,6 +20,8 @@ BITS, LEVEL_BITS, LEVELS = 60, 10, 3
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Equal rows that are written out of one row at once.
+RUN = 65_536
 
 
 def plan_targets(sources: DataFrame, share: float = 1.0) -> DataFrame:
@@ -42,39 +44,100 @@ def plan_targets(sources: DataFrame, share: float = 1.0) -> DataFrame:
 
 
 def _hash(seed: str, id_col: str):
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
 def _key(source_col: str):
-    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
 
 
-def thresholds(docs: DataFrame, scratch: Scratch, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The documents' sizes (id, key, size, h) and each source's plan (key, source_size, target, copies, threshold)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _hash(seed, id_col).alias("h"), _key(source_col).alias("key"))
-    rows = scratch.table(rows, "sizes")
-    sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    plan = scratch.table(plan_targets(sources), "targets")
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
-    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    state = plan.select("key", base.alias("copies"), (F.col("target") - base * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+def _small(plan: DataFrame):
+    return F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
+
+
+def _refine(rows: DataFrame, budgets: DataFrame, small, scratch: Scratch, label: str) -> DataFrame:
+    """Where each source's budget ends among ``rows`` (key, v, size, n): budgets (key, budget) with bucket, before, m and n.
 
-    slim = rows.where("size > 0").select("key", "h", "size")
+    ``bucket`` is the first value v at which the running sum exceeds the budget (null: all fits),
+    ``before`` the sum below it, m and n the size and the rows at it.
+    """
     running = Window.partitionBy("key").orderBy("bucket")
+    state = budgets.select("key", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(1, LEVELS + 1):
         shift = BITS - LEVEL_BITS * level
-        inside = slim if level == 1 else slim.withColumn("prefix", F.shiftright("h", shift + LEVEL_BITS)).join(small(state.select("key", "prefix")), ["key", "prefix"], "left_semi")
-        counts = inside.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("m"))
-        counts = counts.withColumn("upto", F.sum("m").over(running))
-        state = scratch.table(_boundary(state, counts), f"level{level}")
+        inside = rows if level == 1 else rows.withColumn("prefix", F.shiftright("v", shift + LEVEL_BITS)).join(small(state.select("key", "prefix")), ["key", "prefix"], "left_semi")
+        counts = inside.groupBy("key", F.shiftright("v", shift).alias("bucket")).agg(F.sum("size").alias("m"), F.sum("n").alias("n"))
+        first = _boundary(state, counts.withColumn("upto", F.sum("m").over(running)))
+        # A source all of which fits keeps a prefix that no hash has.
+        state = scratch.table(first.select("key", "budget", F.coalesce("bucket", F.lit(1 << BITS)).alias("prefix"), F.coalesce("before", "below").alias("below")), f"{label}{level}")
     # A bucket of the last level holds a 2**-30 part of a source: its hashes are told apart one by one.
-    inside = slim.withColumn("prefix", F.shiftright("h", BITS - LEVEL_BITS * LEVELS)).join(small(state.select("key", "prefix")), ["key", "prefix"], "left_semi")
-    counts = inside.groupBy("key", F.col("h").alias("bucket")).agg(F.sum("size").alias("m")).withColumn("upto", F.sum("m").over(running))
-    state = _boundary(state, counts, last=True)
-    plan = plan.join(state.select("key", "copies", "threshold"), "key").select("key", "source_size", "target", "copies", "threshold")
-    return rows, small(scratch.table(plan, "thresholds"))
+    inside = rows.withColumn("prefix", F.shiftright("v", BITS - LEVEL_BITS * LEVELS)).join(small(state.select("key", "prefix")), ["key", "prefix"], "left_semi")
+    counts = inside.groupBy("key", F.col("v").alias("bucket")).agg(F.sum("size").alias("m"), F.sum("n").alias("n"))
+    return _boundary(state, counts.withColumn("upto", F.sum("m").over(running)))
+
+
+def _boundary(state: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each source's first bucket in which the running sum exceeds its budget; nulls where none does."""
+    over = state.select("key", "budget", "below").join(counts, "key").where(F.col("below") + F.col("upto") > F.col("budget"))
+    first = over.groupBy("key").agg(F.min(F.struct("bucket", "upto", "m", "n")).alias("b"))
+    joined = state.join(first, "key", "left")
+    return joined.select("key", "budget", "below", "b.bucket", (F.col("below") + F.col("b.upto") - F.col("b.m")).alias("before"), "b.m", "b.n")
+
+
+def thresholds(docs: DataFrame, scratch: Scratch, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The documents' sizes (id, key, size, h), each source's plan (key, source_size, target, copies, threshold, tied), and ties.
+
+    A document is taken once more where h < threshold. ``tied`` says that several rows share the
+    hash at which the budget ends, for their ids are null or equal. Those rows are in ``ties``:
+    (key, row, n, size, more), n equal rows of which ``more`` are taken once more. They are told
+    apart by a hash of all their columns; of rows that are equal in all columns as many are
+    taken as come nearest to the budget. None where no source is tied.
+    """
+    source, text = F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), _size(text).alias("size"), _hash(seed, id_col).alias("h"), _key(source_col).alias("key"))
+    rows = scratch.table(rows, "sizes")
+    sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    plan = scratch.table(plan_targets(sources), "targets")
+    small = _small(plan)
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("copies", base)
+    budgets = plan.select("key", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"))
+    slim = rows.where("size > 0").select("key", F.col("h").alias("v"), "size", F.lit(1).cast("long").alias("n"))
+    ends = _refine(slim, budgets, small, scratch, "level")
+    nearer = (F.col("before") + F.col("m") - F.col("budget")) < (F.col("budget") - F.col("before"))
+    tied = F.coalesce(F.col("n") > 1, F.lit(False))
+    # The document at the threshold goes to the nearer side; tied ones are told apart.
+    threshold = F.coalesce(F.col("bucket") + F.when(tied, 0).otherwise(nearer.cast("long")), F.lit(1 << BITS))
+    ends = scratch.table(ends.select("key", "budget", "before", threshold.alias("threshold"), tied.alias("tied")), "ends")
+    plan = scratch.table(plan.join(ends, "key").select("key", "source_size", "target", "copies", "threshold", "tied", (F.col("budget") - F.col("before")).alias("rest")), "thresholds")
+    if plan.where("tied").isEmpty():
+        return rows, small(plan), None
+
+    at = plan.where("tied").select("key", F.col("threshold").alias("v"), "rest")
+    content = F.xxhash64(F.to_json(F.struct("*"))).bitwiseAND(F.lit((1 << BITS) - 1))
+    packed = docs.select(F.struct("*").alias("row"), _key(source_col).alias("key"), _hash(seed, id_col).alias("v"), _size(text).alias("size"), content.alias("c"))
+    groups = packed.where("size > 0").join(small(at), ["key", "v"]).groupBy("key", "c").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("row").alias("row"), F.first("rest").alias("budget"))
+    groups = scratch.table(groups, "groups")
+    ends = _refine(groups.select("key", F.col("c").alias("v"), (F.col("size") * F.col("n")).alias("size"), "n"), at.withColumnRenamed("rest", "budget"), small, scratch, "tie")
+    ends = scratch.table(ends.select("key", "bucket", "before"), "tie_ends")
+    left = F.col("budget") - F.col("before")
+    near = F.least("n", F.ceil(left / F.col("size") - 0.5).cast("long"))
+    more = F.when(F.col("bucket").isNull() | (F.col("c") < F.col("bucket")), F.col("n")).when(F.col("c") == F.col("bucket"), F.greatest(near, F.lit(0).cast("long"))).otherwise(0)
+    ties = groups.join(small(ends), "key").select("key", "row", "n", "size", more.cast("long").alias("more"))
+    return rows, small(plan), scratch.table(ties, "ties")
+
+
+def _size(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _repeated(rows: DataFrame, times, *columns) -> DataFrame:
+    """``columns`` of each row as often as ``times`` says, in runs of bounded size."""
+    runs = rows.withColumn("times", times.cast("long")).where("times > 0")
+    runs = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))).alias("run"))
+    length = F.least(F.lit(RUN).cast("long"), F.col("times") - F.col("run") * RUN).cast("int")
+    return runs.select("*", F.posexplode(F.array_repeat(F.lit(1), length)).alias("at", "one")).select(*columns)
 
 
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -82,39 +145,34 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
 
     Size is the number of words of the whole text (null: 0). Each document is taken
     floor(target / source size) times, and once more below its source's hash threshold; the
-    document at the threshold goes to the nearer side. A null source is a source; null ids
-    share one hash and repeated ids theirs, and rows of one hash are taken or left together;
-    an empty table gives no rows; other columns are not carried.
+    document at the threshold goes to the nearer side. A null source is a source. Rows of null
+    or equal ids share a hash; where a budget ends among them they are told apart by all their
+    columns, and of wholly equal rows the number nearest to the budget is taken. An empty
+    table gives no rows; other columns, whatever their names, are not carried.
     """
-    rows, plan = thresholds(docs, Scratch(docs.sparkSession, "mix"), seed, id_col, text_col, source_col)
-    copies = F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    out = rows.join(plan, "key").withColumn("copies", copies)
+    rows, plan, ties = thresholds(docs, Scratch(docs.sparkSession, "mix"), seed, id_col, text_col, source_col)
+    out = rows.join(plan, "key").select("id", "size", "source_size", "target", "tied", "h", "threshold", (F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).alias("copies"))
+    if ties is not None:
+        equal = ties.join(plan, "key").select(F.col("row").getField(id_col).alias("id"), "size", "source_size", "target", "copies", "n", "more")
+        facts = ("id", "size", "source_size", "target")
+        again = _repeated(equal, F.col("more"), *facts, (F.col("copies") + 1).alias("copies")).unionByName(_repeated(equal, F.col("n") - F.col("more"), *facts, "copies"))
+        out = out.where(~(F.col("tied") & (F.col("h") == F.col("threshold")) & (F.col("size") > 0))).select(*facts, "copies").unionByName(again)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as many times as it is taken; see ``mix``."""
-    _, plan = thresholds(docs, Scratch(docs.sparkSession, "mixed"), seed, id_col, text_col, source_col)
-    plan = plan.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
-    tagged = docs.withColumn("__mine", _key(source_col)).withColumn("__h", _hash(seed, id_col))
-    joined = tagged.join(plan, F.col("__mine") == F.col("__key"))
-    copies = F.col("__copies") + F.when(F.col("__h") < F.col("__threshold"), 1).otherwise(0)
-    times = F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("__time")
-    return joined.select(*docs.columns, times).select(*docs.columns)
-
-
-def _boundary(state: DataFrame, counts: DataFrame, last: bool = False) -> DataFrame:
-    """Each source's first bucket in which the running sum exceeds its budget.
+    """The mix itself: the rows of ``docs``, all columns, each as many times as it is taken.
 
-    A source without such a bucket keeps a prefix that no hash has (all is taken). ``last``:
-    buckets are single hashes, and the threshold is put on the nearer side of that hash.
+    Columns may have any names, those of this module's own included: a caller's row is one
+    struct here. Nulls, equal ids, equal rows, blank texts (never in a budget, so taken only
+    in whole copies of a source) and empty tables are as in ``mix``.
     """
-    over = state.select("key", "budget", "below").join(counts, "key").where(F.col("below") + F.col("upto") > F.col("budget"))
-    first = over.groupBy("key").agg(F.min(F.struct("bucket", "upto", "m")).alias("b"))
-    joined = state.join(first, "key", "left")
-    before = F.col("below") + F.col("b.upto") - F.col("b.m")
-    if not last:
-        nothing = F.lit(1 << BITS)
-        return joined.select("key", "copies", "budget", F.coalesce("b.bucket", nothing).alias("prefix"), F.coalesce(before, "below").alias("below"))
-    nearer = (before + F.col("b.m") - F.col("budget")) < (F.col("budget") - before)
-    return joined.select("key", "copies", F.coalesce(F.col("b.bucket") + nearer.cast("long"), F.lit(1 << BITS)).alias("threshold"))
+    _, plan, ties = thresholds(docs, Scratch(docs.sparkSession, "mixed"), seed, id_col, text_col, source_col)
+    packed = docs.select(F.struct("*").alias("row"), _key(source_col).alias("key"), _hash(seed, id_col).alias("h"), *([_size(F.col(f"`{text_col}`").cast("string")).alias("size")] if ties is not None else []))
+    joined = packed.join(plan, "key").withColumn("times", F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
+    if ties is not None:
+        joined = joined.where(~(F.col("tied") & (F.col("h") == F.col("threshold")) & (F.col("size") > 0)))
+    out = joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    if ties is not None:
+        out = out.unionByName(_repeated(ties.join(plan.select("key", "copies"), "key"), F.col("n") * F.col("copies") + F.col("more"), "row").select("row.*"))
+    return out

@@ -3,7 +3,9 @@
 Everything here works on a block of whole texts laid end to end in one byte buffer, so
 that the cost is a few numpy passes per byte and memory is bounded by the block (or by the
 longest single text). Hashes are polynomial prefix sums modulo 2**64 over seeded random
-tables, finished by a mixing step; a window's hash is two lookups whatever its length.
+tables, finished by a mixing step; a window's hash is two lookups a part of PART units. A
+polynomial modulo a power of two can't tell a Thue-Morse word of 1024 units from its
+complement; at PART units it can, and the mixing step between parts keeps it so.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 U = np.uint64
+#: Most units of a window that one polynomial stands for.
+PART = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,13 +53,30 @@ class Rolling:
         np.cumsum((self.table[units] if units.dtype == np.uint8 else units) * self._up[: len(units)], out=out[1:])
         return out
 
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _part(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self._down[start] + (end - start).astype(U))
 
+    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the windows [start, end), part by part."""
+        start, end = np.asarray(start), np.asarray(end)
+        out = self._part(prefix, start, np.minimum(end, start + PART))
+        long = np.flatnonzero(end - start > PART)
+        at = start[long] + PART
+        while len(long):
+            stop = np.minimum(at + PART, end[long])
+            out[long] = mix(out[long] * self.base + self._part(prefix, at, stop))
+            more = stop < end[long]
+            long, at = long[more], stop[more]
+        return out
+
     def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
         """Hashes of all windows of ``k`` units, by start."""
         n = len(prefix) - k
-        return mix((prefix[k:] - prefix[:n]) * self._down[:n] + U(k)) if n > 0 else np.zeros(0, U)
+        if n <= 0:
+            return np.zeros(0, U)
+        if k > PART:
+            return self.of(prefix, np.arange(n), np.arange(k, n + k))
+        return mix((prefix[k:] - prefix[:n]) * self._down[:n] + U(k))
 
 
 WORDS, GRAMS, CONTEXT = Rolling(11), Rolling(23), Rolling(37)
