@@ -8,8 +8,8 @@ how a memory-sized group of suffixes is searched:
    each anchor's key, a hash of its context (all windows that hold it) and its place.
 2. Keys that occur once are dropped: only suffixes that share a prefix of K units are left.
    Equal contexts are counted, not paired: where one occurs twice, all of it is repeated.
-3. The rest, one representative of each context, is fetched and dealt by key into groups of
-   bounded size, and the operator's search finds the repeated windows of each group.
+3. The rest, one representative of each context, is fetched and dealt by key, a prefix of K
+   units, into groups of bounded size, and the operator's search finds what each group repeats.
 4. A key with very many different contexts (a common passage) is not put in one group: its
    contexts are sorted over the cluster by both sides of the anchor, as suffixes are, and
    neighbours say what is shared; what that leaves open has its prefix lengthened to the
@@ -40,9 +40,9 @@ PIECE, GROUP, MANY = 1 << 19, 2 << 20, 1500
 STEPS = 8
 _INDEX = vec.U(21)
 
-#: search(units, starts, first): which of the valid window ``starts`` are repeated; with
-#: ``first``, only those that also occur earlier in ``units``.
-Search = Callable[[np.ndarray, np.ndarray, bool], np.ndarray]
+#: search(units, ends, first): starts and lengths of what is repeated in ``units``, whose segments
+#: have these ``ends``; with ``first``, only of what also occurs earlier.
+Search = Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
 
 
 def byte_units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,42 +101,6 @@ def _anchors(units: np.ndarray, at: np.ndarray, t: int, k: int, low: int, high:
     return owner, place - base, gram[place], context, lo - base, hi - base
 
 
-def classes(rank: np.ndarray, span: int, t: int) -> np.ndarray:
-    """Refine ranks of prefixes of ``span`` units to prefixes of ``t`` units, doubling; -1: occurs once."""
-
-    def refined(rank: np.ndarray, shift: int) -> np.ndarray:
-        out = np.full(max(len(rank) - shift, 0), -1, np.int64)
-        alive = np.flatnonzero((rank[: len(out)] >= 0) & (rank[shift:] >= 0))
-        out[alive] = groups(rank[alive] * (len(rank) + 1) + rank[alive + shift])
-        return out
-
-    while span * 2 <= t:
-        rank, span = refined(rank, span), span * 2
-    return refined(rank, t - span) if span < t else rank
-
-
-def groups(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of keys, in key order; -1 where a key occurs once."""
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]][: len(key)]
-    number = np.cumsum(new) - 1
-    alone = new & np.r_[new[1:], True][: len(key)]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.where(alone, -1, number)
-    return out
-
-
-def repeated_starts(rank: np.ndarray, starts: np.ndarray, first: bool) -> np.ndarray:
-    """From ranks of T-unit prefixes: starts that another start equals (``first``: an earlier one)."""
-    starts = starts[rank[starts] >= 0]
-    order = np.lexsort((starts, rank[starts]))
-    sa = starts[order]
-    same = rank[sa[1:]] == rank[sa[:-1]]
-    earlier = np.r_[False, same][: len(sa)]
-    return np.sort(sa[earlier if first else earlier | np.r_[same, False][: len(sa)]])
-
-
 class Corpus:
     """The places of repeated windows of one table."""
 
@@ -166,9 +130,10 @@ class Corpus:
         """(id, h, ranges) of the texts with repeated windows; ranges overlap and are unsorted."""
         s, t = self.scratch, self.t
         places = s.table(self._anchored(), "places")
-        twice = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        # Written, so that the join has plain shuffles on both sides and a hot key's side can be split.
+        twice = s.table(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
         shared = s.table(places.join(twice.hint("merge"), "key"), "shared")
-        s.drop("places")
+        s.drop("places", "twice")
         place = F.struct("id", "h", "place", "lo", "hi")
         contexts = s.table(shared.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "contexts")
 
@@ -179,7 +144,7 @@ class Corpus:
         found = whole.select("id", "h", F.col("lo").alias("start"), F.col("hi").alias("end"))
 
         # Keys with different contexts: fetch one text of each.
-        keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        keys = s.table(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
         wanted = contexts.join(keys.hint("merge"), "key").groupBy("rep.id", "rep.h").agg(F.collect_list(F.struct("key", "context", "n", "rep.place", "rep.lo", "rep.hi", (F.col("m") > MANY).alias("many"))).alias("wanted"))
         pieces = s.table(self._fetch(wanted), "pieces")
         few = pieces.where("not many").repartition(parallelism(self.spark), "key").sortWithinPartitions("key")
@@ -187,7 +152,7 @@ class Corpus:
         many = pieces.where("many")
         found = found.unionByName(self._lengthened(many) if self.keep_first else self._common(many))
         out = s.table(found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
-        s.drop("shared", "contexts", "pieces", "strings", "windows", "sides", "marked", "whole")
+        s.drop("shared", "contexts", "keys", "pieces", "strings", "windows", "sides", "marked", "whole")
         return out
 
     def _fetch(self, wanted: DataFrame) -> DataFrame:
@@ -222,7 +187,7 @@ class Corpus:
         return np.uint8 if self.units is byte_units else np.uint64
 
     def _searcher(self):
-        t, search, keep_first, kind = self.t, self.search, self.keep_first, self._kind()
+        search, keep_first, kind = self.search, self.keep_first, self._kind()
 
         def group(rows: pa.Table) -> pa.RecordBatch | None:
             ids = rows.column("id").combine_chunks()
@@ -253,10 +218,8 @@ class Corpus:
             ends.append(total)
             text = np.concatenate(pieces)
             limits = np.array(ends[1:], np.int64)
-            starts = np.arange(len(text) - t + 1) if len(text) >= t else np.zeros(0, np.int64)
-            starts = starts[starts + t <= limits[np.searchsorted(limits, starts, "right")]] if len(starts) else starts
-            hit = search(text, starts, keep_first)
-            inside = vec.covered(len(text), hit, hit + t)
+            start, length = search(text, limits, keep_first)
+            inside = vec.covered(len(text), start, start + length)
             out = []
             for r in np.flatnonzero((n == 1) | keep_first).tolist():
                 for a, b in zip(*vec.runs(inside[offset[r] : offset[r] + size[r]]), strict=True):

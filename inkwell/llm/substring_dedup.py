@@ -1,9 +1,10 @@
-"""Substring deduplication of word sequences by prefix groups of suffixes (operator 6).
+"""Substring deduplication of word sequences by prefix-partitioned suffix trees (operator 6).
 
-Suffixes are split by variable-length prefixes: the anchor's words, and for a prefix that
-very many suffixes share, the whole window. In each group prefixes are ranked, doubling their
-length up to the window's; suffixes whose prefix occurs once are dropped, and equal ranks are
-the repeats. These are the nodes at the window's depth of a suffix tree, but no tree is built.
+Suffixes are split by prefixes of variable length into groups that fit in memory: the words of
+an anchor, and for an anchor that very many suffixes share, nearly a window of words, and then
+a whole window, at which length equal prefixes are repeats and are counted. A group's subtrees
+are built from suffix order and common prefixes; their internal nodes at the window's depth or
+deeper whose leaves differ in the word before them are the maximal repeats.
 """
 
 from __future__ import annotations
@@ -12,15 +13,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkwell.llm import repeats, vec
+from inkwell.llm import repeats, suffixes, vec
 
 WINDOW = 35
 
 
-def search(words: np.ndarray, starts: np.ndarray, first: bool, t: int = WINDOW) -> np.ndarray:
-    """Starts of windows that occur twice; ``first``: but each window's first start."""
-    node = repeats.groups(words.astype(vec.U))
-    return repeats.repeated_starts(repeats.classes(node, 1, t), starts, first)
+def maximal_repeats(words: np.ndarray, ends: np.ndarray, t: int = WINDOW) -> list[tuple[int, np.ndarray]]:
+    """Length and places of each maximal repeat of ``t`` words or more: the deep internal nodes that are left-diverse."""
+    place, lcp, runs = suffixes.Suffixes(words, ends, t).neighbours()
+    depth, first, last, _, _ = suffixes.nodes(place, lcp, runs)
+    # Places before which nothing or the end of a segment stands differ from all others.
+    starts = np.isin(place, np.r_[0, ends])
+    before = words[np.maximum(place - 1, 0)]
+    differs = np.cumsum(np.r_[False, (before[1:] != before[:-1]) | starts[1:] | starts[:-1]][: len(place)])
+    diverse = np.flatnonzero(differs[last] > differs[first]) if len(place) else np.zeros(0, int)
+    return [(int(depth[i]), np.sort(place[first[i] : last[i] + 1])) for i in diverse]
+
+
+def search(words: np.ndarray, ends: np.ndarray, first: bool, t: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of repeats of ``t`` words or more; ``first``: of those that occur earlier.
+
+    A leaf takes the depth of its parent, the longest repeat that starts there; with ``first``
+    the depth of the deepest node that has a lesser leaf. Both are read off while nodes are made.
+    """
+    place, lcp, runs = suffixes.Suffixes(words, ends, t).neighbours()
+    *_, parent, later = suffixes.nodes(place, lcp, runs)
+    length = later if first else parent
+    return place[length > 0], length[length > 0]
 
 
 def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,8 +57,8 @@ def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: st
     if window < 4 or keep not in ("first", "none"):
         raise ValueError("window must be 4 or more, keep 'first' or 'none'")
 
-    def find(words, starts, first):
-        return search(words, starts, first, window)
+    def find(words, ends, first):
+        return search(words, ends, first, window)
 
     def finish(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
         words = raw.split()

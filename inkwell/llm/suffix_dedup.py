@@ -1,9 +1,10 @@
-"""Suffix deduplication of byte strings by ranks of equal windows (operator 4).
+"""Suffix-array deduplication of byte strings by longest previous factors (operator 4).
 
-Prefixes of a group of suffixes are ranked by prefix doubling up to the window's length, and
-equal ranks are put in the order of their places. The place before a suffix of the same rank is
-its earlier match, and the one after it its later match: keeping the first copy removes what
-has an earlier match, keeping none removes what has either. No LPF array is built.
+The suffixes of a group are sorted, and for each place the nearest smaller places before and
+after it in suffix order give the longest previous factor: what starts there and also starts
+earlier. Keeping the first copy removes what a previous factor of the window's length or more
+covers. Keeping none also removes what a longest next factor covers, the same array read with
+the places in reverse.
 """
 
 from __future__ import annotations
@@ -13,20 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm import repeats, vec
+from inkwell.llm import repeats, suffixes, vec
 
 WINDOW = 400
-_HEAD = 8
 
 
-def search(text: np.ndarray, starts: np.ndarray, first: bool, t: int = WINDOW) -> np.ndarray:
-    if not len(starts):
-        return starts
-    n = len(text) - _HEAD + 1
-    head = np.zeros(n, vec.U)
-    for i in range(_HEAD):
-        head = head << vec.U(8) | text[i : i + n]
-    return repeats.repeated_starts(repeats.classes(repeats.groups(head), _HEAD, t), starts, first)
+def factors(text: np.ndarray, ends: np.ndarray, t: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places with a match of ``t`` bytes or more, and their longest previous and longest next factors (0: below t)."""
+    place, lcp, runs = suffixes.Suffixes(text, ends, t).neighbours()
+    return place, suffixes.longest_previous(place, lcp, runs), suffixes.longest_previous(-place, lcp, runs)
+
+
+def search(text: np.ndarray, ends: np.ndarray, first: bool, t: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of repeats of ``t`` bytes or more; ``first``: of those that occur earlier."""
+    place, previous, following = factors(text, ends, t)
+    length = previous if first else np.maximum(previous, following)
+    return place[length > 0], length[length > 0]
 
 
 def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,11 +43,11 @@ def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: st
     other, and with ``keep='first'`` share one answer; other columns are not carried; an empty
     table gives no rows. ``window`` is at least 16.
     """
-    if window < 2 * _HEAD or keep not in ("first", "none"):
+    if window < 16 or keep not in ("first", "none"):
         raise ValueError("window must be 16 or more, keep 'first' or 'none'")
 
-    def find(text, starts, first):
-        return search(text, starts, first, window)
+    def find(text, ends, first):
+        return search(text, ends, first, window)
 
     def finish(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
         gone = vec.covered(len(raw), start, end)
