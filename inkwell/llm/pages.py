@@ -38,6 +38,11 @@ _NAMES = frozenset(
     "sidebar footer masthead comment comments disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended widget pagination pager toolbar skip search form".split()
 )
+#: What such names are joined with: a name of these parts only is left out inside an article as well.
+_BOXES = frozenset(
+    "box container wrapper wrap inner outer list block area section bar slot item items left right top bottom main site page links buttons button posts articles "
+    "policy law icons primary secondary unit text label head title body footer header form count thread reply replies".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,15 +58,20 @@ _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _ARTICLE, _MAIN = 2, 1
 
 
-def _named(attrs: str) -> tuple[bool, bool, bool]:
-    """From attributes: left out, a header, the main part."""
+def _named(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """From attributes: left out, a header, the main part. ``inside``: of an article or the main part.
+
+    There a word of a class or id isn't enough to leave an element out ("search-results",
+    "form-factor"): all its words must be such names or what they are joined with.
+    """
     out = header = main = False
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            parts = {p.lower() for p in _NAME_PARTS.findall(value)}
-            out |= not parts.isdisjoint(_NAMES)
-            header |= "header" in parts
+            for one in value.split():
+                parts = {p.lower() for p in _NAME_PARTS.findall(one)}
+                out |= not parts.isdisjoint(_NAMES) and (not inside or parts <= _NAMES | _BOXES)
+                header |= "header" in parts
         elif name == "role":
             out |= value.lower() in _ROLES
             main |= value.lower() == "main"
@@ -136,7 +146,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 elif stack[d][0] not in _INLINE:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
-        out, header, main = _named(attrs) if attrs.strip("/ \n\t") else (False, False, False)
+        out, header, main = _named(attrs, state[2] > 0) if attrs.strip("/ \n\t") else (False, False, False)
         if tag in ("html", "body", "main"):
             out = header = False
         elif tag == "article":
@@ -160,11 +170,16 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def content(page: str | None) -> tuple[list[str], list[bool]]:
-    """Lines of the page's main part, and which of them a neighbour may still show to be template."""
+    """Lines of the page's main part, and which of them a neighbour may still show to be template.
+
+    The main part is the main element with all articles, or where there is none the articles, or
+    where there are none all that no name leaves out. Articles, and a main element without any, vouch
+    for their lines unless these are mostly links; all other lines are open to doubt.
+    """
     found = lines(page or "")
     best = max((level for _, level, _ in found), default=0)
-    kept = [x for x in found if x[1] == best or (best == _MAIN and x[1])]
-    return [t for t, _, _ in kept], [best == 0 or links for _, _, links in kept]
+    kept = [x for x in found if x[1] or not best]
+    return [t for t, _, _ in kept], [not best or level < best or links for _, level, links in kept]
 
 
 def shared(mine: list[int], other: list[int]) -> set[int]:
