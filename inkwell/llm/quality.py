@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger (operator 7).
 
 Every rule is evaluated once per text. The ledger holds the measurements and one bit per
-failed rule; policies are versioned masks over those bits, so a new policy or an ablation
-never reads a text again. Map-only: no shuffle but the ablation's few counters.
+failed rule and is written as a table; policies are versioned masks over those bits, so a new
+policy or an ablation reads the ledger and never a text again. Map-only: no shuffle but the
+ablation's few counters.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import vec
-from inkwell.scratch import bounded_batches
+from inkwell.scratch import Scratch, bounded_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 GRAM = 5
@@ -116,10 +117,19 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[m]) for m in MEASURES)], [id_col, *MEASURES])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumn("failed", failed_bits())
 
 
+def stored(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of ``docs``, written once below ``path`` (or an intermediate folder) and read from there; see ``ledger``."""
+    rows = ledger(docs, id_col, text_col)
+    if path is None:
+        return Scratch(docs.sparkSession, "quality").table(rows, "ledger")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def apply_policy(rows: DataFrame, policy: str) -> Column:
     """True where no rule of the policy failed."""
     return F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0
@@ -128,7 +138,9 @@ def apply_policy(rows: DataFrame, policy: str) -> Column:
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: rows that fail it, and rows that only it rejects.
 
-    One aggregation to at most 2**rules counters of bit patterns, then arithmetic on those.
+    ``rows`` are a ledger; a text without words fails like any other, copies count each, and the
+    rules of an empty ledger have no row. One aggregation to at most 2**rules counters of bit
+    patterns, then arithmetic on those.
     """
     patterns = rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).alias("bit")) for r in POLICIES[policy]]))

@@ -45,9 +45,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(_documents(spark, sf_dir))
+    rows = quality.stored(_documents(spark, sf_dir))
     base_failed = ~quality.apply_policy(rows, "base")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.apply_policy(rows, "v1").alias("kept"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.apply_policy(rows, "v1").alias("kept"), "failed")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each rule of the policy rejects, and those that it alone rejects, from the stored ledger."""
+    return quality.ablations(quality.stored(_documents(spark, sf_dir)), "v1")
 
 
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LEDGER = rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+        g AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM p WHERE i + 4 <= len(w)),
+        t AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+        c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM t) GROUP BY r),
+        s AS (SELECT r, count(*) FILTER (i > 1 AND w[i] = w[i - 1]) AS n FROM p GROUP BY r),
+        l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+        ll AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(ll.dup, 0) AS n_dup_lines,
+                     coalesce(c.n, 0) AS n_repeat_words, coalesce(s.n, 0) AS n_stutters, coalesce(ll.n, 0) AS n_lines
+              FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r) LEFT JOIN ll USING (r)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_mix_sources": rf"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
@@ -101,23 +122,26 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (size * (copies + CASE WHEN upto <= budget OR (upto - m <= budget AND upto - budget < budget - (upto - m)) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM x""",
-    "op7_quality_rules": rf"""
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-        p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, w FROM d),
-        g AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM p WHERE i + 4 <= len(w)),
-        t AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
-        c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM t) GROUP BY r),
-        s AS (SELECT r, count(*) FILTER (i > 1 AND w[i] = w[i - 1]) AS n FROM p GROUP BY r),
-        l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-        ll AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
-        m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
-                     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(ll.dup, 0) AS n_dup_lines,
-                     coalesce(c.n, 0) AS n_repeat_words, coalesce(s.n, 0) AS n_stutters, coalesce(ll.n, 0) AS n_lines
-              FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r) LEFT JOIN ll USING (r)),
-        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    "op7_quality_rules": _LEDGER + r"""
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
                n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
                NOT base_failed AND NOT (10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * n_stutters > 3 * n_words
-                   OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+                   OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept,
+               (1 * (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+                + 16 * (10 * n_stutters > 3 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 15 * n_words)::INT)::BIGINT AS failed
         FROM b""",
 }
+
+#: Queries beside the ten operators' own, read from what these store.
+REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"quality_ablations": quality_ablations}
+REPORT_ORACLES: dict[str, str] = {
+    "quality_ablations": _LEDGER
+    + r"""
+        , f AS (SELECT [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words, 2 * n_dup_lines > n_lines,
+                        10 * n_stutters > 3 * n_words, word_chars < 2 * n_words, word_chars > 15 * n_words] AS hits FROM b),
+        r AS (SELECT unnest(['too_few_words', 'repeated_windows', 'symbol_heavy', 'duplicate_lines', 'stutter', 'short_words', 'long_words']) AS rule,
+                     unnest([1, 2, 3, 4, 5, 6, 7]) AS i)
+        SELECT rule, coalesce(sum(CASE WHEN hits[i] THEN 1 ELSE 0 END), 0)::BIGINT AS failing,
+               coalesce(sum(CASE WHEN hits[i] AND len(list_filter(hits, lambda x: x)) = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS only_this
+        FROM f, r GROUP BY rule"""
+}
