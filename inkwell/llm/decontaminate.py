@@ -10,6 +10,7 @@ covered part decides. The order of the tiles doesn't matter, so reordered passag
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from inkwell.scratch import bounded_batches
 #: Shortest tile in tokens (shorter items: the whole item), and the covered part of an item
 #: from which a document counts as contaminated.
 TILE, COVERAGE = 5, 0.6
-#: Most characters of the benchmark that are broadcast at once, in the mean.
+#: Characters of the benchmark from which no item more is broadcast at once.
 BLOCK_CHARS = 16_000_000
+#: Most shared seeds that are held at once, unless one document and one item share more.
+SEEDS = 4_000_000
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -51,22 +54,61 @@ class Seeds:
         self.by_width = {}
         for width, found in parts.items():
             gram, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(gram, kind="stable")
+            order = np.lexsort((at, item, gram))
+            gram, item, at = gram[order], item[order], at[order]
             seen = np.zeros(1 << 22, bool)
             seen[gram >> vec.U(42)] = True
-            self.by_width[width] = gram[order], item[order], at[order], seen
+            first = np.r_[0, np.flatnonzero(gram[1:] != gram[:-1]) + 1]
+            # Places of a gram in an item are found by one number: the gram's run, then the item.
+            run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(gram)]))
+            self.by_width[width] = gram[first], run * (len(texts) + 1) + item, item, at, seen
 
-    def hits(self, token: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, item, token position and item position of every shared seed."""
-        gram, item, at, seen = self.by_width[width]
+    def hits(self, token: np.ndarray, owner: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Owner, item, token position and item position of every shared seed, whole pairs at a time.
+
+        No more than SEEDS are yielded at once: documents with more are taken by ranges of items.
+        """
+        gram, keyed, item, at, seen = self.by_width[width]
         mine = vec.GRAMS.windows(vec.GRAMS.prefix(token), width)
         here = np.flatnonzero(seen[mine >> vec.U(42)])
         here = here[owner[here] == owner[here + width - 1]]
-        lo, hi = np.searchsorted(gram, mine[here], "left"), np.searchsorted(gram, mine[here], "right")
-        count = hi - lo
-        position = np.repeat(here, count)
-        which = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        return owner[position], item[which], position, at[which]
+        run = np.searchsorted(gram, mine[here])
+        known = gram[np.minimum(run, len(gram) - 1)] == mine[here]
+        here, run = here[known], run[known]
+        n = len(self.sizes)
+
+        def part(low: int, high: int, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            # Seeds ``low`` to ``high`` of the documents with items a to b.
+            lo, hi = (np.searchsorted(keyed, run[low:high] * (n + 1) + x) for x in (a, b))
+            count = hi - lo
+            total, rows = int(count.sum()), owner[here[low:high]]
+            if not total:
+                return
+            if total > SEEDS and rows[0] != rows[-1]:
+                edge = np.flatnonzero(np.diff(rows)) + 1
+                cut = low + int(edge[len(edge) // 2])
+                yield from part(low, cut, a, b)
+                yield from part(cut, high, a, b)
+            elif total > SEEDS and b - a > 1:
+                yield from part(low, high, a, (a + b) // 2)
+                yield from part(low, high, (a + b) // 2, b)
+            else:
+                position = np.repeat(here[low:high], count)
+                which = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
+                yield owner[position], item[which], position, at[which]
+
+        yield from part(0, len(here), 0, n)
+
+
+_built: dict[str, Seeds] = {}
+
+
+def _seeds(name: str, texts: list[str], tile_size: int) -> Seeds:
+    """The seeds of a block, built once in a worker's life."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Seeds(texts, tile_size)
+    return _built[name]
 
 
 def tile(p: np.ndarray, q: np.ndarray, n: int, least: int) -> list[tuple[int, int, int]]:
@@ -102,31 +144,39 @@ def matches(texts: pa.Array, seeds: Seeds, least: int, coverage: float) -> Itera
         for width in seeds.by_width:
             if len(token) < width:
                 continue
-            row, item, p, q = seeds.hits(token, owner, width)
-            order = np.lexsort((p, q, item, row))
-            row, item, p, q = row[order], item[order], p[order], q[order]
-            edge = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)]) if len(row) else np.zeros(0, int)
-            for a, b in zip(edge, np.r_[edge[1:], len(row)][: len(edge)], strict=True):
-                n, at = int(seeds.sizes[item[a]]), q[a:b]
+            for row, item, p, q in seeds.hits(token, owner, width):
+                order = np.lexsort((p, q, item, row))
+                row, item, p, q = row[order], item[order], p[order], q[order]
+                edge = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(item) != 0)])
                 # Tiles cover no more than the seeds do.
-                if width + np.minimum(np.diff(at), width).sum() < coverage * n:
-                    continue
-                tiles = tile(p[a:b] - first[row[a]], at, n, width)
-                part = sum(t[2] for t in tiles) / n
-                if part >= coverage:
-                    yield i + int(row[a]), int(item[a]), part, tiles
+                reach = np.r_[np.where((np.diff(row) != 0) | (np.diff(item) != 0), width, np.minimum(np.diff(q), width)), width]
+                most = np.add.reduceat(reach, edge)
+                wide = most >= coverage * seeds.sizes[item[edge]]
+                for a, b in zip(edge[wide].tolist(), np.r_[edge[1:], len(row)][wide].tolist(), strict=True):
+                    n = int(seeds.sizes[item[a]])
+                    tiles = tile(p[a:b] - first[row[a]], q[a:b], n, width)
+                    part = sum(t[2] for t in tiles) / n
+                    if part >= coverage:
+                        yield i + int(row[a]), int(item[a]), part, tiles
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, tile_size: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and lower-case texts of the benchmark, by blocks of bounded size."""
+    """Ids and lower-case texts of the benchmark, by blocks that end at BLOCK_CHARS."""
     rows = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
-    for b in range(n):
-        found = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).collect()
-        found.sort(key=lambda r: (r.id is None, r.id, r.text))
-        if found:
-            yield [r.id for r in found], [r.text for r in found]
+    held, size = [], 0
+    for row in rows.where(F.length("text") > 0).toLocalIterator():
+        held.append(row)
+        size += len(row.text)
+        if size >= BLOCK_CHARS:
+            yield _sorted(held)
+            held, size = [], 0
+    if held:
+        yield _sorted(held)
+
+
+def _sorted(rows: list) -> tuple[list, list[str]]:
+    rows = sorted(rows, key=lambda r: (r.id is None, r.id, r.text))
+    return [r.id for r in rows], [r.text for r in rows]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -145,11 +195,11 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     out = None
     for ids, texts in _blocks(benchmark, item_col, item_text_col, tile_size):
-        shared = spark.sparkContext.broadcast((ids, texts))
+        shared, name = spark.sparkContext.broadcast((ids, texts)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             ids, texts = shared.value
-            seeds = Seeds(texts, tile_size)
+            seeds = _seeds(name, texts, tile_size)
             tiles_type = pa.list_(pa.struct([("doc_token", pa.int64()), ("item_token", pa.int64()), ("length", pa.int64())]))
             for batch in batches:
                 found = list(matches(batch.column(1), seeds, tile_size, coverage))
@@ -173,11 +223,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage
     """
     bounded_batches(docs.sparkSession)
     for _, texts in _blocks(benchmark, item_col, item_text_col, tile_size):
-        shared = docs.sparkSession.sparkContext.broadcast(texts)
+        shared, name = docs.sparkSession.sparkContext.broadcast(texts), uuid.uuid4().hex
         at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=docs.columns) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(shared.value, tile_size)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, names=docs.columns) -> Iterator[pa.RecordBatch]:
+            seeds = _seeds(name, shared.value, tile_size)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in matches(batch.column(batch.num_columns - 1), seeds, tile_size, coverage)]] = False

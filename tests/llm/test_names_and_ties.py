@@ -103,3 +103,21 @@ def test_bytes_of_a_thue_morse_pair_are_told_apart(spark):
     # Cut in half, each text is one Thue-Morse word and its complement: no window occurs twice.
     halves = spark.createDataFrame([(0, word[:1024]), (1, complement[:1024])], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(halves, "none", window=1024).collect()} == {0: 0, 1: 0}
+
+
+def test_seeds_are_taken_in_bounded_parts(monkeypatch):
+    """A phrase in every item and document: the same pairs whatever is held at once."""
+    phrase = "one common phrase of six words"
+    seeds = decontaminate.Seeds([*(f"{phrase} item {i % 6} has this" for i in range(30)), phrase, "a b", ""], 5)
+    docs = pa.array([*(f"{phrase} " * (1 + i % 4) + f"item {i % 8} has this" for i in range(40)), None, "other", "x a b y"])
+    want = None
+    for most in (decontaminate.SEEDS, 40, 1):
+        monkeypatch.setattr(decontaminate, "SEEDS", most)
+        for width in seeds.by_width:
+            for _, token, first in decontaminate._tokens(docs):
+                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                assert all(len(x[0]) <= most or len(set(zip(x[0], x[1], strict=True))) == 1 for x in seeds.hits(token, owner, width))
+        got = sorted((row, item, round(part, 9), len(tiles)) for row, item, part, tiles in decontaminate.matches(docs, seeds, 5, 0.6))
+        want = want or got
+        assert got == want
+    assert len(want) >= 40 and (42, 31) in {x[:2] for x in want} and not {x[0] for x in want} & {40, 41}
