@@ -14,11 +14,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from inkwell.scratch import bounded_batches
+from inkwell.scratch import Scratch, bounded_batches
 
 #: Bytes of the dictionary of one language, and of one text's share in it; together they
 #: bound what training gathers on the driver.
 DICTIONARY, SHARE = 112 * 1024, 2048
+#: Most languages that are learned.
+LANGUAGES = 400
 #: A text is encoded in blocks of so many bytes, so that the dictionary has a say in all of it.
 BLOCK = 2048
 #: The match finder of every compressor: short matches matter more than speed here.
@@ -31,28 +33,34 @@ MARGIN = 0.004
 UNDETERMINED = "und"
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGUAGES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows with a language and a text with letters.
 
     The sample holds, for each language, the text of the lowest content hash in each of
     DICTIONARY / 256 hash slots, and takes them in the order of that hash until DICTIONARY
-    bytes are met, at most SHARE bytes of each, in lower case; it doesn't depend on the order of rows. Languages with
-    more rows come first. Null languages and texts teach nothing.
+    bytes are met, a passage of at most SHARE bytes of each from where its hash says, in lower
+    case; it doesn't depend on the order of rows. Languages with more rows come first, then by name. Null languages and texts teach nothing; an empty table gives no dictionary; more than
+    ``most`` languages are refused, for each costs a dictionary on the driver and a compressor a text.
     """
     slots = DICTIONARY // 256
-    slim = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}")).select(
-        F.col(f"`{lang_col}`").alias("k"), F.substring(F.col(f"`{text_col}`"), 1, SHARE).alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")
-    )
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.where(F.col(f"`{lang_col}`").isNotNull() & text.rlike(r"\p{L}")).select(F.col(f"`{lang_col}`").cast("string").alias("k"), text.alias("t"), F.xxhash64(text).alias("h"))
     slim = slim.withColumn("slot", F.pmod("h", F.lit(slots)))
     # The lowest hash of each slot, reduced on the map side whatever a language's share of the rows.
     lowest = slim.groupBy("k", "slot").agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    rows = slim.join(lowest, ["k", "slot", "h"]).dropDuplicates(["k", "slot"])
-    out: dict[str, bytes] = {}
+    lowest = Scratch(docs.sparkSession, "language").table(lowest, "lowest")
+    if lowest.select("k").distinct().count() > most:
+        raise ValueError(f"more than {most} languages: clean the labels or raise the bound")
+    # At most slots rows of 40 bytes a language, so no text is shuffled.
+    length = F.greatest(F.length("t") - F.lit(SHARE - 1), F.lit(1))
+    passage = F.substring("t", (F.lit(1) + F.pmod(F.shiftrightunsigned("h", 20), length)).cast("int"), F.lit(SHARE))
+    rows = slim.join(F.broadcast(lowest), ["k", "slot", "h"]).select("k", "slot", "h", "n", passage.alias("t")).dropDuplicates(["k", "slot"])
     texts: dict[str, list[tuple[int, str]]] = {}
     rows_of: dict[str, int] = {}
     for row in rows.toLocalIterator():
         texts.setdefault(row.k, []).append((row.h, row.t.lower()))
         rows_of[row.k] = rows_of.get(row.k, 0) + row.n
+    out: dict[str, bytes] = {}
     for lang, found in texts.items():
         joined = bytearray()
         for _, t in sorted(found):
@@ -142,5 +150,5 @@ def known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text
 
 
 def learning_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows to learn from: crc32 of the id as text, modulo 3, is not 1."""
+    """Rows to learn from: crc32 of the id as text, modulo 3, is not 1; rows of null ids teach nothing, equal ids go together."""
     return docs.where(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(3)) != 1)

@@ -45,8 +45,8 @@ MARKS = string.punctuation.replace("'", "")
 class Encoder:
     """Ids of whole texts. Words repeat, so their ids are kept; no id crosses ASCII white space.
 
-    That holds for tokenizers whose pre-tokenizer drops white space; ``whole=True`` hands
-    whole texts to the tokenizer instead, for all others.
+    That holds for tokenizers whose pre-tokenizer drops white space, which is tried out here;
+    all others get whole texts, as with ``whole=True``.
     """
 
     def __init__(self, path: str, end_id: int, whole: bool = False):
@@ -55,7 +55,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
-        self.end, self.whole, self.known, self.older = np.array([end_id], self.width).tobytes(), whole, {}, {}
+        self.end, self.whole, self.known, self.older = np.array([end_id], self.width).tobytes(), whole or not self._splits(), {}, {}
 
         probe = [e.ids for e in self.tokenizer.encode_batch(["ABC XYZ", "abc xyz"], add_special_tokens=False)]
         self.folds = probe[0] == probe[1]  # ASCII case is lost anyway: fewer words to remember
@@ -63,6 +63,21 @@ class Encoder:
         self.letters: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
+    def _splits(self) -> bool:
+        """Whether words have the ids that they have in a text, whatever ASCII white space is around them."""
+        if any(c.isspace() for token in self.tokenizer.get_added_tokens_decoder().values() for c in token.content):
+            return False
+        words = ["a", "The", "it's", "x1", "2024", "...", "(b)", "é", "漢字", "'s", "-", "hello", "😀", "aaaa", "e\u0301"]
+        alone = dict(zip(words, self._encode(words), strict=True))
+        probes, want = [], []
+        for gap in [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", "\n\n", " \n", "\r\n", "   \t"]:
+            for i, word in enumerate(words):
+                for lead, tail in (("", ""), (gap, ""), ("", gap)):
+                    other = words[(7 * i + 3) % len(words)]
+                    probes.append(f"{lead}{word}{gap}{other}{tail}")
+                    want.append(alone[word] + alone[other])
+        return self._encode(probes) == want and not any(self._encode([" ", "\n", "\t\t"]))
+
     @staticmethod
     def _bare(path: str):
         """The tokenizer without what does nothing to a lower-case word of letters, or None.
@@ -229,7 +244,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, whole: bool
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "manifest")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = slim.repartitionByRange(parallelism(spark), "id", "h").sortWithinPartitions("id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
