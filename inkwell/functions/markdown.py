@@ -9,7 +9,9 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass
-from urllib.parse import parse_qsl, urlsplit
+from functools import lru_cache
+
+from inkwell.functions import drafts, lexicon, qualifiers
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.+?)\s*#*$")
@@ -29,6 +31,7 @@ class Block:
     level: int = 0
 
 
+@lru_cache(maxsize=64)
 def blocks(text: str) -> list[Block]:
     """Blocks in order. Fences run to their end, lists keep their indented lines, tables need their rule."""
     rows = text.replace("\r\n", "\n").split("\n")
@@ -73,6 +76,7 @@ def blocks(text: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=64)
 def masked(text: str) -> str:
     """The text with code blanked out, offsets kept."""
     rows = text.split("\n")
@@ -89,42 +93,8 @@ def location(text: str, offset: int) -> tuple[int, int]:
     return before.count("\n") + 1, offset - (before.rfind("\n") + 1) + 1
 
 
-#: Labels of page furniture by class (fixed values).
-NOISE = {
-    "save_share_print": r"save(?: it)? for later|save|share|print|copy link|保存|稍后阅读|分享|打印|复制链接",
-    "subscribe_newsletter": r"subscribe|subscribe to (?:our |the )?newsletter|sign up for (?:our |the )?newsletter|newsletter sign[ -]?up|订阅|订阅简报|注册提醒",
-    "cookie_language": r"en|english|accept (?:all )?cookies|cookie preferences|language|接受(?:全部)? cookie|cookie 偏好|语言",
-    "progress_widget": r"(?:reading )?progress\s*:\s*(?:\d+(?:\.\d+)?%?)?|\d+\s+min(?:ute)?s? read|阅读进度\s*[:：]\s*(?:\d+(?:\.\d+)?%?)?|预计阅读时间\s*[:：]\s*\d+\s*分钟",
-    "duplicate_navigation": r"home|previous(?: article)?|next(?: article)?|back to top|首页|上一篇|下一篇|返回顶部",
-}
-_NOISE = {code: re.compile(f"(?:{pattern})", re.IGNORECASE) for code, pattern in NOISE.items()}
-#: Parts of a link's address that agree with its label (fixed values).
-_TARGETS = {"print|打印": {"print", "printable"}, "share|分享": {"share"}, "save|save (?:it )?for later|保存|稍后阅读": {"save"}, "subscribe|订阅|订阅简报": {"subscribe", "newsletter"}}
-
-
-def _label(line: str) -> str | None:
-    """What a line says: itself, or the label of a lone link that leads where it says."""
-    found = _LINK.fullmatch(line.strip())
-    if not found:
-        return line.strip()
-    if not found[3].lower().startswith(("http://", "https://")):
-        return None
-    at = urlsplit(found[3])
-    signs = {p for p in at.path.lower().split("/") if p} | {x.lower() for kv in parse_qsl(at.query, keep_blank_values=True) for x in kv}
-    return next((found[2] for label, wanted in _TARGETS.items() if re.fullmatch(label, found[2].strip(), re.IGNORECASE) and signs & wanted), None)
-
-
-def noise(block: str) -> str | None:
-    """The class of a block whose every line is furniture of one class."""
-    if not block.strip() or "`" in block or "~~~" in block or re.match(r" {4}|\t", block) or re.search(r"\n[ \t]*\n", block):
-        return None
-    lines = [x.strip() for x in block.splitlines() if x.strip()]
-    if any(re.match(r"[-+*]\s", x) for x in lines):
-        return None
-    labels = [_label(x) for x in lines]
-    if not all(labels):
-        return None
-    return next((code for code, pattern in _NOISE.items() if all(pattern.fullmatch(x) for x in labels)), None)
+#: The class of a block whose every line is furniture of one class.
+noise = drafts.noise
 
 
 def cleaned(text: str) -> tuple[str, list[tuple[int, str, str]]]:
@@ -193,32 +163,15 @@ def aligned(expected: list[str], actual: list[str], distance) -> list[int]:
     return out[::-1]
 
 
-#: Qualifiers of numbers by canonical key (fixed values).
-QUALIFIERS = {
-    "rate:permille": ["‰"], "rate:percent": ["%", "percent", "per cent"],
-    "scale:trillion": ["trillion", "万亿"], "scale:billion": ["billion", "十亿"], "scale:million": ["million", "百万"], "scale:thousand": ["thousand", "千"], "scale:ten_thousand": ["万"],
-    "currency:HKD": ["HK$", "HKD", "Hong Kong dollars", "港元", "港币"], "currency:AUD": ["A$", "AUD", "Australian dollars", "澳元"], "currency:CAD": ["C$", "CAD", "Canadian dollars", "加元"],
-    "currency:SGD": ["S$", "SGD", "Singapore dollars", "新加坡元", "新元"], "currency:USD": ["US$", "$", "USD", "US dollars", "dollars", "dollar", "美元"], "currency:EUR": ["€", "EUR", "euros", "euro", "欧元"],
-    "currency:GBP": ["£", "GBP", "pounds", "pound", "英镑"], "currency:CNY": ["¥", "CNY", "RMB", "yuan", "元人民币", "人民币", "元"],
-    "unit:km": ["kilometers", "kilometres", "km", "公里", "千米"], "unit:kg": ["kilograms", "kg", "公斤"], "unit:GB": ["gigabytes", "GB"], "unit:MB": ["megabytes", "MB"], "unit:TB": ["terabytes", "TB"],
-    "unit:kWh": ["kilowatt hours", "kilowatt-hours", "kWh", "千瓦时"], "unit:MWh": ["megawatt hours", "MWh", "兆瓦时"], "unit:GWh": ["gigawatt hours", "GWh", "吉瓦时"], "unit:Wh": ["watt hours", "Wh", "瓦时"],
-    "unit:kW": ["kilowatts", "kW", "千瓦"], "unit:MW": ["megawatts", "MW", "兆瓦"], "unit:GW": ["gigawatts", "GW", "吉瓦"], "unit:tonne": ["metric tonnes", "tonnes", "tons", "公吨", "吨"],
-    "unit:token": ["tokens", "token", "令牌", "词元"], "unit:second": ["seconds", "second", "secs", "秒"], "unit:month": ["months", "month", "个月", "月"],
-    "unit:basis_point": ["basis points", "bps", "个基点", "基点"], "unit:celsius": ["°C"], "unit:fahrenheit": ["°F"],
-}
-_KEY_OF = {form.lower(): key for key, forms in QUALIFIERS.items() for form in forms}
-_FORM = "|".join((rf"(?<![A-Za-z0-9_]){re.escape(f)}(?![-A-Za-z0-9_])" if f[0].isascii() and f[0].isalpha() and f[-1].isalpha() else re.escape(f)) for f in sorted(_KEY_OF, key=len, reverse=True))
-_QUALIFIER = re.compile(_FORM, re.IGNORECASE)
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-#: Characters between a number and a qualifier that still belong together.
-REACH = 32
 
 
 def facts(text: str) -> list[tuple[str, str, int, int]]:
     """Numbers with their canonical qualifiers ('' if none): number, qualifier, block, line.
 
-    A qualifier that touches the number counts first; then free ones in the sentence go to the
-    nearest number without one, each once, nearest pairs first.
+    A qualifier that touches the number counts first; then free ones in the sentence, cued or
+    not, go to the nearest number without one, each once, nearest pairs first. This is a wider
+    net than ``drafts.Draft.anchors``, whose rules decide what an edit lost.
     """
     out = []
     for group, block in enumerate(b for b in blocks(text) if b.kind != "code" and not (b.kind == "paragraph" and noise(b.text))):
@@ -226,7 +179,8 @@ def facts(text: str) -> list[tuple[str, str, int, int]]:
             for sentence in re.finditer(r"[^。！？；!?;]+", row):
                 found = sentence[0]
                 numbers = [(m.start(), m.end(), m[0]) for m in _NUMBER.finditer(found)]
-                signs = [(m.start(), m.end(), _KEY_OF[m[0].lower()]) for m in _QUALIFIER.finditer(found)]
+                lower = found.lower()
+                signs = [(a, b, key) for a, b, _, key in qualifiers.tokens(lower if len(lower) == len(found) else found)] if numbers else []
                 kinds: list[list[str]] = [[] for _ in numbers]
                 used = set()
                 for n, (a, b, _) in enumerate(numbers):
@@ -236,7 +190,7 @@ def facts(text: str) -> list[tuple[str, str, int, int]]:
                             kinds[n].append(key)
                             used.add(s)
                             end = max(end, d) if c >= end else end
-                pairs = sorted((max(a - d, c - b), c, a, s, n) for s, (c, d, _) in enumerate(signs) if s not in used for n, (a, b, _) in enumerate(numbers) if not kinds[n] and 0 <= max(a - d, c - b) <= REACH)
+                pairs = sorted((max(a - d, c - b), c, a, s, n) for s, (c, d, _) in enumerate(signs) if s not in used for n, (a, b, _) in enumerate(numbers) if not kinds[n] and 0 <= max(a - d, c - b) <= lexicon.REACH)
                 taken = set()
                 for _, _, _, s, n in pairs:
                     if s not in used and n not in taken:

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions import markdown
+from inkwell.functions import drafts, lexicon, markdown
 
-_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def rows_of(docs: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], fields: dict[str, str], id_col: str = "id") -> DataFrame:
@@ -59,6 +59,33 @@ def polished(docs: DataFrame, original: str, before: str, after: str, glossary:
     return rows_of(docs, [original, before, after], lambda o, b, a: markdown.polished(o, b, a, glossary), {"issue": "string", "item": "string", "n": "int"})
 
 
+def anchors(docs: DataFrame, text_col: str) -> DataFrame:
+    """Numbers with their qualifiers: own ones, cued ones within reach, and those that a table or caption shares (number ``shared``)."""
+    make = lambda t: [(a.number, a.qualifier, a.item, a.group, a.line, a.column) for a in drafts.Draft(t).anchors]
+    return rows_of(docs, [text_col], make, {"number": "string", "qualifier": "string", "item": "string", "block": "int", "line": "int", "column": "int"})
+
+
+def issues(docs: DataFrame, original: str, before: str, edited: str) -> DataFrame:
+    """What an edit lost against both baselines: code, line, column, item, detail."""
+    return rows_of(docs, [original, before, edited], drafts.issues, {"code": "string", "line": "int", "column": "int", "item": "string", "detail": "string"})
+
+
+def review(docs: DataFrame, original: str, before: str, edited: str, glossary: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row a text: issues, style risks, furniture left out of the baseline, the ratio of lengths, and whether a look is needed."""
+
+    def make(o: str, b: str, e: str) -> list[tuple]:
+        ratio, risks = drafts.length_ratio(b, e), len(markdown.style(e, glossary))
+        odd = ratio is None or not lexicon.LENGTHS[0] <= ratio <= lexicon.LENGTHS[1]
+        return [(len(drafts.issues(o, b, e)), risks, len(drafts.Draft(b).cleaned()[1]), ratio, odd, odd or risks > 0)]
+
+    return rows_of(docs, [original, before, edited], make, {"issues": "int", "risks": "int", "removed": "int", "ratio": "double", "odd_length": "boolean", "needs_review": "boolean"})
+
+
+def label_distances(docs: DataFrame, left: str, right: str) -> DataFrame:
+    """Edit distance of two labels folded to compatible forms without marks, over the longer one's length."""
+    return rows_of(docs, [left, right], lambda a, b: [(drafts.folded(a), drafts.folded(b), drafts.distance(a, b))], {"left": "string", "right": "string", "distance": "double"})
+
+
 def rendered(docs: DataFrame, text_col: str) -> DataFrame:
     return rows_of(docs, [text_col], lambda t: [(markdown.rendered(t),)], {"html": "string"})
 

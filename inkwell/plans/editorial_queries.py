@@ -25,6 +25,30 @@ def _drafts(spark, sf):
     return d.select(i.alias("id"), before.alias("before"), after.alias("after"))
 
 
+def _edits(spark, sf):
+    """documents as (original, before, edited): one structure or fact is lost by rule, and some originals say more."""
+    i = F.col("doc_id")
+    furniture = F.when(i % 3 == 0, F.lit("Share\nPrint\n\n")).when(i % 3 == 1, F.lit("5 min read\n\n")).otherwise(F.lit(""))
+    table = "| a | b |\n|---|---|\n| 0.01 | 0.02 |\n| 0.03 | 0.04 |\n"
+    grew = F.concat(F.lit("- grew 0."), i % 90 + 100, F.lit("%\n"))
+    link, definition, note = F.concat(F.lit("[it](https://x.example/"), i, F.lit(")")), F.concat(F.lit("[one]: https://y.example/"), i, F.lit("\n")), F.lit("[^n]: note\n")
+    before = F.concat(
+        F.lit("# "), "source", F.lit("\n\n"), furniture, F.lit("## Facts\n\n- cost US$"), i, F.lit(" million\n"), grew, F.lit("- measured in kilometers "), i, F.lit("\n\n" + table + "\nSee "),
+        link, F.lit(" and [ref][one] and ![pic](p.png).[^n]\n\n"), definition, note,
+    )
+    cut = [
+        (F.lit(" million"), F.lit(" billion")), (F.lit("## Facts"), F.lit("Facts")), (F.lit("| 0.03 | 0.04 |\n"), F.lit("")), (F.lit(table), F.lit("| a |\n|---|\n| 0.01 0.02 |\n| 0.03 0.04 |\n")),
+        (grew, F.lit("")), (link, F.replace(link, F.lit("x.example"), F.lit("z.example"))), (definition, F.lit("")), (note, F.lit("")),
+    ]
+    edited = before
+    for k, (old, new) in enumerate(cut):
+        edited = F.when(i % 9 == k, F.replace(before, old, new)).otherwise(edited)
+    return b.table(spark, sf, "documents").select(i.alias("id"), F.when(i % 5 == 0, F.concat(before, F.lit("\n0.7 kg\n"))).otherwise(before).alias("original"), before.alias("before"), edited.alias("edited"))
+
+
+_LABELS = [("Ｃｌｏｕｄ Ｃｏｍｐｕｔｉｎｇ!", "cloud computing"), ("Growth: 2026", "growth 2025"), ("企业—治理", "企业治理（二）"), ("", ""), (None, "a"), ("①", "1"), ("kitten", "sitting")]
+
+
 def _cards(spark, sf):
     """pages as digests of one layout each, three cards a digest."""
     p = b.table(spark, sf, "pages")
@@ -45,13 +69,66 @@ QUERIES = {
     "numeric_facts": lambda s, sf: editorial.facts(_drafts(s, sf), "before").where("qualifier != ''").select("id", "number", "qualifier"),
     "editorial_drift": lambda s, sf: editorial.drift(_drafts(s, sf), "before", "after").select("id", "issue", "item", "n"),
     "polished_issues": lambda s, sf: editorial.polished(_drafts(s, sf), "before", "before", "after", GLOSSARY).groupBy("issue").agg(F.count("*").alias("n")),
+    "fact_anchors": lambda s, sf: editorial.anchors(_edits(s, sf), "before"),
+    "editorial_issues": lambda s, sf: editorial.issues(_edits(s, sf), "original", "before", "edited"),
+    "editorial_review": lambda s, sf: editorial.review(_edits(s, sf), "original", "before", "edited", GLOSSARY).withColumn("ratio", F.round("ratio", 9)),
+    "folded_labels": lambda s, sf: editorial.label_distances(s.createDataFrame([(i, *x) for i, x in enumerate(_LABELS)], "id int, a string, b string"), "a", "b").withColumn("distance", F.round("distance", 9)),
     "render_markdown_html": lambda s, sf: editorial.rendered(_drafts(s, sf), "before"),
     "reader_validate": lambda s, sf: editorial.reader_violations(editorial.rendered(_drafts(s, sf), "before").withColumn("html", F.when(F.col("id") % 9 == 0, F.concat("html", F.lit("<script>"))).when(F.col("id") % 9 == 1, "").otherwise(F.col("html")))),
     "digest_scan": lambda s, sf: digests.scan(_cards(s, sf)).select("digest", "id", "title_original", "published_at", "score", "priority", "category", "evidence", "source_url"),
     "page_extract": lambda s, sf: digests.articles(b.table(s, sf, "pages")).select("page_id", "status", "title", "heading_count", "paragraph_count", "character_count", F.sha2("markdown", 256).alias("sha256")),
 }
 
+#: Lines that furniture takes before the facts of ``_edits``.
+_OFF = "CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END"
+
+
+def _issue(case, code, line, column, item, detail="''"):
+    return f"SELECT doc_id AS id, '{code}' AS code, ({line} + {_OFF})::INT AS line, ({column})::INT AS column, {item} AS item, {detail} AS detail FROM documents WHERE {case}"
+
+
+_ISSUES = " UNION ALL ".join([
+    _issue("doc_id % 9 = 0", "missing_factual_qualifier", 5, 8, "'US$' || doc_id || ' million'", "'before ' || doc_id || '|scale:million|currency:USD'"),
+    _issue("doc_id % 9 = 1", "missing_heading", 3, 1, "'## Facts'"),
+    _issue("doc_id % 9 = 2", "missing_numeric_token", 12, 3, "'0.03'"), _issue("doc_id % 9 = 2", "missing_numeric_token", 12, 10, "'0.04'"), _issue("doc_id % 9 = 2", "missing_table_row", 9, 1, "'| a | b |'", "'2 of 3'"),
+    _issue("doc_id % 9 = 3", "missing_table_column", 9, 1, "'2 \"b\"'", "'1 of 2'"),
+    _issue("doc_id % 9 = 4", "missing_numeric_token", 6, 8, "'0.' || (doc_id % 90 + 100) || '%'"), _issue("doc_id % 9 = 4", "missing_factual_qualifier", 6, 8, "'0.' || (doc_id % 90 + 100) || '%'", "'before 0.' || (doc_id % 90 + 100) || '|rate:percent'"),
+    _issue("doc_id % 9 = 4", "missing_list_item", 6, 1, "'- grew 0.' || (doc_id % 90 + 100) || '%'"),
+    _issue("doc_id % 9 = 5", "missing_url", 14, 10, "'https://x.example/' || doc_id"), _issue("doc_id % 9 = 5", "missing_markdown_link", 14, 5, "'[it](https://x.example/' || doc_id || ')'", "'https://x.example/' || doc_id"),
+    _issue("doc_id % 9 = 6", "missing_url", 16, 8, "'https://y.example/' || doc_id"), _issue("doc_id % 9 = 6", "missing_numeric_token", 16, 26, "doc_id::VARCHAR"),
+    _issue("doc_id % 9 = 6", "missing_reference_link", 14, "34 + length(doc_id::VARCHAR)", "'[ref][one]'", "'https://y.example/' || doc_id"), _issue("doc_id % 9 = 6", "missing_link_definition", 16, 1, "'[one]: https://y.example/' || doc_id", "'one'"),
+    _issue("doc_id % 9 = 7", "missing_footnote_definition", 17, 1, "'[^n]:'"),
+    _issue("doc_id % 5 = 0", "missing_numeric_token", 19, 1, "'0.7'"), _issue("doc_id % 5 = 0", "missing_factual_qualifier", 19, 1, "'0.7 kg'", "'original 0.7|unit:kg'"),
+])
+
+
+def _anchor(line, column, number, qualifier, item, block):
+    return f"SELECT doc_id AS id, {number} AS number, '{qualifier}' AS qualifier, {item} AS item, {block}::INT AS block, ({line} + {'0' if line == 1 else _OFF})::INT AS line, ({column})::INT AS column FROM documents"
+
+
+_ANCHORS = " UNION ALL ".join([
+    "SELECT doc_id AS id, regexp_extract(source, '[0-9]+') AS number, '' AS qualifier, regexp_extract(source, '[0-9]+') AS item, 0::INT AS block, 1::INT AS line, (2 + strpos(source, regexp_extract(source, '[0-9]+')))::INT AS column FROM documents WHERE regexp_matches(source, '[0-9]')",
+    _anchor(5, 8, "doc_id::VARCHAR", "scale:million|currency:USD", "'US$' || doc_id || ' million'", 2),
+    _anchor(6, 8, "'0.' || (doc_id % 90 + 100)", "rate:percent", "'0.' || (doc_id % 90 + 100) || '%'", 2),
+    _anchor(7, 26, "doc_id::VARCHAR", "unit:km", "doc_id || ' … kilometers'", 2),
+    *[_anchor(11 + k // 2, 3 + 7 * (k % 2), f"'0.0{k + 1}'", "", f"'0.0{k + 1}'", 3) for k in range(4)],
+    _anchor(14, 28, "doc_id::VARCHAR", "", "doc_id::VARCHAR", 4),
+    _anchor(16, 26, "doc_id::VARCHAR", "", "doc_id::VARCHAR", 5),
+])
+
+_BODY = """'# ' || source || chr(10) || chr(10) || '## Facts' || chr(10) || chr(10) || '- cost US$' || doc_id || ' million' || chr(10) || '- grew 0.' || (doc_id % 90 + 100) || '%' || chr(10) || '- measured in kilometers ' || doc_id || chr(10) || chr(10)
+    || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 0.01 | 0.02 |' || chr(10) || '| 0.03 | 0.04 |' || chr(10) || chr(10) || 'See [it](https://x.example/' || doc_id || ') and [ref][one] and ![pic](p.png).[^n]' || chr(10) || chr(10)
+    || '[one]: https://y.example/' || doc_id || chr(10) || '[^n]: note'"""
+#: Characters that an edit takes from the text: whole lines with their ends, or marks.
+_LOST = """CASE doc_id % 9 WHEN 1 THEN 3 WHEN 2 THEN 16 WHEN 3 THEN 12 WHEN 4 THEN 14 WHEN 6 THEN 26 + length(doc_id::VARCHAR) WHEN 7 THEN 11 ELSE 0 END"""
+
 ORACLES = {
+    "editorial_issues": _ISSUES,
+    "fact_anchors": _ANCHORS,
+    "editorial_review": f"""WITH i AS ({_ISSUES}), c AS (SELECT id, count(*) AS n FROM i GROUP BY id), f AS (SELECT doc_id, length({_BODY}) AS base, {_LOST} AS lost, CASE doc_id % 3 WHEN 0 THEN 13 WHEN 1 THEN 12 ELSE 0 END AS more, (doc_id % 3 < 2)::INT AS risks FROM documents),
+        r AS (SELECT doc_id AS id, coalesce(n, 0)::INT AS issues, risks, risks AS removed, round((base + more - lost)::DOUBLE / base, 9) AS ratio FROM f LEFT JOIN c ON c.id = doc_id)
+        SELECT *, ratio NOT BETWEEN 0.8 AND 1.4 AS odd_length, ratio NOT BETWEEN 0.8 AND 1.4 OR risks > 0 AS needs_review FROM r""",
+    "folded_labels": "SELECT id::INT AS id, \"left\", \"right\", round(d, 9)::DOUBLE AS distance FROM (VALUES (0, 'cloudcomputing', 'cloudcomputing', 0.0), (1, 'growth2026', 'growth2025', 0.1), (2, '企业治理', '企业治理二', 0.2), (3, '', '', 0.0), (4, '', 'a', 1.0), (5, '1', '1', 0.0), (6, 'kitten', 'sitting', 3.0 / 7)) v(id, \"left\", \"right\", d)",
     "noise_blocks": "SELECT doc_id AS id, 3::INT AS line, CASE doc_id % 3 WHEN 0 THEN 'save_share_print' ELSE 'progress_widget' END AS code, CASE doc_id % 3 WHEN 0 THEN 'Share' || chr(10) || 'Print' ELSE '5 min read' END AS block, 1::INT AS occurrence, 1::BIGINT AS count FROM documents WHERE doc_id % 3 < 2",
     "numeric_facts": "SELECT doc_id AS id, doc_id::VARCHAR AS number, 'currency:USD+scale:million' AS qualifier FROM documents UNION ALL SELECT doc_id, (doc_id % 90)::VARCHAR, 'rate:percent' FROM documents",
     "editorial_drift": """SELECT doc_id AS id, 'missing_fact' AS issue, doc_id || '|currency:USD+scale:million' AS item, 1::INT AS n FROM documents WHERE doc_id % 4 = 0
