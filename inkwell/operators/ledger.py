@@ -106,18 +106,21 @@ def duplicates(rows: DataFrame, id_col: str = "id", url_col: str = "url") -> Dat
 def merge(existing: DataFrame, additions: DataFrame, strict: bool = False) -> DataFrame:
     """Existing rows and then the additions whose id and URL are new (``ordinal`` orders both).
 
-    ``strict`` fails on the first repeated identity instead.
+    Of additions with one id the first counts, and then of those with one URL the first. Rows
+    without an id or a URL share none. ``strict`` fails on the first repeated identity instead,
+    within either side as well.
     """
     if strict:
-        found = duplicates(existing.select("id", "url").unionByName(additions.select("id", "url"))).limit(1).collect()
+        found = duplicates(existing.select("id", "url").unionByName(additions.select("id", "url"))).where("value is not null").limit(1).collect()
         if found:
             raise ValueError(f"repeated {found[0].kind}: {found[0].value}")
-    fresh = additions.join(existing.select("id"), "id", "left_anti")
-    known = existing.select(urls.merge_key(F.col("url")).alias("known"))
-    fresh = fresh.join(known, urls.merge_key(fresh["url"]) == F.col("known"), "left_anti")
-    first = Window.partitionBy(urls.merge_key(F.col("url"))).orderBy("ordinal")
-    fresh = fresh.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
-    return existing.withColumn("origin", F.lit("existing")).unionByName(fresh.withColumn("origin", F.lit("addition")))
+    fresh = additions.withColumn("_key", urls.merge_key(F.col("url"))).join(existing.select("id"), "id", "left_anti")
+    fresh = fresh.join(existing.select(urls.merge_key(F.col("url")).alias("_key")), "_key", "left_anti")
+    # The least ordinal of an identity is found by an aggregate: a value in many rows stays one row a task.
+    for name in ("id", "_key"):
+        first = fresh.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("ordinal").alias("_first"))
+        fresh = fresh.join(first, name, "left").where(F.col(name).isNull() | (F.col("ordinal") == F.col("_first"))).drop("_first")
+    return existing.withColumn("origin", F.lit("existing")).unionByName(fresh.select(*additions.columns).withColumn("origin", F.lit("addition")))
 
 
 def refresh(candidates: DataFrame, overrides: DataFrame, existing: DataFrame) -> DataFrame:
@@ -165,8 +168,19 @@ def override_join(ledger: DataFrame, archived: DataFrame, columns: list[str]) ->
 
 
 def change_status(before: DataFrame, after: DataFrame) -> DataFrame:
-    """new, changed, unchanged or removed by fingerprint."""
-    a = before.select("id", F.col("fingerprint").alias("old"))
-    b = after.select("id", F.col("fingerprint").alias("new"))
-    state = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
+    """new, changed, unchanged or removed by fingerprint; a null fingerprint is a value of its own."""
+    a = before.select("id", F.col("fingerprint").alias("old"), F.lit(True).alias("was"))
+    b = after.select("id", F.col("fingerprint").alias("new"), F.lit(True).alias("is"))
+    state = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("changed")
     return a.join(b, "id", "full").select("id", state.alias("change"))
+
+
+def union_scan(*digests: DataFrame) -> DataFrame:
+    """Records of several digests in one table; fails where an id or a canonical URL occurs twice."""
+    rows = digests[0]
+    for other in digests[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    found = duplicates(rows.select("id", urls.canonical(F.col("source_url")).alias("url"))).where("value is not null").orderBy("kind", "value").head()
+    if found:
+        raise ValueError(f"repeated {found.kind}: {found.value}")
+    return rows
