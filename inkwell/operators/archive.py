@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +111,26 @@ def queue_filter(entries: DataFrame, publisher: str | None = None, low: int | No
 def batches(entries: DataFrame, items: int = 10, characters: int = 100_000) -> DataFrame:
     """Greedy batches of one publisher's entries in order of index: at most ``items`` and ``characters``.
 
-    The fold runs inside one array a publisher; an entry that is too long is a batch by itself.
+    A publisher's entries are read in order by one task, which keeps three numbers of them; an
+    entry that is too long is a batch by itself. Null sizes count as none.
     """
-    one = F.struct(F.col("archive_index"), F.col("id"), F.col("source_characters").cast("long").alias("size"))
-    kind = dict(entries.dtypes)["id"]
-    state = f"struct<batch:bigint,n:int,used:bigint,out:array<struct<id:{kind},batch:bigint>>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().alias("out")).cast(state)
-
-    def step(acc, x):
-        fresh = (acc.n == 0) | (acc.n >= items) | (acc.used + x["size"] > characters)
-        number = F.when(fresh, acc.batch + 1).otherwise(acc.batch)
-        return F.struct(
-            number.alias("batch"), F.when(fresh, 1).otherwise(acc.n + 1).alias("n"), F.when(fresh, x["size"]).otherwise(acc.used + x["size"]).alias("used"),
-            F.concat(acc.out, F.array(F.struct(x["id"].alias("id"), number.alias("batch")))).alias("out"),
-        ).cast(state)
-
-    rows = entries.groupBy("publisher").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    return rows.select("publisher", F.inline(F.aggregate("rows", start, step).out))
+    kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        publisher, batch, n, used = object(), 0, 0, 0
+        for part in rows:
+            numbers = []
+            for name, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if name != publisher:
+                    publisher, batch, n = name, 0, 0
+                if n == 0 or n >= items or used + (size or 0) > characters:
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + (size or 0)
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(numbers, pa.int64())], ["publisher", "id", "batch"])
+
+    ordered = entries.repartition("publisher").sortWithinPartitions("publisher", "archive_index", "id")
+    return ordered.select("publisher", "id", "source_characters").mapInArrow(run, f"publisher {kinds['publisher']}, id {kinds['id']}, batch long")
 
 
 def directory_name(index: Column, title: Column) -> Column:

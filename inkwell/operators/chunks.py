@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,8 +80,9 @@ def packed(source: str | None, most: int = SPLIT) -> list[str]:
     return [*out, held] if held else out
 
 
-def _exploded(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], list[tuple]], names: list[str], types: list[pa.DataType], ddl: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def _exploded(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], list[tuple]], names: list[str], types: list[pa.DataType], ddl: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each tuple that ``make`` gives for a text, with the text's id and the columns in ``keep``."""
+    kept = [docs.schema[c] for c in (id_col, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +92,17 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str |
                     rows.append(i)
                     out.append(part)
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, *names])
+            at = pa.array(rows, pa.int64())
+            same = [batch.column(k).take(at) for k in (0, *range(2, 2 + len(keep)))]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, *keep, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {ddl}")
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(run, f"{given}, {ddl}")
 
 
-def chunk(docs: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_no, section_path, content), with chunk_id and fingerprint."""
-    rows = _exploded(docs, id_col, text_col, lambda t: chunked(t, target, overlap), ["chunk_no", "section_path", "content"], [pa.int32(), pa.string(), pa.string()], "chunk_no int, section_path string, content string")
+def chunk(docs: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, chunk_no, section_path, content), with chunk_id and fingerprint, and the columns of ``docs`` in ``keep``."""
+    rows = _exploded(docs, id_col, text_col, lambda t: chunked(t, target, overlap), ["chunk_no", "section_path", "content"], [pa.int32(), pa.string(), pa.string()], "chunk_no int, section_path string, content string", keep)
     return rows.withColumn("chunk_id", F.concat(F.col(id_col).cast("string"), F.lit(":"), F.format_string("%03d", "chunk_no"))).withColumn("fingerprint", F.sha2("content", 256))
 
 
@@ -118,3 +122,24 @@ def browser_index(chunks: DataFrame, articles: DataFrame, id_col: str = "id") ->
     parts = chunks.groupBy(id_col).agg(F.count("*").alias("chunk_count"), F.min_by("content", "chunk_no").alias("first_chunk"))
     summary = F.coalesce(F.nullif("core_view", F.lit("")), F.substring("first_chunk", 1, 220), F.lit(""))
     return articles.join(parts, id_col, "left").select(id_col, "title", "publisher", F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), summary.alias("summary"))
+
+
+def nested(rows: DataFrame, articles: DataFrame, id_col: str = "id") -> DataFrame:
+    """The corpus as one row an article with all its columns and its chunks in order, ready for ``write_corpus``."""
+    mine = [c for c in rows.columns if c not in (id_col, "chunk_no")]
+    parts = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_no", *mine))).alias("chunks"))
+    empty = F.array().cast(parts.schema["chunks"].dataType)
+    return articles.join(parts, id_col, "left").withColumn("chunks", F.coalesce("chunks", empty))
+
+
+def write_corpus(corpus: DataFrame, path: str, browser_path: str | None = None) -> DataFrame:
+    """Writes the nested corpus as Parquet, and a browser's light rows as lines of JSON; totals of articles and chunks."""
+    corpus.write.mode("overwrite").parquet(path)
+    written = corpus.sparkSession.read.schema(corpus.schema).parquet(path)
+    if browser_path:
+        core = F.nullif("core_view", F.lit("")) if "core_view" in written.columns else F.lit(None).cast("string")
+        start = F.substring(F.get("chunks", F.lit(0)).getField("content"), 1, 220)
+        light = [c for c in written.columns if c not in ("chunks", "evidence", "provenance")]
+        rows = written.select(*light, F.coalesce(core, start, F.lit("")).alias("summary"), F.size("chunks").alias("chunk_count"))
+        rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(browser_path)
+    return written.agg(F.count("*").alias("articles"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"))

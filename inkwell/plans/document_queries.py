@@ -137,6 +137,7 @@ QUERIES = {
     "translation_verify": lambda s, sf: _wide(translation.verify(b.pairs(s, sf))),
     "translation_verdicts": lambda s, sf: translation.verdicts(translation.verify(b.pairs(s, sf))),
     "missing_numbers": lambda s, sf: translation.altered(b.pairs(s, sf), text.numbers),
+    "missing_number_forms": lambda s, sf: translation.missing_forms(b.pairs(s, sf)),
     "missing_urls": lambda s, sf: translation.altered(b.pairs(s, sf), text.urls),
     "lang_detect": lambda s, sf: b.pairs(s, sf).select("id", text.source_language(F.col("source")).alias("of_source"), text.source_language(F.col("translation")).alias("of_translation")),
     "split_for_translation": lambda s, sf: chunks.split(_plain(s, sf), "id", "text", 500).groupBy("id").agg(F.count("*").alias("parts"), F.max(F.length("content")).alias("longest"), F.sum(F.length("content")).alias("characters")),
@@ -184,6 +185,8 @@ ORACLES = {
     "translation_verify": f"WITH {_VERIFIED} SELECT * EXCLUDE (e), array_to_string(e, ',') AS errors, len(e) = 0 AS ok FROM verified",
     "translation_verdicts": f"WITH {_VERIFIED} SELECT error, count(*) AS n FROM (SELECT unnest(e) AS error FROM verified) GROUP BY 1 UNION ALL SELECT 'passed', count(*) FILTER (len(e) = 0) FROM verified",
     "missing_numbers": rf"WITH {b.PAIRS}, s AS (SELECT id, unnest(regexp_extract_all(source, '\d+(?:[.,]\d+)*[%‰]?')) AS value FROM pairs), t AS (SELECT id, unnest(regexp_extract_all(translation, '\d+(?:[.,]\d+)*[%‰]?')) AS value FROM pairs), c AS (SELECT id, value, count(*) AS required FROM s GROUP BY ALL), d AS (SELECT id, value, count(*) AS actual FROM t GROUP BY ALL) SELECT id, value, required, coalesce(actual, 0) AS actual FROM c LEFT JOIN d USING (id, value) WHERE coalesce(actual, 0) < required",
+    "missing_number_forms": rf"""WITH {b.PAIRS}, s AS (SELECT id, unnest(regexp_extract_all(source, '\d+(?:[.,]\d+)*[%‰]?')) AS form, unnest(range(len(regexp_extract_all(source, '\d+(?:[.,]\d+)*[%‰]?')))) AS pos FROM pairs), t AS (SELECT id, regexp_replace(unnest(regexp_extract_all(translation, '\d+(?:[.,]\d+)*[%‰]?')), '[%‰]$', '') AS value FROM pairs),
+        c AS (SELECT id, regexp_replace(form, '[%‰]$', '') AS value, count(*) AS required, arg_max(form, pos) AS form FROM s GROUP BY 1, 2), d AS (SELECT id, value, count(*) AS actual FROM t GROUP BY ALL) SELECT id, value, form, required, coalesce(actual, 0) AS actual FROM c LEFT JOIN d USING (id, value) WHERE coalesce(actual, 0) < required""",
     "missing_urls": f"WITH {b.PAIRS}, s AS (SELECT id, unnest({_URLS.replace('{c}', 'source')}) AS value FROM pairs), t AS (SELECT id, unnest({_URLS.replace('{c}', 'translation')}) AS value FROM pairs), c AS (SELECT id, value, count(*) AS required FROM s GROUP BY ALL), d AS (SELECT id, value, count(*) AS actual FROM t GROUP BY ALL) SELECT id, value, required, coalesce(actual, 0) AS actual FROM c LEFT JOIN d USING (id, value) WHERE coalesce(actual, 0) < required",
     "lang_detect": rf"WITH {b.PAIRS} SELECT id, CASE WHEN len(regexp_extract_all(source, '\p{{Han}}')) > 0.4 * len(regexp_extract_all(source, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS of_source, CASE WHEN len(regexp_extract_all(translation, '\p{{Han}}')) > 0.4 * len(regexp_extract_all(translation, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS of_translation FROM pairs",
     "chunk_corpus": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",

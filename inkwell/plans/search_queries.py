@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text
 from inkwell.operators import answers, search
 from inkwell.plans import bindings as b
+from inkwell.plans.document_queries import _CHUNKS
 from inkwell.scratch import Scratch
 
 QUERY = ["the", "reading", "tion", "and", "er"]
@@ -51,6 +52,31 @@ def _bm25(terms, where="TRUE", then="SELECT id, publisher, score, matched::INT A
     return "WITH " + _BM25.format(ledger=b.LEDGER, toks=b.SEARCHABLE, terms=listed, where=where, least=2 if len(terms) >= 4 else 1) + " " + then
 
 
+def _chunked(spark, sf):
+    """The ledger's articles, some with a core view and evidence, as chunks; ids of unequal widths."""
+    i = F.col("doc_id")
+    rows = b.ledger(spark, sf).withColumn("id", i.cast("string")).withColumn("core_view", F.when(i % 3 == 0, F.col("title"))).withColumn("evidence", F.when(i % 5 == 0, "reading of the tion"))
+    return search.chunk_rows(rows)
+
+
+_CHUNK_BM25 = f"""WITH RECURSIVE {b.LEDGER}, {_CHUNKS},
+rows_ AS (SELECT id::VARCHAR || ':' || lpad(chunk_no::VARCHAR, greatest(3, length(chunk_no::VARCHAR))::INT, '0') AS chunk_id, id::VARCHAR AS article_id, publisher, priority, published_at,
+    list_concat(regexp_extract_all(lower(repeat(coalesce(title, '') || ' ', 3) || CASE WHEN id % 3 = 0 THEN repeat(coalesce(title, '') || ' ', 2) ELSE '' END || CASE WHEN id % 5 = 0 THEN repeat('reading of the tion ', 2) ELSE '' END || c.content), '[a-z0-9][a-z0-9+._-]*'), ['正文']) AS t
+    FROM chunks c JOIN (SELECT doc_id, title, publisher, priority, published_at FROM ledger) l ON l.doc_id = c.id),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM rows_),
+tf AS (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS token FROM rows_) WHERE token IN ({{terms}}) GROUP BY chunk_id, token),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+scored AS (SELECT chunk_id, article_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(t) / greatest(average, 1)))), 6) AS score, count(*)::INT AS matched
+    FROM rows_ JOIN tf USING (chunk_id) JOIN df USING (token), stats WHERE {{where}} GROUP BY chunk_id, article_id),
+capped AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, chunk_id COLLATE en) <= 3),
+best AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id COLLATE en)::INT AS rank FROM capped QUALIFY rank <= 12)
+SELECT * FROM best WHERE (SELECT bool_or(matched >= {{least}} AND score >= 0.25) FROM best)"""
+
+
+def _chunk_bm25(terms, where="TRUE"):
+    return _CHUNK_BM25.format(terms=", ".join(f"'{t}'" for t in terms), where=where, least=2 if len(terms) >= 4 else 1)
+
+
 _LATIN = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9+._-]*')"
 
 QUERIES = {
@@ -60,6 +86,8 @@ QUERIES = {
     "bm25_indexed_filtered": lambda s, sf: _indexed(s, sf, FILTERS),
     "bm25_insufficient": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), ["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),
     "bm25_batch_queries": _batch,
+    "chunk_search": lambda s, sf: search.search_chunks(_chunked(s, sf), QUERY),
+    "chunk_search_filtered": lambda s, sf: search.search_chunks(_chunked(s, sf), ["the", "tion"], FILTERS),
     "evidence_projection": _projection,
     "tokenize_counts": lambda s, sf: b.table(s, sf, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(F.array_distinct(text.tokens(F.col("text")))).alias("n_distinct")),
     "tokenize_han_bigrams": lambda s, sf: _han(s).select("id", F.array_join(text.tokens(F.col("text")), "|").alias("tokens")),
@@ -74,6 +102,8 @@ _VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(HAN))
 ORACLES = {
     "bm25_search_topk": _bm25(QUERY),
     "bm25_filtered": _bm25(QUERY, _WHERE),
+    "chunk_search": _chunk_bm25(QUERY),
+    "chunk_search_filtered": _chunk_bm25(["the", "tion"], _WHERE),
     "bm25_indexed": _bm25(QUERY),
     "bm25_indexed_filtered": _bm25(QUERY, _WHERE),
     "bm25_insufficient": _bm25(["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),

@@ -20,23 +20,43 @@ def write_events(events: DataFrame, folder: str, checkpoint: str):
     return lines.writeStream.format("text").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
 
 
-def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str):
+def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str, buckets: int = 256):
     """Append records whose id and URL the ledger lacks, batch by batch.
 
-    A batch writes its own folder, named by its number, so that a repeated batch replaces
-    itself instead of appending twice.
+    Ids and URL keys in use are kept beside the ledger in a table by hash bucket, and a batch
+    reads only the buckets of its own identities. A batch writes its own folders, named by its
+    number, so that a repeated batch replaces itself instead of appending twice. Of records
+    that share an identity the first by id, then URL, then content stays; null ids and URLs
+    are shared by none.
     """
-    spark = additions.sparkSession
-    schema = additions.schema
+    spark, schema = additions.sparkSession, additions.schema
+    index = f"{ledger_path.rstrip('/')}-identities"
+
+    def identities(rows: DataFrame) -> DataFrame:
+        each = F.inline(F.array(F.struct(F.lit("id").alias("kind"), F.col("id").cast("string").alias("value")), F.struct(F.lit("url").alias("kind"), urls.merge_key(F.col("url")).alias("value"))))
+        return rows.select(each).where("value is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("kind", "value"), F.lit(buckets)).cast("int"))
+
+    def written(number: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={number}")
 
     def apply(batch: DataFrame, number: int) -> None:
         own = f"{ledger_path}/batch={number}"
-        known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path).where(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
-        keyed = batch.withColumn("key", urls.merge_key(F.col("url")))
-        first = Window.partitionBy("key").orderBy("id")
-        fresh = keyed.withColumn("turn", F.row_number().over(first)).where("turn = 1").dropDuplicates(["id"])
-        fresh = fresh.join(known.select("id"), "id", "left_anti").join(known.select(urls.merge_key(F.col("url")).alias("key")), "key", "left_anti").select(*schema.names)
-        fresh.write.mode("overwrite").parquet(own)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index}/batch=-1/_SUCCESS")
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            before = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path)
+            written(-1, identities(before.where(~F.col("_metadata.file_path").rlike(r"/batch=\d+/"))))
+        mine = identities(batch)
+        asked = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        known = spark.read.schema("kind string, value string, batch long, bucket int").parquet(index).where(F.col("bucket").isin(asked) & (F.col("batch") != number))
+        fresh = batch.withColumn("_key", urls.merge_key(F.col("url"))).withColumn("_row", F.xxhash64(*batch.columns))
+        for name, kind in (("id", "id"), ("_key", "url")):
+            taken = known.where(F.col("kind") == kind).select(F.col("value").alias("_taken"))
+            fresh = fresh.join(taken, F.col(name).cast("string") == F.col("_taken"), "left_anti")
+        for name in ("id", "_key"):
+            turn = F.row_number().over(Window.partitionBy(name).orderBy("id", "url", "_row"))
+            fresh = fresh.withColumn("_turn", turn).where(F.col(name).isNull() | (F.col("_turn") == 1))
+        fresh.select(*schema.names).write.mode("overwrite").parquet(own)
+        written(number, identities(spark.read.schema(schema).parquet(own)))
 
     return additions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
