@@ -92,3 +92,42 @@ def missing(required: Column, actual: Column) -> Column:
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
     each = F.transform(F.array_sort(F.array_distinct(required)), lambda v: F.struct(v.alias("value"), count(required, v).alias("required"), count(actual, v).alias("actual")))
     return F.filter(each, lambda x: x.actual < x.required)
+
+
+def lead_paragraph(col: Column, least: int = 20, most: int = 260) -> Column:
+    """The first paragraph of substance in plain words: no headings, images and dated lines, no list marks, links as their labels."""
+    blocks = F.transform(F.split(F.regexp_replace(blank(col), r"\r\n?", "\n"), r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    kept = F.filter(blocks, lambda b: (b != "") & ~b.rlike(r"^(#{1,6}\s|!\[|\d{4}[ 年-])"))
+    words = F.transform(kept, lambda b: F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"^[-*>\d.\s]+", ""), r"!?\[([^\]]*)\]\([^)]+\)", "$1"), r"[*_`#]", ""))
+    long = F.filter(F.transform(words, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: F.length(b) >= least)
+    return F.substring(F.coalesce(F.get(long, F.lit(0)), F.lit("")), 1, most)
+
+
+def without_citations(col: Column) -> Column:
+    """Text without a search index's citation marks: a labelled one leaves its label, the others nothing."""
+    labelled = "\ue200cite\ue202[^†\ue201]+†([^\ue201]*?)(?:†[^†\\s\ue201]+)?\ue201"
+    out = F.regexp_replace(F.regexp_replace(blank(col), labelled, "$1"), "\ue200cite\ue202[^\ue201]+\ue201", "")
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), r"^\s+|\s+$", "")
+
+
+def joined_headings(col: Column) -> Column:
+    """Lines that are only heading marks take the next line that isn't empty as their title."""
+    return F.regexp_replace(col, r"(?m)^(#{1,6})\n+([^\n]+)", "$1 $2")
+
+
+def pdf_markdown(title: Column, url: Column, text: Column) -> Column:
+    """The text of a report under its title and address: page breaks as rules, no control marks, no more than two empty lines."""
+    body = F.regexp_replace(blank(text), r"\f", "\n\n---\n\n")
+    for pattern, plain in ((r"[\x08\x0B\x0C]", ""), (r"(?m)[ \t]+$", ""), (r"\n{4,}", "\n\n\n"), (r"^\s+|\s+$", "")):
+        body = F.regexp_replace(body, pattern, plain)
+    return F.concat(F.lit("# "), title, F.lit("\n\nOfficial report: "), url, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def clock(milliseconds: Column) -> Column:
+    """Minutes and seconds, m:ss."""
+    return F.concat(F.floor(milliseconds / 60_000).cast("string"), F.lit(":"), F.lpad(F.floor(F.pmod(milliseconds, F.lit(60_000)) / 1000).cast("string"), 2, "0"))
+
+
+def word_characters(col: Column) -> Column:
+    """Characters that aren't white space."""
+    return F.length(F.regexp_replace(blank(col), r"(?U)\s", ""))

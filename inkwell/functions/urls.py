@@ -47,3 +47,27 @@ def allowed(url: Column, domains: Column) -> Column:
 
 def parameter(url: Column, name: str) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{name}=([^&#]*)", 1)
+
+
+def request_path(target: Column) -> Column:
+    """The path of a request's target: of an absolute address, of one without a scheme, or what precedes the query."""
+    absolute, network = r"(?i)^[a-z][a-z\d+.-]*://[^/?#]*(/[^?#]*)?", r"^//[^/?#]*(/[^?#]*)?"
+    slash = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(target, pattern, 1), F.lit("")), F.lit("/"))
+    return F.when(target.rlike(absolute), slash(absolute)).when(target.rlike(network), slash(network)).otherwise(F.substring_index(target, "?", 1))
+
+
+#: Names of a list's filters in an address, in order, and the filter each stands for (fixed values).
+FILTERS = {"publisher": "publisher", "date": "year", "category": "category", "priority": "priority", "q": "keyword"}
+
+
+def with_filters(path: Column, values: dict[str, Column], sort: Column) -> Column:
+    """An address with the filters that aren't empty, form-encoded, and the order where it is by score."""
+    pairs = [F.when(F.trim(F.coalesce(values[v], F.lit(""))) != "", F.concat(F.lit(f"{name}="), F.url_encode(F.trim(values[v])))) for name, v in FILTERS.items() if v in values]
+    query = F.concat_ws("&", *pairs, F.when(sort == "score", "sort=score"))
+    return F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), query))
+
+
+def filters_of(url: Column) -> Column:
+    """The filters that an address carries, decoded, and its order: by score or else by date."""
+    found = [F.url_decode(parameter(url, name)).alias(v) for name, v in FILTERS.items()]
+    return F.struct(*found, F.when(parameter(url, "sort") == "score", "score").otherwise("date").alias("sort"))

@@ -38,7 +38,7 @@ class Node:
                 yield from c.all()
 
     def matches(self, simple: str) -> bool:
-        m = re.fullmatch(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)", simple)
+        m = re.fullmatch(r"([\w-]*)((?:\.[\w-]+)*)((?:\[[^\]]+\])*)", re.sub(r"#([\w-]+)", r"[id=\1]", simple))
         if m[1] and m[1] != self.tag or not set(m[2].split(".")[1:]) <= set(self.attrs.get("class", "").split()):
             return False
         return all((x[0] in self.attrs) and (not x[1] or self.attrs[x[0]] == x[1].strip('"')) for x in (a.split("=", 1) + [""] for a in re.findall(r"\[([^\]]+)\]", m[3])))
@@ -204,3 +204,241 @@ def articles(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     ddl = f"`{id_col}` {kind}, status string, title string, published_at string, markdown string, heading_count int, paragraph_count int, character_count int"
     return pages.select(F.col(id_col), "url", "html").mapInArrow(run, ddl)
+
+
+#: Card classes of the generic scan, and its score pattern (fixed values).
+CARDS = {"article-card", "analysis-card"}
+SCORE = re.compile(r"\b(100|[1-9]?\d)(?:/100|/10)?\b")
+GENERIC = {
+    "id": "string", "source_url": "string", "title_original": "string", "title_zh": "string", "published_at": "string", "category": "string", "priority": "string", "score": "int",
+    "confidence": "string", "core_view": "string", "evidence": "string", "locator": "string", "implication": "string", "element_id": "string",
+}
+
+
+def generic_cards(html: str) -> list[dict]:
+    """Records of any digest's cards: text is told apart by the tags and classes around it, whatever the layout."""
+    out = []
+    for card in tree(html).find("article"):
+        if not CARDS & set(card.attrs.get("class", "").split()):
+            continue
+        around: set[str] = set()
+        above = card.parent
+        while above is not None:
+            around |= {above.tag, *above.attrs.get("class", "").split()}
+            above = above.parent
+        said: dict[str, list[str]] = {}
+
+        def walk(node: Node, names: set[str], said=said) -> None:
+            names = names | {node.tag, *node.attrs.get("class", "").split()}
+            if node.tag == "time" and node.attrs.get("datetime"):
+                said.setdefault("date", []).append(node.attrs["datetime"])
+            for child in node.children:
+                if isinstance(child, Node):
+                    walk(child, names)
+                elif words := " ".join(child.split()):
+                    for name in names:
+                        said.setdefault(name, []).append(words)
+
+        walk(card, around)
+        of = lambda *names, said=said: next((x for n in names if (x := " ".join(" ".join(said.get(n, [])).split()))), None)
+        heading, original, translated = of("h3", "h2"), of("original-title"), of("translated-title")
+        a = card.attrs
+        score = a.get("data-score")
+        if score is None:
+            found = SCORE.search(of("score", "score-orbit") or "")
+            score = found[1] if found else None
+        links = [n.attrs["href"] for n in card.all() if n.tag == "a" and n.attrs.get("href", "").startswith("https://")]
+        evidence = of("evidence", "key-evidence")
+        out.append({
+            "id": a.get("data-radar-id") or a.get("id") or None, "source_url": links[-1] if links else None, "title_original": heading if translated or not original else original, "title_zh": translated or (heading if original else None),
+            "published_at": of("date"), "category": a.get("data-category") or a.get("data-categories"), "priority": (a.get("data-priority") or "").lower() or None, "score": int(score) if score and score.isdigit() else None,
+            "confidence": of("confidence"), "core_view": of("core", "take"), "evidence": evidence, "locator": of("locator") if evidence else None, "implication": of("implication"), "element_id": a.get("id"),
+        })
+    return out
+
+
+def generic(digests: DataFrame) -> DataFrame:
+    """Records of (digest, html) by ``generic_cards``; null pages have none."""
+    types = {"string": pa.string(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                found = [(d, r) for d, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in generic_cards(page or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), *(pa.array([r[f] for _, r in found], types[t]) for f, t in GENERIC.items())], ["digest", *GENERIC])
+
+    return digests.select("digest", "html").mapInArrow(run, "digest string, " + ", ".join(f"{f} {t}" for f, t in GENERIC.items()))
+
+
+def write_lines(records: DataFrame, path: str) -> None:
+    """Records as lines of JSON."""
+    records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+#: Where each publisher's articles are, in turn; what is no part of them; least visible characters (fixed values).
+SELECTORS = {
+    "BCG": ["main article", "[data-component=article-body]", "main"],
+    "Anthropic": ["main article", "#main-content", "main"],
+    "McKinsey": ["main article", ".article-body", "[data-module=ArticleBody]", "main"],
+    "MIT": ["main article", "main[role=main]", "main"],
+    "Bain": ["main article", "main[role=main]", "main"],
+}
+OTHERS = ["main article", "article", "main"]
+LEFT_OUT = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form"}
+LEFT_OUT_CLASSES, LEFT_OUT_IDS = ["cookie", "newsletter", "related", "recommend", "social-share"], ["cookie"]
+VISIBLE = 300
+
+
+def left_out(node: Node) -> bool:
+    a = node.attrs
+    return (
+        node.tag in LEFT_OUT or a.get("aria-hidden") == "true"
+        or any(x in a.get("class", "").lower() for x in LEFT_OUT_CLASSES) or any(x in a.get("id", "").lower() for x in LEFT_OUT_IDS)
+    )
+
+
+def _cleaned(node: Node, url: str) -> Node:
+    """A copy without what is left out, its links and images with absolute addresses."""
+    copy = Node(node.tag, dict(node.attrs))
+    for name in ("href", "src"):
+        if name in copy.attrs and copy.tag in ("a", "img"):
+            try:
+                copy.attrs[name] = urljoin(url, copy.attrs[name])
+            except ValueError:
+                del copy.attrs[name]
+    for child in node.children:
+        if isinstance(child, str):
+            copy.children.append(child)
+        elif not left_out(child):
+            inner = _cleaned(child, url)
+            inner.parent = copy
+            copy.children.append(inner)
+    return copy
+
+
+def _visible(node: Node) -> str:
+    def texts(n: Node) -> Iterator[str]:
+        for c in n.children:
+            if isinstance(c, str):
+                yield c
+            else:
+                yield from texts(c)
+
+    return re.sub(r"\s+", " ", "".join(texts(node))).strip()
+
+
+def _markdown(node: Node) -> str:
+    """Blocks of a cleaned element as Markdown."""
+    out: list[str] = []
+
+    def inline(n: Node) -> str:
+        parts = []
+        for c in n.children:
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag == "a" and c.attrs.get("href"):
+                parts.append(f"[{_visible(c)}]({c.attrs['href']})")
+            elif c.tag == "img" and c.attrs.get("src"):
+                parts.append(f"![{c.attrs.get('alt', '')}]({c.attrs['src']})")
+            elif c.tag in ("strong", "b", "em", "i", "code") and (text := _visible(c)):
+                mark = {"strong": "**", "b": "**", "code": "`"}.get(c.tag, "_")
+                parts.append(f"{mark}{text}{mark}")
+            elif c.tag not in _BLOCKS:
+                parts.append(inline(c) if c.tag != "br" else " ")
+        return re.sub(r"\s+", " ", "".join(parts)).strip()
+
+    def walk(n: Node) -> None:
+        for c in n.children:
+            if isinstance(c, Node):
+                if c.tag in _BLOCKS and (text := inline(c)):
+                    lead = "#" * int(c.tag[1]) + " " if re.fullmatch(r"h[1-6]", c.tag) else {"li": "- ", "blockquote": "> "}.get(c.tag, "")
+                    out.append(lead + text)
+                walk(c)
+
+    walk(node)
+    return "\n\n".join(out)
+
+
+def extracted(html: str, url: str, publisher: str) -> dict:
+    """An article by its publisher's places, with its counts and data about it.
+
+    The first place whose visible text has 300 characters or more is taken. Where none has, the
+    element with most text in its own paragraphs stands in for a readability score, which has no exact
+    equal here; a page without any paragraph is thin and empty.
+    """
+    root = tree(html)
+    meta = lambda key, name: next((v for n in root.find("meta") if n.attrs.get(key) == name and (v := n.attrs.get("content", "").strip())), None)
+    first = lambda selector: next((v for n in root.find(selector)[:1] if (v := re.sub(r"\s+", " ", _visible(n)))), None)
+    chosen, method = None, "none"
+    for selector in SELECTORS.get(publisher, OTHERS):
+        place = next(iter(root.find(selector)), None)
+        cleaned = place and _cleaned(place, url)
+        if cleaned and len(_visible(cleaned)) >= VISIBLE:
+            chosen, method = cleaned, f"selector:{selector}"
+            break
+    if chosen is None:
+        whole = _cleaned(root, url)
+        scored = [(sum(len(_visible(c)) for c in n.children if isinstance(c, Node) and c.tag == "p"), -k, n) for k, n in enumerate(whole.all())]
+        best = max(scored, default=None, key=lambda x: x[:2])
+        if best and best[0]:
+            chosen, method = best[2], "readability"
+    about = {
+        "title": first("h1") or meta("property", "og:title") or first("title"), "byline": meta("name", "author") or first("[rel=author]"),
+        "published_at": meta("property", "article:published_time") or next((n.attrs["datetime"] for n in root.find("time") if n.attrs.get("datetime")), None),
+    }
+    if chosen is None:
+        return {"status": "thin", "method": method, **about, "markdown": "", "heading_count": 0, "paragraph_count": 0, "character_count": 0}
+    nodes, size = [*chosen.all()], len(_visible(chosen))
+    headings = sum(bool(re.fullmatch(r"h[1-6]", n.tag)) for n in nodes)
+    return {"status": "extracted" if size >= VISIBLE else "thin", "method": method, **about, "markdown": _markdown(chosen), "heading_count": headings, "paragraph_count": sum(n.tag == "p" for n in nodes), "character_count": size}
+
+
+def extractions(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``extracted`` of (id, url, html, publisher); null pages are thin."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    fields = {"status": pa.string(), "method": pa.string(), "title": pa.string(), "byline": pa.string(), "published_at": pa.string(), "markdown": pa.string(), "heading_count": pa.int32(), "paragraph_count": pa.int32(), "character_count": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                found = [extracted(h or "", u or "", p or "") for u, h, p in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in found], t) for k, t in fields.items())], [id_col, *fields])
+
+    ddl = f"`{id_col}` {kind}, " + ", ".join(f"{k} {'string' if t == pa.string() else 'int'}" for k, t in fields.items())
+    return pages.select(F.col(id_col), "url", "html", "publisher").mapInArrow(run, ddl)
+
+
+def webinar(title: str, url: str, html: str, video: str, video_id: str, duration: int, transcript: str | None) -> str:
+    """A recorded talk's page as Markdown: what the page says of it, the recording, linked resources, and its captions if there are any."""
+    root = tree(html)
+    said = lambda selector: next((_visible(n) for n in root.find(selector)), "")
+    links: dict[str, str] = {}
+    for n in root.find("[itemprop=articleBody] a"):
+        label, target = _visible(n), urljoin(url, n.attrs.get("href", ""))
+        if label and "href" in n.attrs and target not in links:
+            links[target] = label
+    minutes = f"{duration // 60_000}:{duration % 60_000 // 1000:02d}"
+    parts = [
+        f"# {title}", said(".hero__description"), said(".hero__byline"), said(".hero__data-item"), "## Official webinar recording", f"- Recording title: {video}", f"- Duration: {minutes}", f"- Brightcove video ID: {video_id}", f"- Official page: {url}",
+        *(["## Associated Bain resources", *(f"- [{label}]({target})" for target, label in links.items())] if links else []),
+        *(["## Official English captions — full transcript", transcript] if transcript else ["## Caption availability", NO_CAPTIONS]),
+    ]
+    return "\n\n".join(p for p in parts if p) + "\n"
+
+
+#: What a talk without captions says (fixed value).
+NO_CAPTIONS = "The public Bain/Brightcove playback metadata did not publish an English caption track for this recording. The official page, recording metadata, and associated report links are preserved; no transcript has been fabricated."
+
+
+def webinars(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """``webinar`` of (id, title, url, html, video, video_id, duration, transcript)."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [webinar(t or "", u or "", h or "", v or "", i or "", d or 0, c) for t, u, h, v, i, d, c in zip(*(batch.column(k).to_pylist() for k in range(1, 8)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [id_col, "markdown"])
+
+    return rows.select(id_col, "title", "url", "html", "video", "video_id", F.col("duration").cast("long"), "transcript").mapInArrow(run, f"`{id_col}` {kind}, markdown string")

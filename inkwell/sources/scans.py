@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import text
+
 
 def metadata(spark: SparkSession, root: str, schema: str, name: str = "metadata.json") -> DataFrame:
     """All files of one name below a folder, with their paths; the schema is given, never inferred."""
@@ -48,6 +50,50 @@ def accepted(pages: DataFrame, coverage: float = 0.98, characters: int = 300) ->
     return pages.where((F.col("coverage") >= coverage) & (F.length("body") >= characters))
 
 
+#: Lines of an index's pages that are no text (fixed values).
+SKIPPED = "(?i)^(Skip to main content|Explore a career with us)$"
+
+
+def indexed_pages(parts: DataFrame, id_col: str = "page", text_col: str = "raw", ordinal: str = "part") -> DataFrame:
+    """Pages given in parts as a search index shows them: body, total and captured lines, coverage, characters.
+
+    A part says ``Total lines: n`` and marks each line ``L<n>:`` anywhere. The longest text of a
+    line wins, the first of equal ones; citations go, lone heading marks take their title, and
+    empty lines are no more than two in a row. A page without a total has no coverage.
+    """
+    total = F.coalesce(F.expr(f"try_cast(regexp_extract({text_col}, 'Total lines:\\\\s*([0-9]+)', 1) as bigint)"), F.lit(0))
+    totals = parts.groupBy(id_col).agg(F.max(total).alias("total"))
+    marked = F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)L(\d+):\s?(.*?)(?=L\d+:|\z)"), F.lit(0))
+    rows = parts.select(id_col, F.col(ordinal).alias("_part"), F.posexplode(marked).alias("_at", "_line"))
+    value = F.regexp_replace(F.regexp_replace("_line", r"^L\d+:\s?", ""), r"\n\s*=== NEXT CHUNK ===[\s\S]*$", "")
+    rows = rows.select(id_col, "_part", "_at", F.regexp_extract("_line", r"^L(\d+):", 1).cast("long").alias("n"), F.regexp_replace(value, r"^\s+|\s+$", "").alias("text"))
+    best = rows.groupBy(id_col, "n").agg(F.max_by("text", F.struct(F.length("text"), -F.col("_part"), -F.col("_at"))).alias("text"))
+    lines = best.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("lines"))
+    clean = F.filter(F.transform("lines", lambda x: text.without_citations(x.text)), lambda x: ~x.rlike(SKIPPED))
+    body = F.regexp_replace(F.regexp_replace(text.joined_headings(F.array_join(clean, "\n")), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    pages = totals.join(lines, id_col, "left").select(id_col, F.coalesce(body, F.lit("")).alias("body"), "total", F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("captured"))
+    share = F.when(F.col("total") > 0, F.col("captured") / F.col("total")).otherwise(0.0)
+    return pages.withColumn("coverage", share).withColumn("characters", text.word_characters(F.col("body")))
+
+
+def least_coverage(pages: DataFrame) -> DataFrame:
+    """Pages and the least coverage among them."""
+    return pages.agg(F.count("*").alias("pages"), F.min("coverage").alias("least"))
+
+
+def listing(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
+    """(folder, name, size) of the files below a folder, without reading them."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    return rows.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"))
+
+
+def with_file(rows: DataFrame, files: DataFrame, name: str, column: str, folder: str = "folder") -> DataFrame:
+    """``rows`` with the path of a file that may lie in their folder; null where it doesn't."""
+    there = files.where(F.col("name") == name).select(F.col("folder").alias(folder)).distinct().withColumn("_there", F.lit(True))
+    path = F.when(F.col("_there"), F.concat(F.col(folder), F.lit(f"/{name}")))
+    return rows.join(there, folder, "left").withColumn(column, path).drop("_there")
+
+
 def search_block(raw: Column) -> Column:
     """The first result of a search dump: title, URL and text below its header line."""
     head = r"(?m)^(.+?) \((https?://[^\s)]+)\)$"
