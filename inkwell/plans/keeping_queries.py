@@ -165,7 +165,7 @@ QUERIES = {
     "webinar_pages": _talks,
     "generic_cards": lambda s, sf: digests.generic(_cards(s, sf)).select("digest", "id", "title_original", "title_zh", "published_at", "score", "priority", "category", "confidence", "source_url"),
     "publisher_extracts": lambda s, sf: _extracts(s, sf).select("page_id", "status", "method", "heading_count", "title"),
-    "optional_files": lambda s, sf: scans.with_file(s.createDataFrame([(i, f) for i, f in enumerate("abcd")], "id int, folder string"), s.createDataFrame(_PATHS, "folder string, name string"), "report.pdf", "pdf"),
+    "files_beside": lambda s, sf: scans.with_file(s.createDataFrame([(i, f) for i, f in enumerate("abcd")], "id int, folder string"), s.createDataFrame(_PATHS, "folder string, name string"), "report.pdf", "pdf"),
     "reader_rows": lambda s, sf: editorial.rendered(b.table(s, sf, "documents").select(_D.alias("id"), F.concat(F.lit("# "), "source", F.lit("\n\n- a\n- b & c\n\n`x<y`")).alias("markdown")), "markdown"),
 }
 
@@ -209,6 +209,6 @@ ORACLES = {
             || CASE WHEN doc_id % 2 = 0 THEN '## Associated Bain resources' || g || '- [Report](https://x.example/r)' || g || '- [Other one](https://y.example/z)' || g ELSE '' END
             || CASE WHEN doc_id % 3 = 0 AND content <> '' THEN '## Official English captions — full transcript' || g || content ELSE '## Caption availability' || g || '{digests.NO_CAPTIONS}' END || chr(10) AS markdown FROM x""",
     "generic_cards": """SELECT page_id::VARCHAR AS digest, 'article-' || k AS id, 'Original ' || k AS title_original, 'Title ' || k AS title_zh, '2026-07-0' || (k + 1) AS published_at, ('8' || k)::INT AS score, 'must  read' AS priority, 'operations' AS category, 'Confidence: medium' AS confidence, 'https://example.com/' || page_id || '/' || k AS source_url FROM pages, range(3) r(k)""",
-    "optional_files": "SELECT * FROM (VALUES ('a', 0::INT, 'a/report.pdf'), ('b', 1::INT, NULL), ('c', 2::INT, 'c/report.pdf'), ('d', 3::INT, NULL)) v(folder, id, pdf)",
+    "files_beside": "SELECT * FROM (VALUES ('a', 0::INT, 'a/report.pdf'), ('b', 1::INT, NULL), ('c', 2::INT, 'c/report.pdf'), ('d', 3::INT, NULL)) v(folder, id, pdf)",
     "reader_rows": "SELECT doc_id AS id, '<h1>' || source || '</h1><ul><li>a</li><li>b &amp; c</li></ul><p><code>x&lt;y</code></p>' AS html FROM documents",
 }
