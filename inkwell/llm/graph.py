@@ -20,8 +20,8 @@ def contracted(groups: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     ties = rows.where(F.size("hubs") > 1).select(F.explode("hubs").alias("a"), F.col("near").alias("b")).where("a != b").distinct()
     # A hub is a node as well, and its own near hub may be a lesser one.
     own = rows.where("node != near").select(F.col("node").alias("a"), F.col("near").alias("b"))
-    led = scratch.table(rows.select(F.col("near").alias("a")).union(ties.select("a")).distinct(), f"{label}_led")
-    ties = scratch.table(ties.union(own.join(led.hint("merge"), "a", "left_semi")).distinct(), f"{label}_ties")
+    led = rows.select(F.col("near").alias("a")).union(ties.select("a")).distinct()
+    ties = ties.union(own.join(led.hint("merge"), "a", "left_semi"))
     roots = components(ties, scratch, label).withColumnRenamed("node", "near")
     return rows.select("node", "near").join(roots.hint("merge"), "near", "left").select("node", "near", F.coalesce("root", "near").alias("root"))
 
@@ -36,20 +36,19 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.table(edges, f"{label}_edges_0")
-    labels = scratch.table(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), f"{label}_labels_0")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root"))
     turn = 0
     while not edges.isEmpty():
         turn += 1
-        # The least neighbour of each end, where it is less than the end itself, and its own, twice.
+        # The least neighbour of each end, where it is less than the end itself, or that one's own.
         step = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        for hop in range(2):
-            beyond = step.select(F.col("node").alias("to"), F.col("to").alias("then"))
-            step = scratch.table(step.join(beyond, "to", "left").select("node", F.coalesce("then", "to").alias("to")), f"{label}_step_{turn}_{hop}")
+        beyond = step.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        step = scratch.table(step.join(beyond, "to", "left").select("node", F.coalesce("then", "to").alias("to")), f"{label}_step_{turn}")
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a", "left").select(F.coalesce("a2", "a").alias("a"), "b")
         moved = moved.join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b", "left").select("a", F.coalesce("b2", "b").alias("b"))
         moved = moved.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         after = scratch.table(moved, f"{label}_edges_{turn}")
         labels = scratch.table(labels.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{label}_labels_{turn}")
-        scratch.drop(f"{label}_edges_{turn - 1}", f"{label}_labels_{turn - 1}", f"{label}_step_{turn}_0", f"{label}_step_{turn}_1")
+        scratch.drop(f"{label}_edges_{turn - 1}", f"{label}_labels_{turn - 1}", f"{label}_step_{turn}")
         edges = after
     return labels

@@ -127,30 +127,16 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     tied = scratch.table(banded.join(hubs.hint("merge"), "key").select("node", "key", "hub"), "tied")
     bunches = graph.contracted(tied.select("node", "hub"), scratch, "bunch")
 
-    # Cells: a bunch that is too large for one task is cut by the least hub, so that most texts
-    # that share a band are in one cell; what one hub leads is cut again where it is too large.
     members = scratch.table(bunches.join(nodes.select("node", "copies", "id", "h", "size").hint("merge"), "node"), "members")
     parts = lambda: F.ceil(F.greatest(F.count("*") / TILE_TEXTS, F.sum("size") / TILE_WORDS)).cast("long")
     shape = scratch.table(members.groupBy("root").agg(parts().alias("cells")).where("cells > 1"), "shape")
-    large = members.join(shape.hint("merge"), "root")
-    led = scratch.table(large.groupBy("near").agg(parts().alias("split")).where("split > 1"), "led")
-    cell = F.when(F.col("split") > 1, F.xxhash64("near", F.pmod(F.xxhash64("node"), "split"))).otherwise(F.pmod(F.xxhash64("near"), "cells"))
-    large = scratch.table(large.join(led.hint("merge"), "near", "left").select("root", "node", cell.alias("cell")), "cells")
-    # Only cells that share a band meet: the cells of a key are few, and most keys have the same ones.
-    meet = tied.select("node", "key").join(large.hint("merge"), "node").groupBy("root", "key").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
-    meet = meet.select("root", "cells").distinct().select("root", "cells", F.explode("cells").alias("i"))
-    meet = meet.select("root", "i", F.explode(F.filter("cells", lambda c: c >= F.col("i"))).alias("j")).distinct()
-    meet = scratch.table(meet, "meet")
-    sides = meet.select("root", F.col("i").alias("cell"), "i", "j").union(meet.where("i != j").select("root", F.col("j").alias("cell"), "i", "j"))
-    # Written, so that both sides of the join are plain shuffles and a hot cell can be split.
-    sides = scratch.table(sides.groupBy("root", "cell").agg(F.collect_list(F.struct("i", "j")).alias("tiles")), "sides")
-    tiles = large.join(sides.hint("merge"), ["root", "cell"])
     one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     whole = members.join(shape.hint("merge"), "root", "left_anti").select("root", "node", F.lit(0).cast("long").alias("cell"), one.alias("tiles"))
-    placed = scratch.table(whole.unionByName(tiles.select("root", "node", "cell", "tiles")), "placed")
+    if not shape.isEmpty():
+        whole = whole.unionByName(_tiles(members, tied, shape, parts, scratch))
+    placed = whole.hint("merge").join(members.select("node", "copies", "id", F.col("h").alias("hash")), "node")
     texts = slim.select(F.col("id").alias("doc"), "h", "text")
     # A merge join at every size: what small runs shuffle is in proportion to what large ones do.
-    placed = placed.hint("merge").join(members.select("node", "copies", "id", F.col("h").alias("hash")), "node")
     placed = placed.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("h")))
     tiles = placed.select("root", "node", "copies", "cell", "text", F.explode("tiles").alias("t")).select("root", "t.i", "t.j", "cell", "node", "copies", "text")
     tiles = tiles.repartition(parallelism(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
@@ -163,20 +149,41 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
     links = scratch.table(tiles.mapInArrow(verify, "a long, b long, links long"), "links")
-    scratch.drop("hubs", "tied", "members", "placed", "cells", "meet", "sides")
+    scratch.drop("hubs", "tied", "members", "cells", "meet", "sides")
     classes = graph.components(links.where("a != b").select("a", "b"), scratch, "class")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "k1", "k2", "copies", "id", "h").join(classes, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left")
     known = scratch.table(known.withColumn("root", F.coalesce("root", "node")), "known")
     first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     facts = known.join(first, "root").select("k1", "k2", F.col("root").alias("class_row"), F.col("id").alias("copy_id"), F.col("first.id").alias("class_id"), F.col("first.h").alias("class_h"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    full = found.where("size > 0").select("id", "h", "row", "k1", "k2").join(scratch.table(facts, "facts").hint("merge"), ["k1", "k2"])
+    full = found.where("size > 0").select("id", "h", "row", "k1", "k2").join(facts.hint("merge"), ["k1", "k2"])
     stays = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
     full = full.select("id", "class_id", "copy_id", "n_links", "h", "class_row", stays.alias("stays"))
     alone = found.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), "h", F.col("row").alias("class_row"), F.lit(True).alias("stays"))
     return full.unionByName(alone).withColumnRenamed("id", id_col)
 
 
+def _tiles(members: DataFrame, tied: DataFrame, shape: DataFrame, parts, scratch: Scratch) -> DataFrame:
+    """(root, node, cell, tiles) of the nodes of bunches that are too large for one task.
+
+    They are cut by the least hub, so that most texts that share a band are in one cell; what
+    one hub leads is cut again where it is too large. Only cells that share a band meet.
+    """
+    large = members.join(shape.hint("merge"), "root")
+    led = scratch.table(large.groupBy("near").agg(parts().alias("split")).where("split > 1"), "led")
+    cell = F.when(F.col("split") > 1, F.xxhash64("near", F.pmod(F.xxhash64("node"), "split"))).otherwise(F.pmod(F.xxhash64("near"), "cells"))
+    large = scratch.table(large.join(led.hint("merge"), "near", "left").select("root", "node", cell.alias("cell")), "cells")
+    # The cells of a key are few, and most keys have the same ones.
+    meet = tied.select("node", "key").join(large.hint("merge"), "node").groupBy("root", "key").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    meet = meet.select("root", "cells").distinct().select("root", "cells", F.explode("cells").alias("i"))
+    meet = meet.select("root", "i", F.explode(F.filter("cells", lambda c: c >= F.col("i"))).alias("j")).distinct()
+    meet = scratch.table(meet, "meet")
+    sides = meet.select("root", F.col("i").alias("cell"), "i", "j").union(meet.where("i != j").select("root", F.col("j").alias("cell"), "i", "j"))
+    # Written, so that both sides of the join are plain shuffles and a hot cell can be split.
+    sides = scratch.table(sides.groupBy("root", "cell").agg(F.collect_list(F.struct("i", "j")).alias("tiles")), "sides")
+    return large.join(sides.hint("merge"), ["root", "cell"]).select("root", "node", "cell", "tiles")
+
+
 def one_of_each(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each class: the one of the least id.
 
