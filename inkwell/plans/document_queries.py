@@ -190,9 +190,19 @@ ORACLES = {
     "missing_urls": f"WITH {b.PAIRS}, s AS (SELECT id, unnest({_URLS.replace('{c}', 'source')}) AS value FROM pairs), t AS (SELECT id, unnest({_URLS.replace('{c}', 'translation')}) AS value FROM pairs), c AS (SELECT id, value, count(*) AS required FROM s GROUP BY ALL), d AS (SELECT id, value, count(*) AS actual FROM t GROUP BY ALL) SELECT id, value, required, coalesce(actual, 0) AS actual FROM c LEFT JOIN d USING (id, value) WHERE coalesce(actual, 0) < required",
     "lang_detect": rf"WITH {b.PAIRS} SELECT id, CASE WHEN len(regexp_extract_all(source, '\p{{Han}}')) > 0.4 * len(regexp_extract_all(source, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS of_source, CASE WHEN len(regexp_extract_all(translation, '\p{{Han}}')) > 0.4 * len(regexp_extract_all(translation, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS of_translation FROM pairs",
     "chunk_corpus": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks",
+    "section_paths": rf"""WITH m AS (SELECT doc_id AS id, '# ' || source || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 3 THEN CASE WHEN (i - 1) % 8 = 3 THEN '## ' ELSE '### ' END || substr(x, 1, 30) || chr(10) || chr(10) || x ELSE x END), chr(10) || chr(10)) AS md FROM documents),
+        p AS (SELECT id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT id, string_split(md, chr(10)) AS l FROM m)),
+        h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_head, length(regexp_extract(line, '^(#{{1,6}})\s', 1)) AS level, trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), {_WS}) AS label FROM p),
+        s AS (SELECT *, count(*) FILTER (is_head) OVER (PARTITION BY id ORDER BY k) AS sec FROM h),
+        heads AS (SELECT id, sec, level, label, last_value(CASE WHEN level = 1 THEN label END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN label END IGNORE NULLS) OVER w AS h2 FROM s WHERE is_head WINDOW w AS (PARTITION BY id ORDER BY k)),
+        bodies AS (SELECT id, sec, trim(string_agg(line, chr(10) ORDER BY k) FILTER (NOT is_head), {_WS}) AS body FROM s GROUP BY ALL)
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY sec)::INT AS chunk_no, CASE level WHEN 1 THEN label WHEN 2 THEN h1 || ' › ' || label ELSE h1 || ' › ' || h2 || ' › ' || label END AS section_path, length(body)::INT AS characters
+        FROM bodies JOIN heads USING (id, sec) WHERE body <> ''""",
     "chunk_fingerprints": f"WITH RECURSIVE {_CHUNKS} SELECT id || ':' || lpad(chunk_no::VARCHAR, greatest(3, length(chunk_no::VARCHAR))::INT, '0') AS chunk_id, sha256(content) AS fingerprint FROM chunks",
     "corpus_verify": f"SELECT doc_id::VARCHAR AS subject, 'no chunks' AS violation FROM documents WHERE doc_id % 10 = 0 OR trim(coalesce(text, ''), {_WS}) = ''",
     "browser_index": f"WITH RECURSIVE {b.LEDGER}, {_CHUNKS}, c AS (SELECT id, count(*) AS chunk_count, arg_min(content, chunk_no) AS first_chunk FROM chunks GROUP BY id) SELECT doc_id AS id, title, publisher, coalesce(chunk_count, 0)::BIGINT AS chunk_count, coalesce(CASE WHEN doc_id % 3 = 0 THEN nullif(title, '') END, substr(first_chunk, 1, 220), '') AS summary FROM ledger LEFT JOIN c ON c.id = doc_id",
+    "first_paragraphs": r"""SELECT doc_id AS id, substr(coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '^(#|!\[|\d{4}-\d{2}-\d{2})'))[1], ''), 1, 260) AS lead,
+        replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents""",
     "label_distance": f"WITH {b.LEDGER}, l AS (SELECT id, regexp_replace(substr(title, 1, 40), '[^ -~]', '', 'g') AS x, regexp_replace(substr(content, 10, 40), '[^ -~]', '', 'g') AS y FROM ledger) SELECT id, round(coalesce(levenshtein(x, y) / nullif(greatest(length(x), length(y)), 0), 0)::DOUBLE, 9) AS distance FROM l",
     "browse_filter": f"WITH {b.LEDGER} SELECT id, publisher, title FROM ledger WHERE starts_with(published_at, '2026') AND category = 'ai-operating-model' AND priority = 'must-read' AND contains(lower(title || ' ' || publisher || ' ' || category), 'the')",
     "sort_by_date": f"WITH {b.LEDGER}, r AS (SELECT id, published_at, {_SORTED} AS percent FROM ledger) SELECT * FROM r ORDER BY published_at DESC NULLS LAST, percent DESC NULLS LAST, id LIMIT 30 OFFSET 30",

@@ -122,7 +122,15 @@ _BODY = """'# ' || source || chr(10) || chr(10) || '## Facts' || chr(10) || chr(
 #: Characters that an edit takes from the text: whole lines with their ends, or marks.
 _LOST = """CASE doc_id % 9 WHEN 1 THEN 3 WHEN 2 THEN 16 WHEN 3 THEN 12 WHEN 4 THEN 14 WHEN 6 THEN 26 + length(doc_id::VARCHAR) WHEN 7 THEN 11 ELSE 0 END"""
 
+_FIRST = "substr(string_split(text, chr(10))[1], 1, 60)"
+_TWICE = r"，，+|。。+|！！+|？？+|；；+|：：+|,,+|\.\.+|!!+|\?\?+|;;+|::+"
+_STYLE = rf"""st AS (SELECT doc_id, code, n FROM (SELECT doc_id, 'prohibited_variant' AS code, 1 AS n FROM documents UNION ALL SELECT doc_id, 'mixed_punctuation', 1 FROM documents
+    UNION ALL SELECT doc_id, 'repeated_punctuation', 1 + len(regexp_extract_all({_FIRST}, '{_TWICE}')) FROM documents UNION ALL SELECT doc_id, 'webpage_noise', 1 FROM documents WHERE doc_id % 3 < 2))"""
+
 ORACLES = {
+    "style_risks": f"WITH {_STYLE} SELECT doc_id AS id, code, n::BIGINT AS n FROM st",
+    "markdown_structures": rf"""WITH s AS (SELECT doc_id AS id, unnest(['heading', 'item', 'table', 'link', 'strong']) AS kind, unnest([2, 2, 1, 1, len(regexp_extract_all({_FIRST}, '\*\*[^*\n]+\*\*'))]) AS n FROM documents) SELECT id, kind, n::BIGINT AS n FROM s WHERE n > 0""",
+    "polished_issues": f"""WITH {_STYLE} SELECT code AS issue, sum(n)::BIGINT AS n FROM st GROUP BY code UNION ALL SELECT ['missing_fact', 'missing_heading', 'missing_table'][(doc_id % 4 + 1)::INT] AS issue, count(*) FROM documents WHERE doc_id % 4 < 3 GROUP BY 1""",
     "editorial_issues": _ISSUES,
     "fact_anchors": _ANCHORS,
     "editorial_review": f"""WITH i AS ({_ISSUES}), c AS (SELECT id, count(*) AS n FROM i GROUP BY id), f AS (SELECT doc_id, length({_BODY}) AS base, {_LOST} AS lost, CASE doc_id % 3 WHEN 0 THEN 13 WHEN 1 THEN 12 ELSE 0 END AS more, (doc_id % 3 < 2)::INT AS risks FROM documents),

@@ -139,6 +139,27 @@ ANSWERS = [
     (1, "ok", False, [("h", "b", None), ("h2", None, ["i"])], 2), (2, "", False, [("h", "b", ["i"])], 0), (3, "weak", True, None, 0), (4, "weak", True, None, 3),
     (5, "x", None, [("", "b", None), ("h", None, [])], 1), (6, "x", False, [("h", None, [" "]), ("h", None, None)], 1),
 ]
+
+
+def _mixed(spark, sf):
+    """documents with Han runs of several lengths between Latin words."""
+    i = F.col("doc_id")
+    return b.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("企业治理 "), "text", F.lit(" A中b"), F.repeat(F.lit("数"), (i % 4).cast("int")), F.lit("。据")).alias("text"))
+
+
+def _cited_turns(spark, sf):
+    """conversations as cited answers, a claim a turn, with faults by rule; the evidence is a chunk a document."""
+    c, n = F.col("conv_id"), F.col("turn")
+    chunk = lambda k: F.concat(F.lit("c"), k)
+    cited = F.when((c + n) % 11 == 0, F.array().cast("array<string>")).when((c + n) % 7 == 0, F.array(chunk(c), chunk(c))).otherwise(F.array(chunk(c + n), chunk(c * 7)))
+    claims = b.table(spark, sf, "conversations").select(c.alias("answer_id"), n.cast("int").alias("claim"), F.when((c + n) % 13 != 0, F.col("text")).otherwise(" ").alias("text"), F.when(n % 5 == 4, "guess").otherwise("analysis").alias("kind"), cited.alias("cited"))
+    evidence = b.table(spark, sf, "documents").select(chunk(F.col("doc_id")).alias("chunk_id"), F.concat(F.lit("a"), F.col("doc_id") % 10).alias("article_id"), F.col("source").alias("publisher"))
+    return claims, evidence
+
+
+_TURNS = """c AS (SELECT conv_id AS answer_id, turn::INT AS claim, CASE WHEN (conv_id + turn) % 13 <> 0 THEN text ELSE ' ' END AS text, CASE WHEN turn % 5 = 4 THEN 'guess' ELSE 'analysis' END AS kind,
+    CASE WHEN (conv_id + turn) % 11 = 0 THEN []::VARCHAR[] WHEN (conv_id + turn) % 7 = 0 THEN ['c' || conv_id, 'c' || conv_id] ELSE ['c' || (conv_id + turn), 'c' || (conv_id * 7)] END AS cited FROM conversations),
+    k AS (SELECT 'c' || doc_id AS chunk_id, 'a' || doc_id % 10 AS article_id, source AS publisher FROM documents)"""
 _CLAIM_VALUES = ", ".join(f"({a}, {c}, '{t}', '{k}', {cited}::VARCHAR[])" for a, c, t, k, cited in CLAIMS)
 _CHUNK_VALUES = ", ".join(f"('{c}', '{a}', {repr(p) if p else 'NULL'})" for c, a, p in CHUNKS)
 
@@ -162,6 +183,9 @@ def _cut(stream):
 
 
 QUERIES |= {
+    "tokenize_mixed": lambda s, sf: _mixed(s, sf).select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(text.tokens(F.col("text")), "|")).alias("tokens_md5")),
+    "turn_citations": lambda s, sf: answers.claim_violations(*_cited_turns(s, sf)),
+    "turn_sources": lambda s, sf: answers.sources(*_cited_turns(s, sf)),
     "citation_validate": lambda s, sf: answers.claim_violations(_claims(s), _chunks(s)),
     "answer_sources": lambda s, sf: answers.sources(_claims(s), _chunks(s)),
     "answer_violations": lambda s, sf: answers.answer_violations(s.createDataFrame(ANSWERS, f"answer_id int, answer string, insufficient boolean, sections {SECTION}, n_claims int")),
@@ -174,6 +198,14 @@ _EVENTS = """lists AS (SELECT answer_id, CASE WHEN insufficient THEN ['status:re
      events2 AS (SELECT answer_id, (unnest(range(len(e))))::INT AS seq, unnest(e) AS v FROM lists),
      stream AS (SELECT answer_id, seq, string_split(v, ':')[1] AS type, nullif(string_split(v, ':')[2], '') AS stage FROM events2)"""
 ORACLES |= {
+    "tokenize_mixed": f"""WITH v AS (SELECT doc_id, '企业治理 ' || text || ' A中b' || repeat('数', (doc_id % 4)::INT) || '。据' AS text FROM documents), t AS (
+        SELECT doc_id, {_LATIN} AS latin, list_transform(regexp_extract_all(text, '\\p{{Han}}+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i::INT, 2)) END) AS han FROM v)
+        SELECT doc_id, (len(latin) + len(flatten(han)))::INT AS n_tokens, md5(array_to_string(list_concat(latin, flatten(han)), '|')) AS tokens_md5 FROM t""",
+    "turn_citations": f"""WITH {_TURNS} SELECT answer_id, claim, 'empty text' AS violation FROM c WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT answer_id, claim, 'unknown kind' FROM c WHERE kind NOT IN ('source_fact', 'analysis')
+        UNION ALL SELECT answer_id, claim, 'no citation' FROM c WHERE len(cited) = 0 UNION ALL SELECT answer_id, claim, 'repeated citation' FROM c WHERE len(cited) <> len(list_distinct(cited))
+        UNION ALL SELECT DISTINCT answer_id, claim, 'unknown citation: ' || u FROM (SELECT answer_id, claim, unnest(cited) AS u FROM c) WHERE u NOT IN (SELECT chunk_id FROM k)""",
+    "turn_sources": f"""WITH {_TURNS}, u AS (SELECT answer_id, claim, unnest(cited) AS citation, unnest(range(len(cited))) AS p FROM c), f AS (SELECT answer_id, citation, min(claim * 1000 + p) AS o FROM u GROUP BY ALL)
+        SELECT answer_id, citation, article_id, publisher, row_number() OVER (PARTITION BY answer_id ORDER BY o)::INT AS rank FROM f JOIN k ON chunk_id = citation""",
     "citation_validate": f"""WITH c(answer_id, claim, text, kind, cited) AS (VALUES {_CLAIM_VALUES}), k(chunk_id, article_id, publisher) AS (VALUES {_CHUNK_VALUES})
         SELECT answer_id, claim, 'empty text' AS violation FROM c WHERE trim(text) = '' UNION ALL SELECT answer_id, claim, 'unknown kind' FROM c WHERE kind NOT IN ('source_fact', 'analysis')
         UNION ALL SELECT answer_id, claim, 'no citation' FROM c WHERE len(cited) = 0 UNION ALL SELECT answer_id, claim, 'repeated citation' FROM c WHERE len(cited) <> len(list_distinct(cited))
