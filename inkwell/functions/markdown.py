@@ -287,3 +287,25 @@ def rendered(text: str | None) -> str:
         else:
             out.append("<p>" + inline(" ".join(r.strip() for r in rows)) + "</p>")
     return "".join(out)
+
+
+#: What a reader page says, and the name of the report beside it (fixed values).
+PDF = "原始报告.pdf"
+KICKER, NOTE, FOOT = "中文全文", "这是本地归档的完整中文译文，排版供阅读使用；如需核对措辞、图表或最新版本，请以官网原文为准。", "Markdown 译文继续作为本地检索与审计的权威内容源。"
+META = [("published_at", "发布日期"), ("category", "文章类别"), ("priority", "优先级")]
+
+
+def reader_page(article: dict[str, str | None], body: str, pdf: bool = False, home: str = "/", css: str = "") -> str:
+    """A whole reader page around a rendered body: names, links, what is known of the article, its summary."""
+    e = lambda c: html.escape(article.get(c) or "")
+    link = lambda to, label: f'<a href="{to}" target="_blank" rel="noreferrer">{label} ↗</a>'
+    nav = f'<nav class="reader-nav" aria-label="文章导航"><a href="{html.escape(home)}">← 返回知识库</a>{link(PDF, "查看原始报告 PDF") if pdf else ""}{link(e("source_url"), "查看官网原文")}</nav>'
+    facts = "".join(f"<span><b>{label}</b>{e(c)}</span>" for c, label in META if article.get(c))
+    parts = [
+        f'<!doctype html>\n<html lang="zh-CN">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<meta name="description" content="{e("title_zh")}的完整中文译文">\n<title>{e("title_zh")} · {e("publisher")}</title>\n',
+        f"<style>{css}</style>\n" if css else "", f'</head>\n<body>\n<header class="reader-shell">{nav}<p class="reader-kicker">{e("publisher")} · {KICKER}</p><h1>{e("title_zh")}</h1>',
+        f'<p class="original-title" lang="en">{e("title_original")}</p>' if article.get("title_original") else "", f'<div class="meta-row">{facts}</div>' if facts else "", f'</header>\n<main class="reader-main"><p class="translation-note">{NOTE}</p>',
+        f'<section class="summary" aria-labelledby="summary-title"><h2 id="summary-title">核心导读</h2><p>{e("summary")}</p></section>' if article.get("summary") else "",
+        f'<article class="article-body">{body}</article></main>\n<footer class="reader-shell reader-footer">{nav}<p>{FOOT}</p></footer>\n</body>\n</html>\n',
+    ]
+    return "".join(parts)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.operators import translation
 
 BLOCKED = (401, 403, 451)
 RETRIED = (429, 500, 502, 503, 504)
@@ -94,6 +95,26 @@ def queue(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "publisher", "archive_index", text.source_language(F.col("source")).alias("source_language"), F.length(F.coalesce("source", F.lit(""))).alias("source_characters"), status.alias("status"))
 
 
+def queue_checked(pairs: DataFrame) -> DataFrame:
+    """Queue state of (id, publisher, archive_index, source, translation) with the verdict of the translation's own check, and what it found wrong."""
+    checked = translation.verify(pairs.where("coalesce(trim(translation), '') != ''")).select("id", F.col("ok").alias("verified"), F.array_join("errors", ",").alias("errors"))
+    rows = pairs.select("id", "publisher", "archive_index", "source", F.when(F.trim("translation") != "", F.col("translation")).alias("translation")).join(checked.hint("merge"), "id", "left")
+    state = queue(rows)
+    return state.join(checked.select("id", "errors").hint("merge"), "id", "left").withColumn("errors", F.when(F.col("status") == "invalid", F.col("errors")))
+
+
+def workers(n: int, most: int = 12) -> int:
+    """A number of concurrent workers: a whole one from 1 to ``most``."""
+    if not isinstance(n, int) or isinstance(n, bool) or not 1 <= n <= most:
+        raise ValueError(f"workers must be a whole number from 1 to {most}")
+    return n
+
+
+def in_reader_order(entries: DataFrame, group: str = "publisher", name: str = "directory", collation: str = "zh", tie: str = "id") -> DataFrame:
+    """Entries with their place in their group, by directory as a reader sorts it."""
+    return entries.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.collate(name, collation), name, tie)))
+
+
 def queue_counts(entries: DataFrame) -> DataFrame:
     """pending counts all that isn't complete, invalid ones among them."""
     return entries.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "complete").alias("pending"), F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "invalid").alias("invalid"))

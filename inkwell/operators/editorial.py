@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -99,3 +100,32 @@ def reader_violations(readers: DataFrame, html_col: str = "html") -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
     return readers.select("id", F.explode(found).alias("violation"))
+
+
+_ARTICLE = ["title_zh", "publisher", "source_url", "title_original", "published_at", "category", "priority", "summary"]
+
+
+def readers(articles: DataFrame) -> DataFrame:
+    """(id, has_pdf, html): a whole page of each article (title_zh, publisher, source_url, ..., summary, has_pdf, markdown)."""
+    rows = articles.withColumn("_pdf", F.when(F.col("has_pdf"), "x").otherwise(""))
+
+    def make(*values: str) -> list[tuple]:
+        article = dict(zip(_ARTICLE, values, strict=False))
+        return [(bool(values[-2]), markdown.reader_page(article, markdown.rendered(values[-1]), bool(values[-2])))]
+
+    return rows_of(rows, [*_ARTICLE, "_pdf", "markdown"], make, {"has_pdf": "boolean", "html": "string"})
+
+
+def page_violations(pages: DataFrame, articles: DataFrame) -> DataFrame:
+    """Rules on whole reader pages (id, has_pdf, html) against their articles (id, title_zh, publisher, source_url): id and violation."""
+    rows = pages.join(articles.select("id", "title_zh", "publisher", "source_url"), "id", "left")
+    h = F.coalesce("html", F.lit(""))
+    named = lambda c: F.contains(h, F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")))
+    links, refs = F.regexp_count(h, F.lit(f'href="{markdown.PDF}" target="_blank" rel="noreferrer">查看原始报告 PDF ↗</a>')), F.regexp_count(h, F.lit(rf"(?i)href\s*=\s*[\"']{re.escape(markdown.PDF)}[\"']"))
+    has = F.coalesce("has_pdf", F.lit(False))
+    rules = {
+        "empty": ~h.rlike(r'<article class="article-body">[\s\S]+</article>'), "names missing": ~(named("title_zh") & named("publisher") & named("source_url")) | (F.coalesce("title_zh", F.lit("")) == "") | (F.coalesce("source_url", F.lit("")) == ""),
+        "no charset": ~h.rlike(r'(?i)<meta charset="utf-8">'), "unsafe": h.rlike(r"(?i)<\s*(script|iframe|object|embed)\b|<[^>]+\son\w+\s*=|javascript:"), "report links missing": has & (links != 2), "report links not expected": (~has & ((links != 0) | (refs != 0))) | (has & (refs != 2)),
+    }
+    found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+    return rows.select("id", F.explode(found).alias("violation"))

@@ -161,6 +161,21 @@ def record_violations(articles: DataFrame) -> DataFrame:
     return articles.withColumn("v", found).select("row_id", F.explode("v").alias("violation"))
 
 
+def record_errors(articles: DataFrame) -> DataFrame:
+    """One row per broken rule of a full ledger record: seven required fields, HTTPS, and points where there are any (place, error)."""
+    dims = list(scores.MAXIMA)
+    required = ("id", "radar_title", "publisher", "source_url", "title_original", "priority", "provenance")
+    rules = [(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", f"missing {c}") for c in required]
+    rules.append((F.col("source_url").isNotNull() & ~F.col("source_url").startswith("https://"), "source_url is not https"))
+    given = reduce(lambda a, b: a | b, [F.col(d).isNotNull() for d in dims])
+    fits = {d: F.coalesce((F.col(d) == F.floor(d)) & F.col(d).between(0, most), F.lit(False)) for d, most in scores.MAXIMA.items()}
+    rules += [(given & ~fits[d], f"invalid {d}") for d in dims]
+    total = reduce(lambda a, b: a + b, [F.col(d) for d in dims])
+    rules.append((given & reduce(lambda a, b: a & b, fits.values()) & ~F.coalesce(total == F.col("total"), F.lit(False)), "total is not the sum"))
+    found = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in rules]))
+    return articles.select("place", F.explode(found).alias("error"))
+
+
 def override_join(ledger: DataFrame, archived: DataFrame, columns: list[str]) -> DataFrame:
     """Archived metadata under the ledger: a ledger column wins even where it is null."""
     right = archived.select("id", *[F.col(c).alias(f"archived_{c}") for c in archived.columns if c not in ("id", *columns)])
