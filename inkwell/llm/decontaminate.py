@@ -208,6 +208,7 @@ def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage:
                     batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([ids[x[1]] for x in found], item_type), pa.array([x[2] for x in found], pa.float64()),
                     pa.array([len(x[3]) for x in found], pa.int64()), pa.array([max(t[2] for t in x[3]) for x in found], pa.int64()), pa.array(tiles, tiles_type),
                 ], [id_col, item_col, "coverage", "n_tiles", "longest", "tiles"])
+            vec.release()
 
         part = slim.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -232,6 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in matches(batch.column(batch.num_columns - 1), seeds, tile_size, coverage)]] = False
                 yield batch.select(range(batch.num_columns - 1)).rename_columns(names).filter(pa.array(keep))
+            vec.release()
 
         # The lower-case text comes last and is found by its place, whatever the columns' names.
         folded = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select("*", F.lower(F.col(f"c{at}").cast("string")).alias("folded"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from inkwell.llm import vec
 from inkwell.scratch import Scratch, bounded_batches
 
 #: Bytes of the dictionary of one language, and of one text's share in it; together they
@@ -122,6 +124,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         for batch in batches:
             lang, score, rejected = classify(batch.column(1), models)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
+        vec.release()
 
     slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
@@ -144,6 +147,7 @@ def known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text
         models = [Model(lang, raw) for lang, raw in shared.value.items()]
         for batch in batches:
             yield batch.rename_columns(names).filter(pa.array(~classify(batch.column(at), models)[2]))
+        vec.release()
 
     # Columns are found by their places, whatever their names.
     return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)

@@ -28,7 +28,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 WORD = r"[^\x20\x09-\x0D]"
 #: Most hash functions, and most texts and words of one side of a tile.
 HASHES, TILE_TEXTS, TILE_WORDS = 160, 1024, 400_000
-_COLUMNS = 4096
+#: Grams and texts of one side that are compared at once.
+_COLUMNS, _ROWS = 512, 128
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -112,6 +113,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
             size, one, two, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["id", "h", "size", "k1", "k2", "keys"])
+        vec.release()
 
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     found = slim.mapInArrow(sign, f"id {kind}, h long, size long, k1 long, k2 long, keys array<long>")
@@ -147,6 +149,7 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
             out = _links(group, k, limit)
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
+        vec.release()
 
     links = scratch.table(tiles.mapInArrow(verify, "a long, b long, links long"), "links")
     scratch.drop("hubs", "tied", "members", "cells", "meet", "sides")
@@ -241,32 +244,35 @@ def _links(group: pa.Table, k: int, limit: Fraction) -> tuple[np.ndarray, np.nda
     shared = count[column] > 1
     owner = owner[shared]
     column = np.unique(column[shared], return_inverse=True)[1]
-    common = np.zeros((len(rows), len(cols)), np.int64)
+    # Counts are exact in single floats: a text has fewer than 2**24 grams.
+    common = np.zeros((len(rows), len(cols)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
         a, b = np.searchsorted(column, [c, c + _COLUMNS])
         dense = np.zeros((len(node), _COLUMNS), np.float32)
         dense[owner[a:b], column[a:b] - c] = 1
-        common += (dense[rows] @ dense[cols].T).astype(np.int64)
-    union = size[rows][:, None] + size[cols][None, :] - common
-    linked = (common * limit.denominator >= limit.numerator * union) & (union > 0)
+        common += dense[rows] @ dense[cols].T
+    linked = np.zeros(common.shape, bool)
+    for i in range(0, len(rows), _ROWS):
+        part = common[i : i + _ROWS].astype(np.int64)
+        union = size[rows[i : i + _ROWS]][:, None] + size[cols][None, :] - part
+        linked[i : i + _ROWS] = (part * limit.denominator >= limit.numerator * union) & (union > 0)
     if not cross:
         np.fill_diagonal(linked, False)
     links = np.zeros(len(node), np.int64)
     links[rows] += linked @ copies[cols]
     if cross:
         links[cols] += linked.T @ copies[rows]
-    parent = list(range(len(node)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-        a, b = root(int(rows[a])), root(int(cols[b]))
-        parent[max(a, b)] = min(a, b)
+    # The least node that each hangs together with: labels fall along links until none does.
+    least = np.arange(len(node), dtype=np.int32)
+    while True:
+        before = least.copy()
+        for mine, other, by in ((rows, cols, linked), (cols, rows, linked.T)):
+            if len(mine) and len(other):
+                least[mine] = np.minimum(least[mine], np.where(by, least[other][None, :], len(node)).min(1))
+        least = least[least]
+        if (least == before).all():
+            break
     some = np.flatnonzero(links)
-    return node[some], node[[root(int(x)) for x in some]] if len(some) else node[some], links[some]
+    return node[some], node[least[some]], links[some]

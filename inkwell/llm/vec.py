@@ -10,6 +10,7 @@ complement; at PART units it can, and the mixing step between parts keeps it so.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +127,14 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return WORDS.of(WORDS.prefix(raw), starts, ends)
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: a worker lives on and the next stage has needs of its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the runs of True."""
     edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
