@@ -52,19 +52,19 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 _ARTICLE, _MAIN = 2, 1
 
 
-def _named(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-    """From attributes: left out, a header, the main part. ``inside``: of an article or the main part.
+def _named(attrs: str, inside: bool) -> tuple[bool, bool, int]:
+    """From attributes: left out, a header, and whether the element is an article, the main part or neither. ``inside``: of an article or the main part.
 
     There a word of a class or id isn't enough to leave an element out ("search-results",
     "form-factor"): all its words must be such names or what they are joined with.
     """
-    out = header = main = False
+    out, header, container = False, False, 0
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
@@ -74,14 +74,16 @@ def _named(attrs: str, inside: bool) -> tuple[bool, bool, bool]:
                 header |= "header" in parts
         elif name == "role":
             out |= value.lower() in _ROLES
-            main |= value.lower() == "main"
+            container = max(container, {"main": _MAIN, "article": _ARTICLE}.get(value.lower(), 0))
+        elif name == "itemprop":
+            container = _ARTICLE if {"articleBody", "headline"} & set(value.split()) else container
         elif name == "hidden":
             out = True
         elif name == "aria-hidden":
             out |= value.lower() == "true"
         else:
             out |= re.sub(r"\s", "", value.lower()).find("display:none") >= 0
-    return out, header, main
+    return out, header, container
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -146,7 +148,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 elif stack[d][0] not in _INLINE:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
-        out, header, main = _named(attrs, state[2] > 0) if attrs.strip("/ \n\t") else (False, False, False)
+        out, header, container = _named(attrs, state[2] > 0) if attrs.strip("/ \n\t") else (False, False, 0)
         if tag in ("html", "body", "main"):
             out = header = False
         elif tag == "article":
@@ -162,7 +164,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         link += tag == "a"
         heading += tag in _HEADINGS
         if not state[0]:
-            state[2] = max(state[2], _ARTICLE if tag == "article" else _MAIN if tag == "main" or main else 0)
+            state[2] = max(state[2], container, {"article": _ARTICLE, "main": _MAIN}.get(tag, 0))
     if at < len(page) and not state[0] and not state[1]:
         parts.append(page[at:])
     flush(state[2])

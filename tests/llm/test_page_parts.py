@@ -20,6 +20,8 @@ def text(html):
         ("<main><h1>Title</h1><article>text</article></main><article>below</article><p>out</p>", "Title text below"),
         ("<article>a<div class='search-results'>b</div><div class='form-factor'>c</div><p id='related-work'>d</p></article>", "a b c d"),
         ("<article>a<div class='comment-list'>x</div><div class='cookie_banner'>x</div><div class='relatedPosts'>x</div><div class='wide share-buttons'>x</div>b</article>", "a b"),
+        ("<div>by</div><h1 itemprop='headline'>T</h1><div itemprop='articleBody'>b<p class='ad'>c</p></div><div>x</div>", "T b"),
+        ("<div role='article'>a</div><div>x</div>", "a"),
         ("<div class='site-footer'>x</div><div class='top-nav-primary'>x</div><p>t</p>", "t"),
         ("<article><p>é&eacute;&#233;&#xE9; &lt;b&gt;</p></article>", "éééé <b>"),
         (f"<article>{'<p>long line</p>' * 30_000}</article>", " ".join(["long line"] * 30_000)),
