@@ -11,29 +11,31 @@ from inkwell.plans.document_queries import _WS
 from inkwell.plans.editorial_queries import _cards
 from inkwell.sources import digests, scans
 
-_D = F.col("doc_id")
+
+def _d():
+    return F.col("doc_id")
 
 
 def _archive(spark, sf):
     """Ledger rows as an archive on disk, with faults by rule."""
     rows = b.ledger(spark, sf)
     return rows.select(
-        F.concat(F.lit("archive/"), "id").alias("path"), F.when(_D % 41 != 0, F.when(_D % 43 == 0, F.format_string("doc-%06d", _D - 1)).otherwise(F.col("id"))).alias("id"), F.when(_D % 47 == 0, "https://same.example/").otherwise(F.concat(F.lit("https://x.example/"), _D)).alias("url"),
-        F.when(_D % 11 == 0, "failed").otherwise("downloaded").alias("status"), F.when(_D % 13 != 0, "<p>").alias("snapshot"), F.when(_D % 17 == 0, "").otherwise("text").alias("source"), F.when(_D % 19 != 0, "译文").alias("translation"),
-        F.when(_D % 3 == 0, False).when(_D % 3 == 1, True).alias("verified"), (_D % 23 != 0).alias("reader_ok"),
+        F.concat(F.lit("archive/"), "id").alias("path"), F.when(_d() % 41 != 0, F.when(_d() % 43 == 0, F.format_string("doc-%06d", _d() - 1)).otherwise(F.col("id"))).alias("id"), F.when(_d() % 47 == 0, "https://same.example/").otherwise(F.concat(F.lit("https://x.example/"), _d())).alias("url"),
+        F.when(_d() % 11 == 0, "failed").otherwise("downloaded").alias("status"), F.when(_d() % 13 != 0, "<p>").alias("snapshot"), F.when(_d() % 17 == 0, "").otherwise("text").alias("source"), F.when(_d() % 19 != 0, "译文").alias("translation"),
+        F.when(_d() % 3 == 0, False).when(_d() % 3 == 1, True).alias("verified"), (_d() % 23 != 0).alias("reader_ok"),
     )
 
 
 def _bodies(spark, sf):
     rows = b.ledger(spark, sf, merge=True)
-    archive = rows.where(_D % 2 == 0).select("id", F.lit("old page").alias("snapshot"), F.lit("old text\n").alias("source"), F.when(_D % 4 == 0, "译文").alias("translation"))
-    return keeping.written(archive, rows.where(_D % 3 == 0).select("id", F.concat(F.lit("<p>"), "title").alias("snapshot"), F.concat(F.lit(" \n"), "content", F.lit("\n ")).alias("source")))
+    archive = rows.where(_d() % 2 == 0).select("id", F.lit("old page").alias("snapshot"), F.lit("old text\n").alias("source"), F.when(_d() % 4 == 0, "译文").alias("translation"))
+    return keeping.written(archive, rows.where(_d() % 3 == 0).select("id", F.concat(F.lit("<p>"), "title").alias("snapshot"), F.concat(F.lit(" \n"), "content", F.lit("\n ")).alias("source")))
 
 
 def _enriched(spark, sf):
     rows = b.ledger(spark, sf, merge=True)
     archive = rows.select("id", F.col("content").alias("source"), F.lit("thin").alias("extraction"))
-    patches = rows.where(_D % 6 == 0).select("id", F.concat(F.lit("## H\n\n"), "content").alias("markdown"), F.lit("extracted").alias("extraction"), F.lit("linked").alias("method"), F.when(_D % 12 == 0, F.col("url")).alias("linked_url"))
+    patches = rows.where(_d() % 6 == 0).select("id", F.concat(F.lit("## H\n\n"), "content").alias("markdown"), F.lit("extracted").alias("extraction"), F.lit("linked").alias("method"), F.when(_d() % 12 == 0, F.col("url")).alias("linked_url"))
     return keeping.enriched(archive, patches).select("id", "extraction", "method", "linked_url", "changed", "character_count", "heading_count", "paragraph_count", "sha256")
 
 
@@ -48,7 +50,7 @@ def _parts(spark, sf):
     def part(number, keep, cut):
         value = lambda x, i: F.when(i % 7 == 3, "##").when(i % 13 == 6, "Skip to main content").otherwise(F.concat(F.substring(x, 1, cut), F.when(i % 5 == 1, _CITED).when(i % 11 == 4, _BARE).otherwise("")))
         shown = F.filter(F.transform(lines, lambda x, i: F.when(keep(i), F.concat(F.lit("L"), i + 1, F.lit(": "), value(x, i)))), lambda x: x.isNotNull())
-        return d.select(_D.alias("page"), F.lit(number).alias("part"), F.concat(F.lit("Total lines: "), F.size(lines) + _D % 3, F.lit("\n"), F.array_join(shown, "\n")).alias("raw"))
+        return d.select(_d().alias("page"), F.lit(number).alias("part"), F.concat(F.lit("Total lines: "), F.size(lines) + _d() % 3, F.lit("\n"), F.array_join(shown, "\n")).alias("raw"))
 
     return part(0, lambda i: i % 3 != 2, 40).unionByName(part(1, lambda i: i % 2 == 0, 1_000_000))
 
@@ -56,8 +58,8 @@ def _parts(spark, sf):
 def _imports(spark, sf):
     pages = scans.indexed_pages(_parts(spark, sf)).withColumnRenamed("page", "id")
     d = b.table(spark, sf, "documents")
-    records = d.where(_D % 9 != 0).select(_D.alias("id"), F.concat(F.lit("https://x.example/"), _D).alias("url"), F.col("source").alias("title"))
-    state = d.where(_D % 2 == 0).select(_D.alias("id"), F.concat(F.lit("https://old.example/"), _D).alias("url"), F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("sha256"), F.lit("unknown").alias("extraction"))
+    records = d.where(_d() % 9 != 0).select(_d().alias("id"), F.concat(F.lit("https://x.example/"), _d()).alias("url"), F.col("source").alias("title"))
+    state = d.where(_d() % 2 == 0).select(_d().alias("id"), F.concat(F.lit("https://old.example/"), _d()).alias("url"), F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("sha256"), F.lit("unknown").alias("extraction"))
     return keeping.imported(pages, records, state)
 
 
@@ -72,8 +74,8 @@ _PAGES = f"""lines AS (SELECT doc_id AS page, unnest(range(len(l))) AS i, unnest
 
 
 def _queue(spark, sf):
-    titles = F.element_at(F.array(*[F.lit(t) for t in ("zebra", "Apple", "汉语 radar", "éclair", "apple", "啊 radar", "a-b", "a:b")]), (_D % 8 + 1).cast("int"))
-    return b.table(spark, sf, "documents").select(_D.alias("id"), titles.alias("radar_title"), (_D % 50).alias("archive_index"), F.when(_D % 3 == 0, "zh").otherwise("en").alias("source_language"), F.when(_D % 4 == 0, "complete").when(_D % 4 == 1, "invalid").otherwise("pending").alias("status"))
+    titles = F.element_at(F.array(*[F.lit(t) for t in ("zebra", "Apple", "汉语 radar", "éclair", "apple", "啊 radar", "a-b", "a:b")]), (_d() % 8 + 1).cast("int"))
+    return b.table(spark, sf, "documents").select(_d().alias("id"), titles.alias("radar_title"), (_d() % 50).alias("archive_index"), F.when(_d() % 3 == 0, "zh").otherwise("en").alias("source_language"), F.when(_d() % 4 == 0, "complete").when(_d() % 4 == 1, "invalid").otherwise("pending").alias("status"))
 
 
 _QUEUED = """q AS (SELECT doc_id AS id, ['zebra', 'Apple', '汉语 radar', 'éclair', 'apple', '啊 radar', 'a-b', 'a:b'][doc_id % 8 + 1] AS radar_title, doc_id % 50 AS archive_index, CASE WHEN doc_id % 3 = 0 THEN 'zh' ELSE 'en' END AS source_language,
@@ -114,8 +116,8 @@ _EXPECTED = " UNION ALL ".join(
 
 def _summaries(spark, sf):
     rows = b.ledger(spark, sf, merge=True)
-    markdown = F.concat(F.lit("# Title that is long enough to count\n\n"), F.when(_D % 4 == 0, "2026-08-01 a dated line that is long enough\n\n![pic](p.png)\n\n").otherwise(""), F.when(_D % 5 == 0, "- **[short](u)**\n\n").otherwise(""), F.lit("> 1. [see](https://x.example) "), "content")
-    return keeping.summaries(rows.select("id", F.when(_D % 6 == 0, "ledger view").when(_D % 6 == 1, "").alias("ledger_core"), F.when(_D % 9 == 0, "archive view").alias("archive_core"), markdown.alias("markdown")))
+    markdown = F.concat(F.lit("# Title that is long enough to count\n\n"), F.when(_d() % 4 == 0, "2026-08-01 a dated line that is long enough\n\n![pic](p.png)\n\n").otherwise(""), F.when(_d() % 5 == 0, "- **[short](u)**\n\n").otherwise(""), F.lit("> 1. [see](https://x.example) "), "content")
+    return keeping.summaries(rows.select("id", F.when(_d() % 6 == 0, "ledger view").when(_d() % 6 == 1, "").alias("ledger_core"), F.when(_d() % 9 == 0, "archive view").alias("archive_core"), markdown.alias("markdown")))
 
 
 _TARGETS = ["/a/b?x=1", "https://h.example/p/q?z#f", "HTTP://h.example", "//h.example/n?x", "//h.example?x", "plain", "/", "?q", "ftp+x://h/%2e%2e/y"]
@@ -130,9 +132,9 @@ def _addresses(spark):
 def _talks(spark, sf):
     rows = b.ledger(spark, sf, merge=True)
     page = F.concat(
-        F.lit("<div class='hero'><p class='hero__description'>About  "), _D, F.lit("</p><p class='hero__byline'>By us</p></div><div itemprop='articleBody'>"), F.when(_D % 2 == 0, "<a href='/r'>Report</a> <a href='/r'>Again</a> <a href='https://y.example/z'>Other <b>one</b></a><a href='/e'> </a>").otherwise(""), F.lit("</div>")
+        F.lit("<div class='hero'><p class='hero__description'>About  "), _d(), F.lit("</p><p class='hero__byline'>By us</p></div><div itemprop='articleBody'>"), F.when(_d() % 2 == 0, "<a href='/r'>Report</a> <a href='/r'>Again</a> <a href='https://y.example/z'>Other <b>one</b></a><a href='/e'> </a>").otherwise(""), F.lit("</div>")
     )
-    return digests.webinars(rows.select("id", F.concat(F.lit("Talk "), _D).alias("title"), F.lit("https://x.example/t/").alias("url"), page.alias("html"), F.lit("Recording").alias("video"), _D.cast("string").alias("video_id"), (_D * 61_001).alias("duration"), F.when(_D % 3 == 0, F.col("content")).alias("transcript")))
+    return digests.webinars(rows.select("id", F.concat(F.lit("Talk "), _d()).alias("title"), F.lit("https://x.example/t/").alias("url"), page.alias("html"), F.lit("Recording").alias("video"), _d().cast("string").alias("video_id"), (_d() * 61_001).alias("duration"), F.when(_d() % 3 == 0, F.col("content")).alias("transcript")))
 
 
 def _extracts(spark, sf):
@@ -155,7 +157,7 @@ QUERIES = {
     "import_refused": lambda s, sf: _imports(s, sf)[2].select("id", "problem"),
     "pending_queue": lambda s, sf: keeping.pending(_queue(s, sf), "en", 100).select("id", "radar_title", "archive_index"),
     "facet_values": lambda s, sf: keeping.sorted_values(_queue(s, sf), ["radar_title", "status"]),
-    "article_directories": lambda s, sf: keeping.directories(b.ledger(s, sf).select("id", _D.alias("archive_index"), F.when(_D % 10 == 0, "\x01 !?").otherwise(F.concat(F.lit("Ｆｕｌｌ① "), "title")).alias("title"))),
+    "article_directories": lambda s, sf: keeping.directories(b.ledger(s, sf).select("id", _d().alias("archive_index"), F.when(_d() % 10 == 0, "\x01 !?").otherwise(F.concat(F.lit("Ｆｕｌｌ① "), "title")).alias("title"))),
     "article_summaries": _summaries,
     "dataset_errors": _dataset,
     "request_paths": lambda s, sf: s.createDataFrame(list(enumerate(_TARGETS)), "id int, target string").select("id", urls.request_path(F.col("target")).alias("path")),
@@ -166,7 +168,7 @@ QUERIES = {
     "generic_cards": lambda s, sf: digests.generic(_cards(s, sf)).select("digest", "id", "title_original", "title_zh", "published_at", "score", "priority", "category", "confidence", "source_url"),
     "publisher_extracts": lambda s, sf: _extracts(s, sf).select("page_id", "status", "method", "heading_count", "title"),
     "files_beside": lambda s, sf: scans.with_file(s.createDataFrame([(i, f) for i, f in enumerate("abcd")], "id int, folder string"), s.createDataFrame(_PATHS, "folder string, name string"), "report.pdf", "pdf"),
-    "reader_rows": lambda s, sf: editorial.rendered(b.table(s, sf, "documents").select(_D.alias("id"), F.concat(F.lit("# "), "source", F.lit("\n\n- a\n- b & c\n\n`x<y`")).alias("markdown")), "markdown"),
+    "reader_rows": lambda s, sf: editorial.rendered(b.table(s, sf, "documents").select(_d().alias("id"), F.concat(F.lit("# "), "source", F.lit("\n\n- a\n- b & c\n\n`x<y`")).alias("markdown")), "markdown"),
 }
 
 _COUNT = "(SELECT count(*) FROM documents)"

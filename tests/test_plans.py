@@ -28,3 +28,14 @@ def test_search_cuts_each_text_once_a_pass(spark):
 def test_chunks_and_queues_are_map_only(spark):
     for name in ("chunk_corpus", "queue_entries", "canonical_urls", "translation_verify"):
         assert "Exchange" not in plan(registry.QUERIES[name](spark, ROOT)), name
+
+
+def test_the_entry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    import __spark_entry__ as entry
+
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    root = entry.__file__.rsplit("/", 1)[0]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
