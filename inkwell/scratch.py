@@ -54,16 +54,41 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads, and free the shuffles behind them."""
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
         gc.collect()
         jvm.System.gc()
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads, and free the shuffles behind them."""
+        self._delete([f"{self.path}/{name}" for name in names])
+
+    def remove(self) -> None:
+        """Delete all tables of the folder."""
+        self._delete([self.path])
+
+
+#: Bytes of files up to which a table in few row groups is dealt over the cores.
+SMALL = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A freshly read table; a small one with fewer scan tasks than cores is dealt over them.
+
+    A file of one row group is one task, however long its texts take. Beyond SMALL bytes the
+    scan stays as it is: a large table has tasks enough, and none of it is shuffled for this.
+    """
+    execution = rows._jdf.queryExecution()
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if not 1 << 20 <= size <= SMALL or execution.toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
 
 def parallelism(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session, at least ``least``."""
