@@ -167,7 +167,9 @@ def mixed(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col:
     struct here. Nulls, equal ids, equal rows, blank texts (never in a budget, so taken only
     in whole copies of a source) and empty tables are as in ``mix``.
     """
-    _, plan, ties = thresholds(docs, Scratch(docs.sparkSession, "mixed"), seed, id_col, text_col, source_col)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    _, plan, ties = thresholds(docs, scratch, seed, id_col, text_col, source_col)
+    scratch.drop("sizes", "groups")  # what is left has a row a source, or is taken
     packed = docs.select(F.struct("*").alias("row"), _key(source_col).alias("key"), _hash(seed, id_col).alias("h"), *([_size(F.col(f"`{text_col}`").cast("string")).alias("size")] if ties is not None else []))
     joined = packed.join(plan, "key").withColumn("times", F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
     if ties is not None:

@@ -89,7 +89,7 @@ def signatures(texts: pa.Array, k: int, bands: int, rows: int) -> Iterator[tuple
         yield size, halves[0], halves[1], keys
 
 
-def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id, class_id, copy_id, n_links, h, class_row, stays.
 
     A class is what hangs together by links: Jaccard of the sets of k-grams of words at or
@@ -98,10 +98,11 @@ def join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, recall:
     n_links counts the other rows linked to this one, copies included; class_row tells classes
     apart. A null, empty or blank text has no set: it links to nothing and is a class of its
     own. Texts of fewer than k words have one gram of all their words. Ids may be null or
-    repeated; other columns are not carried; an empty table gives no rows.
+    repeated; other columns are not carried; an empty table gives no rows. The rows are read
+    from tables in ``scratch``, which the caller may remove once they have been used.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
+    scratch = scratch or Scratch(spark, "ngram")
     bands, rows = bands_and_rows(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -192,9 +193,10 @@ def one_of_each(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, r
 
     Rows that repeat both id and text are one document. Texts without a word all stay.
     """
-    scratch = Scratch(docs.sparkSession, "representatives")
-    chosen = join(docs, k, threshold, recall, id_col, text_col).where("stays").select(F.col(f"`{id_col}`").alias("id"), "h")
+    scratch, work = Scratch(docs.sparkSession, "representatives"), Scratch(docs.sparkSession, "ngram")
+    chosen = join(docs, k, threshold, recall, id_col, text_col, work).where("stays").select(F.col(f"`{id_col}`").alias("id"), "h")
     chosen = scratch.table(chosen.groupBy("id", "h").agg(F.count("*").alias("n")), "chosen")
+    work.remove()
     # The caller's row is one struct, so that no column of it can clash.
     packed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("mine"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     kept = packed.join(chosen.hint("merge"), F.col("mine").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, language, mixing, ngram_join, pages, quality, secrets, substring_dedup, suffix_dedup, tokens
-from inkwell.scratch import Scratch
+from inkwell.scratch import Scratch, spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rows = pages.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
