@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontaminate, language, mixing, ngram_join, tokens
-from inkwell.scratch import Scratch
+from inkwell.scratch import Scratch, spread
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scratch, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)  # nothing reads a stage's rows but the next one
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
