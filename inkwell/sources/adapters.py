@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import urls
 from inkwell.sources.digests import Node, tree
 
-#: Field rules by layout.
+#: Field rules by layout (fixed values).
 ADAPTERS: dict[str, dict] = {
     "bcg": {
         "card": "article.article-card", "id": ["@id"], "title_original": ["h3"], "title_zh": [".translated-title"], "date": [".date"], "topics": ["@data-categories"], "priority": ["@data-priority", ".priority"],

@@ -150,3 +150,18 @@ def test_ledgers_are_written_by_library(spark, tmp_path):
     (row,) = spark.read.text(f"{tmp_path}/scenarios/library=l").collect()
     assert json.loads(row.value)["company_cases"] == [{"company": "c", "source_id": "s1", "market": "中国", "caveat": "v"}]
     assert json.loads(spark.read.text(f"{tmp_path}/evidence/library=l").first().value)["source_id"] == "s1"
+
+
+def test_digests_of_another_title_or_count_fail(spark):
+    from inkwell.sources import adapters
+
+    page = "<title>D</title><article class='article-card' id='a'><h3>T</h3><div class='score'>Low · 3/10</div></article>"
+    rows = lambda title, expected: spark.createDataFrame([("d", page, "bcg", "P", title, expected)], "digest string, html string, adapter string, publisher string, title string, expected int")
+    (row,) = adapters.scan(rows("D", 1)).collect()
+    assert (row.id, row.score, row.tier, row.category, row.confidence, row.source_url, row.canonical_url) == ("p-a", 3.0, "low", "uncategorized", "unknown", None, None)
+    for title, expected in (("E", 1), ("D", 2)):
+        with pytest.raises(Exception, match="title D is not E|expected 2 records, found 1"):
+            adapters.scan(rows(title, expected)).collect()
+    assert adapters.scan(rows(None, None)).count() == 1
+    with pytest.raises(ValueError, match="unknown adapter"):
+        adapters.records(page, "other", "P")
