@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, language, mixing, ngram_join, pages, quality, secrets, substring_dedup, suffix_dedup, tokens
+from inkwell.llm import classifier, decontaminate, language, merkle, mixing, ngram_join, pages, quality, secrets, substring_dedup, suffix_dedup, tokens
 from inkwell.scratch import Scratch, spread
 
 
@@ -72,6 +72,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    return merkle.manifest(_documents(spark, sf_dir), changed=tampered, changes={"text": merkle.lowered(F.col("text"))})
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = classifier.train(classifier.labelled(language.learning_rows(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return classifier.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_decontaminate": op2_decontaminate,
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_language_id": op9_language_id,
     "op10_page_text": op10_page_text,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -103,6 +117,12 @@ _LEDGER = rf"""
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 """
 
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
 ORACLES: dict[str, str] = {
     "op3_mix_sources": rf"""
         WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
@@ -130,6 +150,37 @@ ORACLES: dict[str, str] = {
                (1 * (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
                 + 16 * (10 * n_stutters > 3 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 15 * n_words)::INT)::BIGINT AS failed
         FROM b""",
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, concat({_field('doc_id')}, {_field('source')}, {_field('lang')}, {_field('n_chars')}) AS head, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+                          list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                                      lambda c, b: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, b)), 4294967295::BIGINT) AS c FROM documents),
+        l AS (SELECT doc_id, lang, sha256(concat(head, {_field('text')})) AS leaf,
+                     sha256(concat(head, CASE WHEN xor(c, 4294967295) % 3 = 0 THEN {_field('lowered')} ELSE {_field('text')} END)) AS found FROM d),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+        g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) AS n FROM k GROUP BY lang),
+        p AS (SELECT g, i, doc_id, leaf, found FROM k JOIN g ON k.lang IS NOT DISTINCT FROM g.lang),
+        t AS (SELECT g, 0 AS level, i, leaf AS node, n FROM p JOIN g USING (g)
+              UNION ALL
+              SELECT g, level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM t WHERE n > 1 GROUP BY g, level, i // 8),
+        s AS (SELECT g, level AS top, node AS subroot FROM t WHERE n = 1),
+        u AS (SELECT 0 AS level, g AS i, subroot AS node, (SELECT count(*) FROM s) AS n FROM s
+              UNION ALL
+              SELECT level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM u WHERE n > 1 GROUP BY level, i // 8),
+        nodes AS (SELECT g, level, i, node FROM t JOIN s USING (g) WHERE level < top
+                  UNION ALL
+                  SELECT g, top + u.level, u.i, u.node FROM u CROSS JOIN s WHERE u.n > 1),
+        runs AS (SELECT g, level, i // 8 AS run, list(node ORDER BY i) AS nodes FROM nodes GROUP BY g, level, i // 8),
+        walk AS (SELECT p.g, p.i AS row, p.leaf, p.found, s.subroot, s.top, level, run, nodes,
+                        CASE WHEN level < top THEN p.i // (8::BIGINT ** level)::BIGINT ELSE p.g // (8::BIGINT ** (level - top))::BIGINT END AS place
+                 FROM p JOIN s USING (g) JOIN runs USING (g)
+                 WHERE run = CASE WHEN level < top THEN p.i // (8::BIGINT ** (level + 1))::BIGINT ELSE p.g // (8::BIGINT ** (level - top + 1))::BIGINT END),
+        steps AS (SELECT g, row, level, array_to_string(nodes[1 : place % 8], '') AS before, array_to_string(nodes[place % 8 + 2 :], '') AS after FROM walk),
+        paths AS (SELECT g, row, list({{'b': before, 'a': after}} ORDER BY level) AS steps, string_agg(before || after, '' ORDER BY level) AS siblings FROM steps GROUP BY g, row),
+        f AS (SELECT p.g, p.i, p.doc_id, p.leaf, s.subroot, sha256(coalesce(siblings, '')) AS proof_sha256,
+                     list_reduce(coalesce(steps, []), lambda h, x: {{'b': sha256(x.b || h.b || x.a), 'a': ''}}, {{'b': found, 'a': ''}}).b AS folded_root
+              FROM p JOIN s USING (g) LEFT JOIN paths ON paths.g = p.g AND paths.row = p.i)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+        FROM f CROSS JOIN (SELECT node AS root FROM u WHERE n = 1)""",
 }
 
 #: Queries beside the ten operators' own, read from what these store.
