@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
-from inkwell.operators import translation
+from inkwell.operators import ordering, translation
+from inkwell.scratch import Scratch
 
 BLOCKED = (401, 403, 451)
 RETRIED = (429, 500, 502, 503, 504)
@@ -129,29 +130,99 @@ def queue_filter(entries: DataFrame, publisher: str | None = None, low: int | No
     return out.where(F.col("archive_index") <= high) if high is not None else out
 
 
-def batches(entries: DataFrame, items: int = 10, characters: int = 100_000) -> DataFrame:
+#: Entries of a publisher that are cut into batches by one task at once.
+BLOCK = 20_000
+
+
+def jumps(sizes: Sequence[int | None], n: int, items: int, characters: int) -> list[int]:
+    """For each of the first ``n`` places: where the next batch would start if a batch started there.
+
+    ``sizes`` go on behind the ``n`` places by ``items`` more, or to the publisher's end.
+    """
+    size = [x or 0 for x in sizes]
+    out, used, end = [], 0, 0
+    for i in range(n):
+        if end <= i:
+            used, end = size[i], i + 1
+        while end < len(size) and end - i < items and used + size[end] <= characters:
+            used += size[end]
+            end += 1
+        out.append(end)
+        used -= size[i]
+    return out
+
+
+def passage(nexts: Sequence[int], items: int) -> list[tuple[int, int]]:
+    """What a block does to a batch start: for each of the places where its first batch may start, where the first batch behind the block starts (counted from its end) and how many start in it."""
+    n = len(nexts)
+    exits = [0] * n
+    counts = [0] * n
+    for i in range(n - 1, -1, -1):
+        j = nexts[i]
+        exits[i], counts[i] = (exits[j], counts[j] + 1) if j < n else (j - n, 1)
+    return [(exits[s], counts[s]) if s < n else (s - n, 0) for s in range(items)]
+
+
+def batches(entries: DataFrame, items: int = 10, characters: int = 100_000, block: int | None = None) -> DataFrame:
     """Greedy batches of one publisher's entries in order of index: at most ``items`` and ``characters``.
 
-    A publisher's entries are read in order by one task, which keeps three numbers of them; an
-    entry that is too long is a batch by itself. Null sizes count as none.
+    An entry that is too long is a batch by itself. Null sizes count as none; rows of equal places go by
+    their size, null publishers are one. A publisher may hold most entries: its order is cut into blocks, and the block that
+    follows it by ``items`` entries tells for each place where the next batch would start. Where a batch starts in a
+    block depends on the ones before it only by one of ``items`` places, so a block is summed up by what it does to
+    each of these; one scan over these sums gives every block its first start, and the blocks are cut side by side.
     """
+    if items < 1:
+        raise ValueError("a batch holds one entry or more")
+    block = max(block or BLOCK, items)
     kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        publisher, batch, n, used = object(), 0, 0, 0
-        for part in rows:
-            numbers = []
-            for name, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                if name != publisher:
-                    publisher, batch, n = name, 0, 0
-                if n == 0 or n >= items or used + (size or 0) > characters:
-                    batch, n, used = batch + 1, 0, 0
-                n, used = n + 1, used + (size or 0)
-                numbers.append(batch)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(numbers, pa.int64())], ["publisher", "id", "batch"])
-
-    ordered = entries.repartition("publisher").sortWithinPartitions("publisher", "archive_index", "id")
-    return ordered.select("publisher", "id", "source_characters").mapInArrow(run, f"publisher {kinds['publisher']}, id {kinds['id']}, batch long")
+    scratch = Scratch(entries.sparkSession, "batches")
+    placed = ordering.numbered(entries.select("publisher", "id", "archive_index", "source_characters"), "publisher", ["archive_index", "id", "source_characters"], scratch)
+    # The first entries of a block are the last that the block before it sees.
+    own = F.floor(F.col("place") / block).cast("long")
+    seen = F.when((F.col("place") >= block) & (F.col("place") % block < items), F.array(own, own - 1)).otherwise(F.array(own))
+    rows = placed.select("publisher", "id", "place", "source_characters", F.explode(seen).alias("block"))
+    entry = F.struct("place", "id", F.col("source_characters").cast("long").alias("size"))
+    rows = rows.groupBy("publisher", "block").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    rows = scratch.table(rows.select("publisher", "block", F.col("rows.id").alias("ids"), F.col("rows.size").alias("sizes")), "blocks")
+
+    def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [passage(jumps(sizes, min(len(sizes), block), items, characters), items) for sizes in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int64())) for k in (0, 1))], ["publisher", "block", "exits", "counts"])
+
+    def scanned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, number = object(), 0, 0
+        for part in parts:
+            starts, numbers = [], []
+            for g, exits, counts in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                if g != group:
+                    group, start, number = g, 0, 0
+                starts.append(start)
+                numbers.append(number)
+                start, number = exits[start], number + counts[start]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.int64()), pa.array(numbers, pa.int64())], ["publisher", "block", "start", "number"])
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in range(part.num_rows):
+                sizes, start, number = (part.column(k)[r].as_py() for k in (2, 3, 4))
+                n = min(len(sizes), block)
+                nexts, numbers = jumps(sizes, n, items, characters), []
+                for i in range(n):
+                    if i == start:
+                        number, start = number + 1, nexts[i]
+                    numbers.append(number)
+                ids = part.column(1)[r].values.slice(0, n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([r] * n, pa.int32())), ids, pa.array(numbers, pa.int64())], ["publisher", "id", "batch"])
+
+    kind = f"publisher {kinds['publisher']}"
+    sums = rows.select("publisher", "block", "sizes").mapInArrow(summed, f"{kind}, block long, exits array<long>, counts array<long>")
+    # A row a block, of ``items`` numbers: the sums of even the largest publisher fit one task.
+    firsts = sums.repartition("publisher").sortWithinPartitions("publisher", "block").mapInArrow(scanned, f"{kind}, block long, start long, number long")
+    firsts = firsts.select(F.col("publisher").alias("_publisher"), F.col("block").alias("_block"), "start", "number")
+    both = rows.join(firsts, F.col("publisher").eqNullSafe(F.col("_publisher")) & (F.col("block") == F.col("_block")))
+    return both.select("publisher", "ids", "sizes", "start", "number").mapInArrow(cut, f"{kind}, id {kinds['id']}, batch long")
 
 
 def directory_name(index: Column, title: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -50,13 +50,42 @@ def written(archive: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("snapshot_sha256", F.sha2(F.col("snapshot").cast("binary"), 256)).withColumn("source_sha256", F.sha2(F.col("source").cast("binary"), 256))
 
 
-def write_archive(archive: DataFrame, path: str) -> DataFrame:
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def write_archive(archive: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The archive as a table by hash of the id: all of it appears at once, when the job commits."""
-    parts = archive.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    parts = bucketed(archive, buckets)
     parts.write.mode("overwrite").partitionBy("bucket").parquet(path)
     return archive.sparkSession.read.schema(parts.schema).parquet(path).drop("bucket")
 
 
+def update_archive(archive: DataFrame, path: str, rows: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
+    """The archive at ``path`` after ``change(archived rows, rows)`` in the buckets that ``rows`` (with an id) fall into.
+
+    Only these buckets are read, and only their files are replaced; all others stay as they are. ``archive``
+    gives the table's columns, as ``write_archive`` returned it; ``change`` keeps them and adds or replaces rows but takes
+    none away: ``written`` with pages, or ``enriched`` with patches, for example. Rows of null ids have a bucket of their own. Updating twice
+    with the same rows is updating once if ``change`` is so. Spark writes the new files aside
+    and puts them in place when the job commits; a number of buckets other than the archive's is refused.
+    """
+    spark, columns = rows.sparkSession, archive.columns
+    touched = [r.bucket for r in bucketed(rows.select("id"), buckets).select("bucket").distinct().collect()]  # at most ``buckets``
+    table = spark.read.schema(bucketed(archive, buckets).schema).parquet(path)
+    before = table.where(F.col("bucket").isin(touched))
+    if before.where(F.col("bucket") != F.pmod(F.xxhash64("id"), F.lit(buckets))).limit(1).count() or table.where(F.col("bucket") >= buckets).limit(1).count():
+        raise ValueError(f"the archive at {path} doesn't have {buckets} buckets")
+    after = bucketed(change(before.drop("bucket"), rows).select(*columns), buckets)
+    # One task a bucket would be as large as the bucket; the shuffle's sizes say how it is cut.
+    after.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(table.schema).parquet(path).drop("bucket")
+
+
 def imported(pages: DataFrame, records: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Indexed pages (id, body, coverage, characters) into the archive: archive rows, the whole state, and what was refused.
 
@@ -85,18 +114,26 @@ def enriched(archive: DataFrame, patches: DataFrame) -> DataFrame:
     return rows.withColumn("character_count", text.word_characters(F.col("source"))).withColumn("heading_count", F.regexp_count("source", F.lit(r"(?m)^#{1,6}\s+"))).withColumn("paragraph_count", paragraphs).withColumn("sha256", F.sha2(F.col("source").cast("binary"), 256))
 
 
+def _later(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """``name``: whether a row has a value that a row of lesser ``order`` has too. Null values repeat none.
+
+    The least order of a value is found by an aggregate, so that one in very many rows stays one row a task.
+    """
+    first = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
+    return rows.join(first, value, "left").withColumn(name, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
+
+
 def audit_errors(articles: DataFrame, expected: int | None = None) -> DataFrame:
     """All errors of an archive (path, id, url, status, snapshot, source, translation, verified, reader_ok): label and error.
 
     Ids and URLs are repeated from their second article on, in the order of paths. Null ``verified``
     and ``reader_ok`` were not checked; files are what they hold, null or empty where missing.
     """
-    turn = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("path"))
     label = F.coalesce(F.col("id"), F.regexp_replace("path", r"/[^/]*$", ""))
-    rows = articles.withColumn("label", label).withColumn("_id", turn("id")).withColumn("_url", turn("url"))
+    rows = _later(_later(articles.withColumn("label", label), "id", "path", "_id"), "url", "path", "_url")
     full = F.col("source").isNotNull() & (F.col("source") != "") & F.col("translation").isNotNull() & (F.col("translation") != "")
     rules = [
-        (text.blank(F.col("id")).eqNullSafe("") | (F.col("_id") > 1), "missing or repeated id"), (text.blank(F.col("url")).eqNullSafe("") | (F.col("_url") > 1), "missing or repeated URL"),
+        (text.blank(F.col("id")).eqNullSafe("") | F.col("_id"), "missing or repeated id"), (text.blank(F.col("url")).eqNullSafe("") | F.col("_url"), "missing or repeated URL"),
         (~F.coalesce(F.col("status") == "downloaded", F.lit(False)), "not downloaded"), *[(text.blank(F.col(c)) == "", f"missing or empty {name}") for c, name in FILES.items()],
         (full & ~F.coalesce(F.col("verified"), F.lit(True)), "translation not valid"), (~F.coalesce(F.col("reader_ok"), F.lit(True)), "reader not valid"),
     ]
@@ -158,8 +195,7 @@ def dataset_errors(coverage: DataFrame, candidates: DataFrame, records: DataFram
     known = F.coalesce(F.col("status").isin("included", "excluded", "failed"), F.lit(False))
     out = out.unionByName(listed(candidates, F.format_string("candidate[%d]", "i"), [(~known, "unknown status"), (text.blank(F.col("reason")) == "", "no reason")]))
     empty = lambda c: text.blank(F.col(c)) == ""
-    later = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("i")) > 1
-    rows = records.withColumn("_id", later("id")).withColumn("_url", later("canonical_url")).withColumn("_print", later("fingerprint"))
+    rows = _later(_later(_later(records, "id", "i", "_id"), "canonical_url", "i", "_url"), "fingerprint", "i", "_print")
     https = lambda c: ~F.coalesce(F.col(c).rlike("^https://[^/?#]+"), F.lit(False))
     point = lambda d: F.try_element_at("dimensions", F.lit(d))
     fits = lambda d, m: F.coalesce(point(d).between(0, m), F.lit(False))

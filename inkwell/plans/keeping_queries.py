@@ -9,6 +9,7 @@ from inkwell.operators import editorial, keeping
 from inkwell.plans import bindings as b
 from inkwell.plans.document_queries import _WS
 from inkwell.plans.editorial_queries import _cards
+from inkwell.scratch import Scratch
 from inkwell.sources import digests, scans
 
 
@@ -32,6 +33,19 @@ def _bodies(spark, sf):
     return keeping.written(archive, rows.where(_d() % 3 == 0).select("id", F.concat(F.lit("<p>"), "title").alias("snapshot"), F.concat(F.lit(" \n"), "content", F.lit("\n ")).alias("source")))
 
 
+def _updated(spark, sf):
+    """The archive of even documents, written, then updated by pages of some others and by patches of a few."""
+    rows = b.ledger(spark, sf, merge=True)
+    archive = rows.where(_d() % 2 == 0).select("id", F.lit("old page").alias("snapshot"), F.col("content").alias("source"), F.when(_d() % 4 == 0, "译文").alias("translation"), F.lit("thin").alias("extraction"))
+    path = Scratch(spark, "archive").path + "/table"
+    stored = keeping.write_archive(archive, path)
+    pages = rows.where((_d() % 97 == 0) | (_d() % 89 == 1)).select("id", F.concat(F.lit("<p>"), "title").alias("snapshot"), F.col("content").alias("source"))
+    paged = lambda before, new: keeping.written(before, new).join(before.select("id", "extraction"), "id", "left")
+    stored = keeping.update_archive(stored, path, pages, paged)
+    patches = rows.where(_d() % 194 == 0).select("id", F.concat(F.lit("## H\n\n"), "content").alias("markdown"), F.lit("extracted").alias("extraction"), F.lit("linked").alias("method"), F.col("url").alias("linked_url"))
+    return keeping.update_archive(stored, path, patches, keeping.enriched).select("id", "extraction", F.coalesce("translation", F.lit("")).alias("translation"), F.sha2(F.col("snapshot").cast("binary"), 256).alias("snapshot_sha256"), F.sha2(F.col("source").cast("binary"), 256).alias("source_sha256"))
+
+
 def _enriched(spark, sf):
     rows = b.ledger(spark, sf, merge=True)
     archive = rows.select("id", F.col("content").alias("source"), F.lit("thin").alias("extraction"))
@@ -149,6 +163,7 @@ _PATHS = [("a", "x.md"), ("a", "report.pdf"), ("b", "x.md"), ("c", "report.pdf")
 QUERIES = {
     "audit_errors": lambda s, sf: keeping.audit_errors(_archive(s, sf), 7),
     "archive_write": lambda s, sf: _bodies(s, sf).select("id", "translation", "snapshot_sha256", "source_sha256"),
+    "archive_update": _updated,
     "enrich_archive": _enriched,
     "indexed_pages": lambda s, sf: scans.indexed_pages(_parts(s, sf)).withColumn("coverage", F.round("coverage", 9)),
     "least_coverage": lambda s, sf: scans.least_coverage(scans.indexed_pages(_parts(s, sf))).withColumn("least", F.round("least", 9)),
@@ -183,6 +198,9 @@ ORACLES = {
         UNION ALL SELECT '*', 'expected 7 articles, found ' || {_COUNT} WHERE {_COUNT} <> 7""",
     "archive_write": f"""WITH {b.LEDGER}, x AS (SELECT id, CASE WHEN doc_id % 4 = 0 THEN '译文' ELSE '' END AS translation, CASE WHEN doc_id % 3 = 0 THEN '<p>' || title ELSE 'old page' END AS snapshot, CASE WHEN doc_id % 3 = 0 THEN trim(content, {_WS}) || chr(10) ELSE 'old text' || chr(10) END AS source FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
         SELECT id, translation, sha256(snapshot) AS snapshot_sha256, sha256(source) AS source_sha256 FROM x""",
+    "archive_update": f"""WITH {b.LEDGER}, x AS (SELECT *, doc_id % 97 = 0 OR doc_id % 89 = 1 AS paged, doc_id % 194 = 0 AS patched FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 97 = 0 OR doc_id % 89 = 1)
+        SELECT id, CASE WHEN patched THEN 'extracted' WHEN doc_id % 2 = 0 THEN 'thin' END AS extraction, CASE WHEN doc_id % 4 = 0 THEN '译文' ELSE '' END AS translation, sha256(CASE WHEN paged THEN '<p>' || title ELSE 'old page' END) AS snapshot_sha256,
+               sha256(CASE WHEN patched THEN trim('## H' || chr(10) || chr(10) || content, {_WS}) || chr(10) WHEN paged THEN trim(content, {_WS}) || chr(10) ELSE content END) AS source_sha256 FROM x""",
     "enrich_archive": rf"""WITH {b.LEDGER}, x AS (SELECT id, doc_id, url, CASE WHEN doc_id % 6 = 0 THEN trim('## H' || chr(10) || chr(10) || content, {_WS}) || chr(10) ELSE content END AS source FROM ledger)
         SELECT id, CASE WHEN doc_id % 6 = 0 THEN 'extracted' ELSE 'thin' END AS extraction, CASE WHEN doc_id % 6 = 0 THEN 'linked' END AS method, CASE WHEN doc_id % 12 = 0 THEN url END AS linked_url, doc_id % 6 = 0 AS changed, length(regexp_replace(source, '\s', '', 'g'))::INT AS character_count,
                len(regexp_extract_all(source, '(?m)^#{{1,6}}\s+'))::INT AS heading_count, len(list_filter(regexp_split_to_array(source, '\n\n+'), lambda p: p <> ''))::INT AS paragraph_count, sha256(source) AS sha256 FROM x""",
