@@ -160,7 +160,18 @@ def _extracts(spark, sf):
 
 _PATHS = [("a", "x.md"), ("a", "report.pdf"), ("b", "x.md"), ("c", "report.pdf"), ("c", "report.pdf")]
 
+_DECODED = """regexp_replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g')"""
+
+
+def _unmarked(spark, sf):
+    """Pages whose article is an element without a name: only density tells where it is. Short ones have no exact place."""
+    plain = b.table(spark, sf, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<article"), F.lit("<div")), F.lit("</article>"), F.lit("</div>"))).withColumn("publisher", F.lit(""))
+    enough = F.col("character_count") >= 500
+    return digests.extractions(plain).select("page_id", enough.alias("enough"), F.when(enough, F.col("method")).alias("method"), F.when(enough, F.col("character_count")).alias("characters"), F.when(enough, F.col("title")).alias("title"))
+
+
 QUERIES = {
+    "density_extracts": _unmarked,
     "audit_errors": lambda s, sf: keeping.audit_errors(_archive(s, sf), 7),
     "archive_write": lambda s, sf: _bodies(s, sf).select("id", "translation", "snapshot_sha256", "source_sha256"),
     "archive_update": _updated,
@@ -198,6 +209,9 @@ ORACLES = {
         UNION ALL SELECT '*', 'expected 7 articles, found ' || {_COUNT} WHERE {_COUNT} <> 7""",
     "archive_write": f"""WITH {b.LEDGER}, x AS (SELECT id, CASE WHEN doc_id % 4 = 0 THEN '译文' ELSE '' END AS translation, CASE WHEN doc_id % 3 = 0 THEN '<p>' || title ELSE 'old page' END AS snapshot, CASE WHEN doc_id % 3 = 0 THEN trim(content, {_WS}) || chr(10) ELSE 'old text' || chr(10) END AS source FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
         SELECT id, translation, sha256(snapshot) AS snapshot_sha256, sha256(source) AS source_sha256 FROM x""",
+    "density_extracts": rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g') AS raw, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head FROM pages),
+        u AS (SELECT page_id, trim(regexp_replace({_DECODED.format('raw')}, '\s+', ' ', 'g')) AS text, trim(regexp_replace({_DECODED.format('head')}, '\s+', ' ', 'g')) AS title FROM t)
+        SELECT page_id, length(text) >= 500 AS enough, CASE WHEN length(text) >= 500 THEN 'readability' END AS method, CASE WHEN length(text) >= 500 THEN length(text)::INT END AS characters, CASE WHEN length(text) >= 500 THEN title END AS title FROM u""",
     "archive_update": f"""WITH {b.LEDGER}, x AS (SELECT *, doc_id % 97 = 0 OR doc_id % 89 = 1 AS paged, doc_id % 194 = 0 AS patched FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 97 = 0 OR doc_id % 89 = 1)
         SELECT id, CASE WHEN patched THEN 'extracted' WHEN doc_id % 2 = 0 THEN 'thin' END AS extraction, CASE WHEN doc_id % 4 = 0 THEN '译文' ELSE '' END AS translation, sha256(CASE WHEN paged THEN '<p>' || title ELSE 'old page' END) AS snapshot_sha256,
                sha256(CASE WHEN patched THEN trim('## H' || chr(10) || chr(10) || content, {_WS}) || chr(10) WHEN paged THEN trim(content, {_WS}) || chr(10) ELSE content END) AS source_sha256 FROM x""",

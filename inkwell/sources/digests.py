@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources import density
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -57,12 +59,28 @@ class Node:
         return id(self)
 
 
+#: Elements whose start ends an open paragraph, and for elements that may lack an end tag those that their start ends and those that keep it from doing so.
+_ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+_ENDS = {"p": ({"p"}, {"table", "td", "th", "caption", "button", "object", "template"}), "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {})
 
+    def _end(self, ended: set[str], bounds: set[str]) -> None:
+        node = self.at
+        while node.parent and node.tag not in ended and node.tag not in bounds:
+            node = node.parent
+        if node.tag in ended:
+            self.at = node.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDS_P:
+            self._end(*_ENDS["p"])
+        if tag in _ENDS and tag != "p":
+            self._end(*_ENDS[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
@@ -363,9 +381,8 @@ def _markdown(node: Node) -> str:
 def extracted(html: str, url: str, publisher: str) -> dict:
     """An article by its publisher's places, with its counts and data about it.
 
-    The first place whose visible text has 300 characters or more is taken. Where none has, the
-    element with most text in its own paragraphs stands in for a readability score, which has no exact
-    equal here; a page without any paragraph is thin and empty.
+    The first place whose visible text has 300 characters or more is taken. Where none has, the elements with
+    most points of density are; a page without any paragraph is thin and empty.
     """
     root = tree(html)
     meta = lambda key, name: next((v for n in root.find("meta") if n.attrs.get(key) == name and (v := n.attrs.get("content", "").strip())), None)
@@ -377,12 +394,8 @@ def extracted(html: str, url: str, publisher: str) -> dict:
         if cleaned and len(_visible(cleaned)) >= VISIBLE:
             chosen, method = cleaned, f"selector:{selector}"
             break
-    if chosen is None:
-        whole = _cleaned(root, url)
-        scored = [(sum(len(_visible(c)) for c in n.children if isinstance(c, Node) and c.tag == "p"), -k, n) for k, n in enumerate(whole.all())]
-        best = max(scored, default=None, key=lambda x: x[:2])
-        if best and best[0]:
-            chosen, method = best[2], "readability"
+    if chosen is None and (parts := density.article(_cleaned(root, url))):
+        chosen, method = Node("main", {}, None, parts), "readability"
     about = {
         "title": first("h1") or meta("property", "og:title") or first("title"), "byline": meta("name", "author") or first("[rel=author]"),
         "published_at": meta("property", "article:published_time") or next((n.attrs["datetime"] for n in root.find("time") if n.attrs.get("datetime")), None),
