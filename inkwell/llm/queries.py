@@ -57,7 +57,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(_documents(spark, sf_dir))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied", "n_repos")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,9 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A candidate's least entropy in bits a character, and the most owners and, where it has several
-#: owners, repositories of a live-looking value.
-ENTROPY, OWNERS, REPOS = 3.0, 2, 50
+#: A candidate's least entropy in bits a character, and the most owners of a live-looking value. One
+#: that leaks does so at its owner and where it was handed to; its repositories may be any number.
+ENTROPY, OWNERS = 3.0, 2
 
 
 def base_values(text: str) -> list[tuple[int, int, int, str]]:
@@ -61,16 +61,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = OWNERS, max_repos: int = REPOS) -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base (spans), spans (all), n_live, n_copied.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = OWNERS) -> DataFrame:
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base (spans), spans (all), n_live, n_copied, n_repos.
 
-    n_live and n_copied part the base spans by whether few or many owners carry their values.
+    n_live and n_copied part the base spans by whether few or many owners carry their values; n_repos is the
+    largest number of repositories that carry one live value of the row, base or candidate, for how far it has spread.
     A null text counts as empty; a null owner or repository is one owner or repository of its
     own; null ids and repeated rows keep their own row, and copies of a row count once as
     owners; an empty table gives no rows; other columns are not carried. Positions are code
     points. ``token`` spans are those of live-looking candidates: at most ``max_owners``
-    distinct owners carry the value anywhere in the corpus, and if these are two or more, at
-    most ``max_repos`` repositories. Copies of a text under any ids count as one repository.
+    distinct owners carry the value anywhere in the corpus, in however many repositories. Copies of
+    a text under any ids count as one repository.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             more = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64()), ("v", pa.string())])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(base, pa.list_(spans)), pa.array(extra, pa.list_(more))], ["id", "owner", "repo", "copy", "base", "extra"])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"))
     found = slim.withColumn("copy", F.xxhash64("text")).mapInArrow(run, f"id {kind}, owner string, repo string, copy long, base array<struct<s:long,k:int,e:long>>, extra array<struct<s:long,k:int,e:long,v:string>>")
     # Values are replaced by hashes before anything is written.
     found = found.withColumn("extra", F.transform("extra", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.xxhash64(F.lit("ownership"), x.v).alias("h"))))
@@ -101,12 +102,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     owners = carried.select("h", "owner").distinct().select("h", F.lit(1).alias("owners"), F.lit(0).alias("repos"))
     repos = carried.groupBy("h", "copy").agg(F.min(F.struct("owner", "repo")).alias("least")).select("h", "least").distinct().select("h", F.lit(0).alias("owners"), F.lit(1).alias("repos"))
     owned = owners.unionByName(repos).groupBy("h").agg(F.sum("owners").alias("owners"), F.sum("repos").alias("repos"))
-    live = (F.col("owners") <= max_owners) & ((F.col("owners") == 1) | (F.col("repos") <= max_repos))
-    verdicts = scratch.table(owned.select("h", live.alias("live")), "verdicts")
+    live = F.col("owners") <= max_owners
+    verdicts = scratch.table(owned.select("h", live.alias("live"), "repos"), "verdicts")
     judged = each.join(verdicts, "h")
     added = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("k") == 3) & F.col("live"), F.struct("s", F.lit(3).alias("k"), "e"))).alias("added"),
         F.count_if((F.col("k") < 3) & F.col("live")).alias("n_live"), F.count_if((F.col("k") < 3) & ~F.col("live")).alias("n_copied"),
+        F.max(F.when(F.col("live"), F.col("repos"))).alias("n_repos"),
     )
 
     def text_of(spans):
@@ -121,4 +123,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.array_join(F.transform("base", text_of), ",").alias("base"), F.array_join(F.transform("all", text_of), ",").alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_repos", F.lit(0)).cast("long").alias("n_repos"),
     )

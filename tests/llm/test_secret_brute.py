@@ -23,13 +23,11 @@ def plain(rows):
             if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and -sum(c / len(m[0]) * math.log2(c / len(m[0])) for c in n.values()) >= 3.0:
                 tokens.append((m.start(), 3, m.end(), m[0]))
         found.append((spans, tokens, text, owner, repo))
-    owners, copies = {}, {}
-    for spans, tokens, text, owner, repo in found:
+    owners = {}
+    for spans, tokens, _, owner, _ in found:
         for *_, value in spans + tokens:
             owners.setdefault(value, set()).add(owner)
-            least = copies.setdefault(value, {})
-            least[text] = min([*([least[text]] if text in least else []), (owner or "\0null", repo)])
-    live = {v: len(o) == 1 or len(o) <= 2 and len(set(copies[v].values())) <= 50 for v, o in owners.items()}
+    live = {v: len(o) <= 2 for v, o in owners.items()}
     out = []
     for spans, tokens, *_ in found:
         more = [t for t in tokens if live[t[3]] and not any(s <= t[0] and e >= t[2] for s, _, e, _ in spans)]
