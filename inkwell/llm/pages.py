@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +40,12 @@ _NAMES = frozenset(
 #: What such names are joined with: a name of these parts only is left out inside an article as well.
 _BOXES = frozenset(
     "box container wrapper wrap inner outer list block area section bar slot item items left right top bottom main site page links buttons button posts articles "
-    "policy law icons primary secondary unit text label head title body footer header form count thread reply replies".split()
+    "policy law icons primary secondary unit text label head title body footer header form count thread reply replies "
+    "article content post story inline user users reader readers message mobile desktop sticky native".split()
 )
+#: Names that are words of their own right: they say nothing unless all words of the name do.
+_DOUBTFUL = frozenset("search form alert notice notices respond subscription promotion share sharing social related recommended skip widget banner menu".split())
+_CERTAIN = _NAMES - _DOUBTFUL
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,8 +64,8 @@ _ARTICLE, _MAIN = 2, 1
 def _named(attrs: str, inside: bool) -> tuple[bool, bool, int]:
     """From attributes: left out, a header, and whether the element is an article, the main part or neither. ``inside``: of an article or the main part.
 
-    There a word of a class or id isn't enough to leave an element out ("search-results",
-    "form-factor"): all its words must be such names or what they are joined with.
+    There a word of a class or id isn't enough to leave an element out, and a doubtful one ("search-results",
+    "form-factor") is nowhere: all its words must be such names or what they are joined with.
     """
     out, header, container = False, False, 0
     for name, *values in _ATTRIBUTE.findall(attrs):
@@ -70,7 +73,8 @@ def _named(attrs: str, inside: bool) -> tuple[bool, bool, int]:
         if name in ("class", "id"):
             for one in value.split():
                 parts = {p.lower() for p in _NAME_PARTS.findall(one)}
-                out |= not parts.isdisjoint(_NAMES) and (not inside or parts <= _NAMES | _BOXES)
+                whole = not parts.isdisjoint(_NAMES) and parts <= _NAMES | _BOXES
+                out |= whole or (not inside and not parts.isdisjoint(_CERTAIN))
                 header |= "header" in parts
         elif name == "role":
             out |= value.lower() in _ROLES
@@ -184,35 +188,65 @@ def content(page: str | None) -> tuple[list[str], list[bool]]:
     return [t for t, _, _ in kept], [not best or level < best or links for _, level, links in kept]
 
 
+#: Bits of a table of lines by lines that is kept whole; larger ones are halved.
+TABLE = 1 << 26
+
+
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each line of ``a``: where the longest common subsequence with the start of ``b`` does not grow, as bits (Hyyrö).
+
+    Costs a few additions of numbers of len(b) bits a line, however often lines repeat.
+    """
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = still = (1 << len(b)) - 1
+    for x in a:
+        grows = still & where.get(x, 0)
+        still = ((still + grows) | (still - grows)) & full
+        yield still
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each start of ``b``."""
+    still = (1 << len(b)) - 1
+    for still in _steps(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(still.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _aligned(a: list[int], b: list[int], first: int) -> Iterator[int]:
+    """Indexes of ``a``, counted from ``first``, in a longest common subsequence with ``b``."""
+    if not a or not b:
+        return
+    if len(a) * len(b) > TABLE and len(a) > 1:  # halves of ``a`` meet where both parts of ``b`` share the most (Hirschberg)
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        yield from _aligned(a[:half], b[:cut], first)
+        yield from _aligned(a[half:], b[cut:], first + half)
+        return
+    table = [*_steps(a, b)]
+    i, j = len(a), len(b)
+    while i and j:
+        if table[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or table[i - 1] >> (j - 1) & 1:
+                j -= 1
+                yield first + i
+
+
 def shared(mine: list[int], other: list[int]) -> set[int]:
-    """Indexes of ``mine`` in a longest common subsequence with ``other`` (Hunt and Szymanski)."""
+    """Indexes of ``mine`` in a longest common subsequence with ``other``, in time and space that repeated lines don't add to."""
     lo = 0
     while lo < min(len(mine), len(other)) and mine[lo] == other[lo]:
         lo += 1
     hi = 0
     while hi < min(len(mine), len(other)) - lo and mine[-1 - hi] == other[-1 - hi]:
         hi += 1
-    out = {*range(lo), *range(len(mine) - hi, len(mine))}
-    where: dict[int, list[int]] = {}
-    for j in range(len(other) - hi - 1, lo - 1, -1):
-        where.setdefault(other[j], []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i in range(lo, len(mine) - hi):
-        for j in where.get(mine[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(node)
-            else:
-                tails[k] = j
-                links[k] = node
-    node = links[-1] if links else None
-    while node:
-        out.add(node[0])
-        node = node[1]
-    return out
+    return {*range(lo), *range(len(mine) - hi, len(mine)), *_aligned(mine[lo : len(mine) - hi], other[lo : len(other) - hi], lo)}
 
 
 def near(a: str, b: str) -> int:
@@ -277,7 +311,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     id_type = pages.schema[id_col].dataType
     kind = id_type.simpleString()
     url = F.lower(F.coalesce(F.col("url"), F.lit("")))
-    slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    slim = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     slim = slim.withColumn("h", F.xxhash64("url", "html")).withColumn("host", F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
     slim = slim.withColumn("path", F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"#.*$", ""))
 
@@ -377,6 +411,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     doubtful = parsed.where("open").select("page_id", "url", "h", "kept")
     mine = F.col("page_id").eqNullSafe(F.col("v_id")) & (F.col("h") == F.col("v_h"))
     resolved = doubtful.join(verdicts.select(F.col("page_id").alias("v_id"), F.col("h").alias("v_h"), "shared"), mine, "left")
-    stays = F.filter("kept", lambda x, i: ~(x.d & F.array_contains(F.coalesce("shared", F.array().cast("array<long>")), i.cast("long"))))
-    resolved = resolved.select("page_id", "url", F.array_join(F.transform(stays, lambda x: x.t), " ").alias("text"))
+    # Sets of line numbers: linear in the lines, where a search of ``shared`` for each line is not.
+    every = F.sequence(F.lit(0), F.size("kept") - 1)
+    doubt = F.filter(every, lambda i: F.get("kept", i).d)
+    gone = F.array_intersect(doubt, F.coalesce(F.col("shared").cast("array<int>"), F.array().cast("array<int>")))
+    stays = F.transform(F.array_except(every, gone), lambda i: F.get("kept", i).t)
+    resolved = resolved.select("page_id", "url", F.array_join(stays, " ").alias("text"))
     return decided.unionByName(resolved).withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -20,6 +20,9 @@ def text(html):
         ("<main><h1>Title</h1><article>text</article></main><article>below</article><p>out</p>", "Title text below"),
         ("<article>a<div class='search-results'>b</div><div class='form-factor'>c</div><p id='related-work'>d</p></article>", "a b c d"),
         ("<article>a<div class='comment-list'>x</div><div class='cookie_banner'>x</div><div class='relatedPosts'>x</div><div class='wide share-buttons'>x</div>b</article>", "a b"),
+        ("<article>a<div class='user-comments'>x</div><section id='article-comments'>x</section><div class='reader-comments'>x</div><div class='article-share'>x</div><div class='inline-ad-unit'>x</div>b</article>", "a b"),
+        ("<div class='search-results'>found</div><div class='site-search'>x</div>", "found"),
+        ("<section class='form-factor'>a</section><div class='market-share'>b</div><div class='search-form'>x</div><div class='cookie-policy-x'>x</div>", "a b"),
         ("<div>by</div><h1 itemprop='headline'>T</h1><div itemprop='articleBody'>b<p class='ad'>c</p></div><div>x</div>", "T b"),
         ("<div role='article'>a</div><div>x</div>", "a"),
         ("<div class='site-footer'>x</div><div class='top-nav-primary'>x</div><p>t</p>", "t"),
@@ -84,3 +87,32 @@ def test_extraction_by_an_independent_reference(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert got == want
     assert removed > 40
+
+
+def test_alignment_of_long_pages_of_repeated_lines(monkeypatch):
+    """Lines that repeat add nothing to the time, and halves meet as the whole does."""
+    import time
+
+    began = time.perf_counter()
+    n = 8000
+    assert len(pages.shared([9, *[1, 2] * (n // 2), 8], [*[2, 1] * (n // 2), 7])) == n - 1
+    assert time.perf_counter() - began < 6
+    rng = random.Random(3)
+    for limit in (1, 40, 1 << 26):
+        monkeypatch.setattr(pages, "TABLE", limit)
+        for _ in range(150):
+            a, b = ([rng.randint(0, rng.choice([1, 6, 30])) for _ in range(rng.randint(0, 40))] for _ in range(2))
+            found = sorted(pages.shared(a, b))
+            assert len(found) == lcs(a, b)
+            at = 0
+            for i in found:
+                at = b.index(a[i], at) + 1
+
+
+def test_lines_of_a_very_long_open_page(spark):
+    """A page of 40 000 lines without an article, next to one that shares every second line."""
+    mine = "".join(f"<div>{'shared' if i % 2 else 'own'} {i}</div>" for i in range(40_000))
+    other = "".join(f"<div>shared {i}</div>" for i in range(1, 40_000, 2))
+    rows = [(1, "http://a.example/x/1", mine), (2, "http://a.example/x/2", other)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: " ".join(f"own {i}" for i in range(0, 40_000, 2)), 2: ""}
