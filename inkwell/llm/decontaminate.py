@@ -9,7 +9,9 @@ covered part decides. The order of the tiles doesn't matter, so reordered passag
 
 from __future__ import annotations
 
+import functools
 import heapq
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -31,11 +33,58 @@ BLOCK_CHARS = 16_000_000
 SEEDS = 4_000_000
 
 
+#: Scripts that are written without spaces, as ranges of code points: each character is a token.
+_SINGLE = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _kind(point: int) -> int:
+    """0: apart from tokens, 1: part of one (letters, marks and numbers), 2: one by itself."""
+    if any(a <= point <= b for a, b in _SINGLE) and unicodedata.category(chr(point))[0] in "LMN":
+        return 2
+    return int(unicodedata.category(chr(point))[0] in "LMN")
+
+
+@functools.cache
+def _plane() -> np.ndarray:
+    return np.array([_kind(i) for i in range(1 << 16)], np.uint8)
+
+
+def _kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: whether it is part of a token, and whether a token starts there whatever comes before it."""
+    inside = ~vec.PROSE[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return inside, cut[:-1]
+    first = raw[lead].astype(np.int64)
+    size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+    point = first & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    for k in (1, 2, 3):
+        here = size > k
+        point[here] = point[here] << 6 | (raw[np.minimum(lead[here] + k, len(raw) - 1)] & 0x3F)
+    kind = _plane()[np.minimum(point, 0xFFFF)]
+    if (far := np.flatnonzero(point > 0xFFFF)).size:
+        some, which = np.unique(np.minimum(point[far], 0x10FFFF), return_inverse=True)
+        kind[far] = np.array([_kind(int(x)) for x in some], np.uint8)[which]
+    apart = kind == 0
+    for k in range(4):
+        at = lead[apart & (size > k)] + k
+        inside[at[at < len(raw)]] = False
+    single = kind == 2
+    cut[lead[single]] = True
+    cut[np.minimum(lead[single] + size[single], len(raw))] = True
+    return inside, cut[:-1] & inside
+
+
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, token hashes and each text's first token, by block of whole texts."""
     for i, _, raw, at in vec.blocks(texts):
-        starts, ends, first = vec.words(raw, at, vec.PROSE)
-        yield i, vec.word_hashes(raw, starts, ends), first
+        inside, cut = _kinds(raw)
+        edge = at[1:-1]
+        cut[edge[edge < len(raw)]] = True
+        starts = np.flatnonzero(inside & (cut | ~np.r_[False, inside[:-1]]))
+        ends = np.flatnonzero(inside & ~(np.r_[inside[1:], False] & ~np.r_[cut[1:], True])[: len(inside)]) + 1
+        yield i, vec.word_hashes(raw, starts, ends), np.searchsorted(starts, at)
 
 
 class Seeds:
@@ -182,8 +231,8 @@ def _sorted(rows: list) -> tuple[list, list[str]]:
 def find(docs: DataFrame, benchmark: DataFrame, tile_size: int = TILE, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated (row of ``docs``, item): ids, coverage, n_tiles, longest, tiles.
 
-    Tokens are runs of letters and digits in lower case; a character beyond ASCII counts as a
-    letter. Tiles are (token position in the
+    Tokens are runs of letters, marks and numbers of any script in lower case; a Han or kana character is a
+    token by itself, and all other characters stand apart. Tiles are (token position in the
     text, in the item, length). Null and empty texts and items never match; null ids are
     reported as they are; repeated rows and items are matched each on their own; an empty
     benchmark or table gives no rows. Map-only over ``docs``, once per benchmark block.

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from cases import empty, frame, rows, words
 
 from inkwell.llm import decontaminate, ngram_join
@@ -83,7 +84,8 @@ def test_band_keys_of_near_sets_meet():
 
 
 def tokens(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    """Words of any script, Han and kana by character."""
+    return regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}\p{N}])+", (text or "").lower())
 
 
 def brute_tiling(text, item, least):
@@ -153,3 +155,31 @@ def test_tiles_do_not_overlap():
     tiles = decontaminate.tile(np.array([0, 1, 2, 10, 11, 3]), np.array([0, 1, 2, 1, 2, 3]), 8, 2)
     marked = [q + x for _, q, n in tiles for x in range(n)]
     assert len(marked) == len(set(marked))
+
+
+MARKED = "“Die Straße — so heißt es — führt…”, sagt er: «l’été n’est pas fini»; das ist, was zählt!"
+PLAIN = "Die Straße so heißt es führt sagt er l été n est pas fini das ist was zählt"
+HAN = "企业治理是长期工作。数据平台需要明确的责任。"
+
+
+def test_typographic_marks_and_han_text(spark):
+    texts = [MARKED, PLAIN, f"Vorher {PLAIN.upper()} nachher", "数据平台需要明确的责任。另外，企业治理是长期工作！", "企业 数据", None, "かなとカナ 123 ½ ①", "Ä" * 40]
+    items = [(1, PLAIN), (2, HAN), (3, MARKED), (4, "かなとカナ①")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.coverage, 9) for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): round(part, 9) for d, t in enumerate(texts) for i, x in items if (part := brute_tiling(t, x, 5)) >= 0.6}
+    assert got == want
+    assert {(0, 1), (1, 3), (2, 1), (2, 3), (3, 2)} <= set(got) and got[3, 2] > 0.8
+
+
+def test_tokens_of_random_text():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    letters = "aZ9_ .,\n“”—é\u0301ß漢字かカ😀𠀀𝒜½①\u00a0\u200bकि़ไทย"
+    for _ in range(300):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 5))]
+        for _, hashes, first in decontaminate._tokens(pa.array(texts)):
+            names = [t for x in texts for t in regex.findall(r"[\p{Han}\u3040-\u30ff]|(?:(?![\p{Han}\u3040-\u30ff])[\p{L}\p{M}\p{N}])+", x)]
+            assert np.diff(first).tolist() == [len(regex.findall(r"[\p{Han}\u3040-\u30ff]|(?:(?![\p{Han}\u3040-\u30ff])[\p{L}\p{M}\p{N}])+", x)) for x in texts]
+            assert len({*zip(names, hashes.tolist(), strict=True)}) == len(set(names)) == len(set(hashes.tolist()))
