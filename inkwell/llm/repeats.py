@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,13 @@ def _anchors(units: np.ndarray, at: np.ndarray, t: int, k: int, low: int, high:
     return owner, place - base, gram[place], context, lo - base, hi - base
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Which rows differ from the one before; the first does. Null is a value."""
+    null = np.asarray(column.is_null())
+    same = np.asarray(pc.fill_null(pc.equal(column[1:], column[:-1]), False)) | (null[1:] & null[:-1])
+    return np.r_[True, ~same] if len(column) else np.zeros(0, bool)
+
+
 class Corpus:
     """The places of repeated windows of one table."""
 
@@ -109,7 +117,7 @@ class Corpus:
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, label)
         self.kind = docs.schema[id_col].dataType.simpleString()
-        self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+        self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
     def _anchored(self) -> DataFrame:
         t, k, units, thin = self.t, self.k, self.units, not self.keep_first
@@ -151,7 +159,8 @@ class Corpus:
         found = found.unionByName(few.mapInArrow(self._searcher(), f"id {self.kind}, h long, start int, end int"))
         many = pieces.where("many")
         found = found.unionByName(self._lengthened(many) if self.keep_first else self._common(many))
-        out = s.table(found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+        # Rows that repeat an id and a text find the same ranges: a set of them is reduced on the map side.
+        out = s.table(found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
         s.drop("shared", "contexts", "keys", "pieces", "strings", "windows", "sides", "marked", "whole")
         return out
 
@@ -159,11 +168,22 @@ class Corpus:
         """The units of each wanted context: bytes, or 64-bit words."""
         units = self.units
         asked = wanted.select(F.col("id").alias("want_id"), F.col("h").alias("want_h"), "wanted")
-        # Rows of one id and text are one place; any of them will do, and later steps drop the others.
+        # Rows of one id and text are one place: any of them will do. They leave the merge join one after the other.
         joined = self.docs.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("want_id")) & (F.col("h") == F.col("want_h"))).select("id", "text", "h", "wanted")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
             for batch in batches:
+                if not batch.num_rows:
+                    continue
+                new = _changes(batch.column(0)) | _changes(batch.column(2))
+                new[0] = last is None or last != (batch.column(0)[0], batch.column(2)[0])
+                last = batch.column(0)[-1], batch.column(2)[-1]
+                if not new.all():
+                    batch = pa.Table.from_batches([batch]).filter(pa.array(new)).combine_chunks().to_batches()
+                    if not batch:
+                        continue
+                    batch = batch[0]
                 at_want = batch.column(3).offsets.to_numpy()
                 flat = batch.column(3).values
                 column = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}

@@ -60,4 +60,4 @@ def dedup(docs: DataFrame, keep: str = "first", window: int = WINDOW, id_col: st
 
 
 def digest(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return rows.select(id_col, "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), repeats.sha256("kept").alias("kept_sha256"))
+    return rows.select(F.col(f"`{id_col}`"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), repeats.sha256("kept").alias("kept_sha256"))

@@ -108,3 +108,26 @@ def test_empty_tables(spark):
 def test_window_hashes_do_not_depend_on_the_place():
     raw = np.frombuffer(b"abcabcabc", np.uint8)
     assert len(set(vec.GRAMS.windows(vec.GRAMS.prefix(raw), 3)[[0, 3, 6]].tolist())) == 1
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_many_equal_rows_of_null_ids(spark, keep):
+    """Rows that repeat id and text are copies of each other; what each finds is found once."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = [(None, passage)] * 2000 + [(None, passage[100:])] + [(7, "x" + passage[:500])] * 300 + [(8, "own text " * 3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(docs, keep, window=60).collect())
+    assert sum(got.values()) == len(texts)
+    if keep == "none":
+        assert got == {(None, 700, 700): 2000, (None, 600, 600): 1, (7, 501, 501): 300, (8, 27, 0): 1}
+    else:  # equal rows share an answer; the first by id, then hash, is a null one
+        assert {k: n for k, n in got.items() if k[0] is not None} == {(7, 501, 500): 300, (8, 27, 0): 1}
+
+
+def test_rows_that_change():
+    import pyarrow as pa
+
+    column = pa.chunked_array([pa.array([1, 1, None, None, 2, 2, None, 3])]).combine_chunks()
+    assert repeats._changes(column).tolist() == [True, False, True, False, True, False, True, True]
+    assert repeats._changes(column[:0]).tolist() == [] and repeats._changes(column[2:4]).tolist() == [True, False]
