@@ -10,7 +10,7 @@ from inkwell.plans import bindings as b
 from inkwell.plans.document_queries import _WS
 from inkwell.plans.editorial_queries import _cards
 from inkwell.scratch import Scratch
-from inkwell.sources import digests, scans
+from inkwell.sources import digests, ledgers, scans
 
 
 def _d():
@@ -160,6 +160,20 @@ def _extracts(spark, sf):
 
 _PATHS = [("a", "x.md"), ("a", "report.pdf"), ("b", "x.md"), ("c", "report.pdf"), ("c", "report.pdf")]
 
+def _ledger_files(spark, sf):
+    """documents as JSON ledgers, a file a source, half of them as an array and half under a name; read back by cutting the files."""
+    path = Scratch(spark, "ledgers").path
+    docs = b.table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("shelf"), F.col("doc_id").alias("at"), F.concat(F.to_json(F.struct(F.col("doc_id").alias("id"), "text", F.struct("lang", "n_chars").alias("more"))), F.lit(",")).alias("value"))
+    shelves = docs.select("shelf").distinct()
+    boxed = F.crc32(F.col("shelf").cast("binary")) % 2 == 0
+    heads = shelves.select("shelf", F.lit(None).cast("long").alias("at"), F.when(boxed, '{"note": [{"id": 0}], "articles": [').otherwise("[").alias("value"))
+    tails = shelves.select("shelf", F.lit(2**62).alias("at"), F.when(boxed, 'null], "end": {"id": 1}}').otherwise("null]").alias("value"))
+    lines = docs.unionByName(heads).unionByName(tails).repartition("shelf").sortWithinPartitions("shelf", F.col("at").asc_nulls_first())
+    lines.select("shelf", "value").write.partitionBy("shelf").text(path)
+    found = ledgers.records(spark, path, "id: bigint, text: string, more: struct<lang: string, n_chars: bigint>")
+    return found.select("id", F.col("more.lang").alias("lang"), F.col("more.n_chars").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
 _DECODED = """regexp_replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g')"""
 
 
@@ -172,6 +186,7 @@ def _unmarked(spark, sf):
 
 QUERIES = {
     "density_extracts": _unmarked,
+    "ledger_records": _ledger_files,
     "audit_errors": lambda s, sf: keeping.audit_errors(_archive(s, sf), 7),
     "archive_write": lambda s, sf: _bodies(s, sf).select("id", "translation", "snapshot_sha256", "source_sha256"),
     "archive_update": _updated,
@@ -209,6 +224,7 @@ ORACLES = {
         UNION ALL SELECT '*', 'expected 7 articles, found ' || {_COUNT} WHERE {_COUNT} <> 7""",
     "archive_write": f"""WITH {b.LEDGER}, x AS (SELECT id, CASE WHEN doc_id % 4 = 0 THEN '译文' ELSE '' END AS translation, CASE WHEN doc_id % 3 = 0 THEN '<p>' || title ELSE 'old page' END AS snapshot, CASE WHEN doc_id % 3 = 0 THEN trim(content, {_WS}) || chr(10) ELSE 'old text' || chr(10) END AS source FROM ledger WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
         SELECT id, translation, sha256(snapshot) AS snapshot_sha256, sha256(source) AS source_sha256 FROM x""",
+    "ledger_records": "SELECT doc_id AS id, lang, n_chars, sha256(text) AS sha256 FROM documents",
     "density_extracts": rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g') AS raw, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head FROM pages),
         u AS (SELECT page_id, trim(regexp_replace({_DECODED.format('raw')}, '\s+', ' ', 'g')) AS text, trim(regexp_replace({_DECODED.format('head')}, '\s+', ' ', 'g')) AS title FROM t)
         SELECT page_id, length(text) >= 500 AS enough, CASE WHEN length(text) >= 500 THEN 'readability' END AS method, CASE WHEN length(text) >= 500 THEN length(text)::INT END AS characters, CASE WHEN length(text) >= 500 THEN title END AS title FROM u""",

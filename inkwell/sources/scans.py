@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
+from inkwell.sources import ledgers
 
 
 def metadata(spark: SparkSession, root: str, schema: str, name: str = "metadata.json") -> DataFrame:
@@ -21,12 +22,8 @@ def latest(rows: DataFrame, key: str = "id", order: str = "path") -> DataFrame:
 
 
 def ledger_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records, or an object that holds them under ``articles``."""
-    text = spark.read.text(path, wholetext=True)
-    trimmed = F.ltrim("value")
-    plain = F.from_json("value", f"array<struct<{schema}>>")
-    boxed = F.from_json("value", f"struct<articles:array<struct<{schema}>>>").getField("articles")
-    return text.select(F.inline(F.when(trimmed.startswith("["), plain).otherwise(boxed)))
+    """Records of a JSON array, or of an object that holds it under ``articles``; a large file is cut by many tasks."""
+    return ledgers.records(spark, path, schema)
 
 
 def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
