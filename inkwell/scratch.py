@@ -72,20 +72,14 @@ class Scratch:
         self._delete([self.path])
 
 
-#: Bytes of files up to which a table in few row groups is dealt over the cores.
-SMALL = 128 << 20
-
-
 def spread(rows: DataFrame) -> DataFrame:
-    """A freshly read table; a small one with fewer scan tasks than cores is dealt over them.
+    """A freshly read table, dealt over the cores where its scan has fewer tasks than there are cores, at any size.
 
-    A file of one row group is one task, however long its texts take. Beyond SMALL bytes the
-    scan stays as it is: a large table has tasks enough, and none of it is shuffled for this.
+    A file of one row group is one task, however long its texts take. A scan that keeps all cores
+    busy stays as it is, and nothing is shuffled for this.
     """
-    execution = rows._jdf.queryExecution()
-    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if not 1 << 20 <= size <= SMALL or execution.toRdd().getNumPartitions() >= cores:
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores)
 
