@@ -72,14 +72,19 @@ class Scratch:
         self._delete([self.path])
 
 
+#: Bytes of files from which it is worth dealing them out.
+LEAST = 1 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """A freshly read table, dealt over the cores where its scan has fewer tasks than there are cores, at any size.
+    """A freshly read table, dealt over the cores where its scan has fewer tasks than there are cores.
 
     A file of one row group is one task, however long its texts take. A scan that keeps all cores
     busy stays as it is, and nothing is shuffled for this.
     """
+    execution = rows._jdf.queryExecution()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) < LEAST or execution.toRdd().getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores)
 
