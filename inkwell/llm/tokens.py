@@ -37,7 +37,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Most bytes of ids in a frame; a longer document takes several frames.
 FRAME = 1 << 22
 #: Words of a generation that a worker remembers (it keeps two), and the longest of them in bytes.
-REMEMBERED, WORD = 600_000, 64
+REMEMBERED, WORD = 400_000, 64
 #: Marks that a tokenizer keeps apart from the letters before them (an apostrophe may join them).
 MARKS = string.punctuation.replace("'", "")
 
@@ -158,6 +158,9 @@ def _encoder(path: str, end_id: int, whole: bool) -> Encoder:
     return Encoder(path, end_id, whole)
 
 
+vec.KEPT["tokens"] = _encoder.cache_clear
+
+
 class Writer:
     """One file, document by document."""
 
@@ -266,6 +269,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, whole: bool
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_tokens": [writer.tokens]})
+        vec.release("tokens")
 
     files = scratch.table(ordered.select("id", "text").mapInArrow(run, "part long, path string, n_docs long, n_tokens long"), "files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

@@ -11,7 +11,7 @@ complement; at PART units it can, and the mixing step between parts keeps it so.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +127,18 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return WORDS.of(WORDS.prefix(raw), starts, ends)
 
 
-def release() -> None:
-    """Give freed memory back at the end of a task: a worker lives on and the next stage has needs of its own."""
+#: What modules keep for a worker's life, by name: how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(own: str = "") -> None:
+    """Give memory back at the end of a task: a worker lives on and the next stage has needs of its own.
+
+    That goes for what other operators have kept in this worker, too; ``own`` is kept for the operator's next task.
+    """
+    for name, forget in KEPT.items():
+        if name != own:
+            forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
