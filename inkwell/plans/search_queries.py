@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
-from inkwell.operators import answers, search
+from inkwell.operators import answers, search, segments
 from inkwell.plans import bindings as b
 from inkwell.plans.document_queries import _CHUNKS
 from inkwell.scratch import Scratch
@@ -30,6 +30,21 @@ def _indexed(spark, sf, filters=None):
     return search.search_index(spark, path, QUERY, filters)
 
 
+def _kept_up(spark, sf, filters=None, merge=False):
+    """An index that starts without a fifth of the documents, with old texts of a seventh and some strangers, and is then brought to the ledger."""
+    path, i = Scratch(spark, "segments").path, F.col("doc_id")
+    rows = b.searchable(b.ledger(spark, sf)).select("id", "doc_id", "publisher", "category", "priority", "published_at", "search_text")
+    old = rows.where(i % 5 != 0).withColumn("search_text", F.when(i % 7 == 3, F.concat(F.lit("the old reading of "), F.reverse("search_text"))).otherwise(F.col("search_text")))
+    strangers = rows.where(i % 11 == 0).withColumn("id", F.concat(F.lit("old-"), "id"))
+    none = rows.select("id").limit(0)
+    segments.create(old.union(strangers), path)
+    segments.update(rows.where((i % 5 == 0) | (i % 7 == 3)), none, path, 1)
+    segments.update(rows.limit(0), strangers.select("id"), path, 2)
+    if merge:
+        segments.merged(spark, path, f"{path}-merged")
+    return segments.find(spark, f"{path}-merged" if merge else path, QUERY, filters)
+
+
 def _batch(spark, sf):
     asked = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search_many(b.searchable(b.ledger(spark, sf)), asked)
@@ -84,6 +99,8 @@ QUERIES = {
     "bm25_filtered": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), QUERY, FILTERS),
     "bm25_indexed": _indexed,
     "bm25_indexed_filtered": lambda s, sf: _indexed(s, sf, FILTERS),
+    "bm25_index_kept_up": _kept_up,
+    "bm25_index_merged": lambda s, sf: _kept_up(s, sf, FILTERS, merge=True),
     "bm25_insufficient": lambda s, sf: search.search(b.searchable(b.ledger(s, sf)), ["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),
     "bm25_batch_queries": _batch,
     "chunk_search": lambda s, sf: search.search_chunks(_chunked(s, sf), QUERY),
@@ -106,6 +123,8 @@ ORACLES = {
     "chunk_search_filtered": _chunk_bm25(["the", "tion"], _WHERE),
     "bm25_indexed": _bm25(QUERY),
     "bm25_indexed_filtered": _bm25(QUERY, _WHERE),
+    "bm25_index_kept_up": _bm25(QUERY),
+    "bm25_index_merged": _bm25(QUERY, _WHERE),
     "bm25_insufficient": _bm25(["zzzz-unknown", "qqqq-unknown", "the.never", "no+such"]),
     "bm25_batch_queries": f"""WITH {b.LEDGER}, {b.SEARCHABLE},
         stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM toks),
