@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,10 @@ def write_events(events: DataFrame, folder: str, checkpoint: str):
     return lines.writeStream.format("text").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
 
 
-def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str, buckets: int = 256):
+COMPACTED = 64
+
+
+def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str, buckets: int = 256, every: int = COMPACTED):
     """Append records whose id and URL the ledger lacks, batch by batch.
 
     Ids and URL keys in use are kept beside the ledger in a table by hash bucket, and a batch
@@ -28,6 +33,11 @@ def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str, bucket
     number, so that a repeated batch replaces itself instead of appending twice. Of records
     that share an identity the first by id, then URL, then content stays; null ids and URLs
     are shared by none.
+
+    Before each batch whose number ``every`` divides, the identities of all batches before it are
+    written as one table, ``upto=<number>``; later batches read it and the few folders since. What the
+    last such table was made from goes when the next one is there, so a repeated batch finds
+    all that it read before, and there are never more than ``2 * every + 1`` folders and two tables.
     """
     spark, schema = additions.sparkSession, additions.schema
     index = f"{ledger_path.rstrip('/')}-identities"
@@ -36,27 +46,60 @@ def merge_stream(additions: DataFrame, ledger_path: str, checkpoint: str, bucket
         each = F.inline(F.array(F.struct(F.lit("id").alias("kind"), F.col("id").cast("string").alias("value")), F.struct(F.lit("url").alias("kind"), urls.merge_key(F.col("url")).alias("value"))))
         return rows.select(each).where("value is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("kind", "value"), F.lit(buckets)).cast("int"))
 
-    def written(number: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={number}")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fields = "kind string, value string, bucket int"
+
+    def written(name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/{name}")
+
+    def folders() -> dict[tuple[str, int], str]:
+        """Kind (batch, upto) and number of each whole table of identities."""
+        place = hadoop(index)
+        files = place.getFileSystem(conf)
+        names = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+        pairs = [(n, n.split("=")) for n in names if n.startswith(("batch=", "upto="))]
+        return {(kind, int(number)): f"{index}/{n}" for n, (kind, number) in pairs if files.exists(hadoop(f"{index}/{n}/_SUCCESS"))}
+
+    def before(number: int) -> tuple[int, list[str]]:
+        """Number of the last compaction before batch ``number`` (-2: none), and the tables that hold all identities up to the batch."""
+        have = folders()
+        last = max((n for kind, n in have if kind == "upto" and n <= number), default=-2)
+        return last, [path for (kind, n), path in sorted(have.items()) if (kind == "upto" and n == last) or (kind == "batch" and last <= n < number)]
+
+    def read(paths: list[str]) -> DataFrame:
+        """These tables, each by its own folder of buckets."""
+        tables = [spark.read.schema(fields).parquet(p) for p in paths]
+        return functools.reduce(DataFrame.union, tables)
+
+    def compact(number: int) -> None:
+        last, paths = before(number)
+        if last == number:
+            return
+        written(f"upto={number}", read(paths).distinct().hint("rebalance", "bucket"))
+        for (kind, n), path in folders().items():
+            if n < last:
+                hadoop(path).getFileSystem(conf).delete(hadoop(path), True)
 
     def apply(batch: DataFrame, number: int) -> None:
         own = f"{ledger_path}/batch={number}"
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index}/batch=-1/_SUCCESS")
-        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            before = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path)
-            written(-1, identities(before.where(~F.col("_metadata.file_path").rlike(r"/batch=\d+/"))))
+        if not folders():
+            ledger = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path)
+            written("batch=-1", identities(ledger.where(~F.col("_metadata.file_path").rlike(r"/batch=\d+/"))))
+        if number and number % every == 0:
+            compact(number)
         mine = identities(batch)
         asked = [r.bucket for r in mine.select("bucket").distinct().collect()]
-        known = spark.read.schema("kind string, value string, batch long, bucket int").parquet(index).where(F.col("bucket").isin(asked) & (F.col("batch") != number))
+        known = read(before(number)[1]).where(F.col("bucket").isin(asked))
         fresh = batch.withColumn("_key", urls.merge_key(F.col("url"))).withColumn("_row", F.xxhash64(*batch.columns))
         for name, kind in (("id", "id"), ("_key", "url")):
             taken = known.where(F.col("kind") == kind).select(F.col("value").alias("_taken"))
             fresh = fresh.join(taken, F.col(name).cast("string") == F.col("_taken"), "left_anti")
         for name in ("id", "_key"):
-            turn = F.row_number().over(Window.partitionBy(name).orderBy("id", "url", "_row"))
+            # Null keys are shared by none: their rows don't meet in one task.
+            turn = F.row_number().over(Window.partitionBy(name, F.when(F.col(name).isNull(), F.col("_row"))).orderBy("id", "url", "_row"))
             fresh = fresh.withColumn("_turn", turn).where(F.col(name).isNull() | (F.col("_turn") == 1))
         fresh.select(*schema.names).write.mode("overwrite").parquet(own)
-        written(number, identities(spark.read.schema(schema).parquet(own)))
+        written(f"batch={number}", identities(spark.read.schema(schema).parquet(own)))
 
     return additions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
