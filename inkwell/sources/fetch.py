@@ -1,12 +1,15 @@
-"""Fetching pages: bounded concurrency, retries of what may pass, classified outcomes."""
+"""Fetching pages: bounded concurrency and bodies, a pace by host, retries of what may pass, classified outcomes."""
 
 from __future__ import annotations
 
+import itertools
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,15 +52,88 @@ def page(url: str, get: Fetcher = over_http, attempts: int = ATTEMPTS, timeout:
 _FIELDS = {"status": pa.string(), "http": pa.int32(), "attempts": pa.int32(), "final_url": pa.string(), "content_type": pa.string(), "body": pa.string(), "error": pa.string()}
 
 
-def pages(urls: DataFrame, get: Fetcher = over_http, concurrency: int = 3, url_col: str = "url", **options) -> DataFrame:
-    """Snapshots of a table of URLs; at most ``concurrency`` requests at a time in a task."""
+def host_of(url: str) -> str:
+    try:
+        return (urllib.parse.urlsplit(url).hostname or "").lower()
+    except ValueError:
+        return ""
+
+
+class Pace:
+    """At most one request to a host every ``gap`` seconds, over the threads that share it."""
+
+    def __init__(self, gap: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep, self.next, self.lock = gap, clock, sleep, {}, threading.Lock()
+
+    def turn(self, host: str) -> None:
+        """Take the host's next place in time and wait for it."""
+        if self.gap <= 0:
+            return
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next.get(host, now))
+            self.next[host] = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+def window(urls: Iterable[str | None], fetch: Callable[[str | None], dict], concurrency: int) -> Iterator[tuple[str | None, dict]]:
+    """Each URL with its page, as pages come; a URL is started only while fewer than ``concurrency`` pages are under way or wait to be taken.
+
+    Urls are drawn as places get free: a reader that stops reading stops the requests as well.
+    """
+    left = iter(urls)
+    with ThreadPoolExecutor(concurrency) as pool:
+        running = {pool.submit(fetch, u): u for u in itertools.islice(left, concurrency)}
+        while running:
+            done, _ = wait(running, return_when=FIRST_COMPLETED)
+            for job in done:
+                url = running.pop(job)
+                yield url, job.result()
+                del job  # its body is the reader's alone now
+                running |= {pool.submit(fetch, u): u for u in itertools.islice(left, 1)}
+
+
+def pages(urls: DataFrame, get: Fetcher = over_http, concurrency: int = 3, url_col: str = "url", every: float = 0.0, host_tasks: int = 1, size: int = 1 << 20, **options) -> DataFrame:
+    """Snapshots of a table of URLs; at most ``concurrency`` requests at a time in a task.
+
+    Rows leave a task in the order in which pages come, in batches of about ``size`` bytes: what is
+    held is a batch and ``concurrency`` bodies, however many URLs a task has. With ``every``, a host's URLs
+    meet in ``host_tasks`` tasks, and the host gets one request every ``every`` seconds from all of them
+    together: each waits ``host_tasks`` times as long. A null URL fails without a request.
+    """
     if not 1 <= concurrency <= MOST:
         raise ValueError(f"concurrency must be 1 to {MOST}")
+    if every < 0 or host_tasks < 1:
+        raise ValueError("every must not be negative, host_tasks at least 1")
+    rows = urls.select(F.col(url_col))
+    if every:
+        host = F.lower(F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit("")))
+        rows = rows.withColumn("_host", host).withColumn("_part", F.pmod(F.xxhash64(url_col), F.lit(host_tasks)))
+        rows = rows.repartition("_host", "_part").select(url_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                found = list(pool.map(lambda u: page(u, get, **options), batch.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in _FIELDS.items())], [url_col, *_FIELDS])
+        pace = Pace(every * host_tasks)
+
+        def paced(url: str, timeout: float) -> tuple[int, str, str, str]:
+            if every:
+                pace.turn(host_of(url))
+            return get(url, timeout)
+
+        def one(url: str | None) -> dict:
+            return page(url, paced, **options) if url is not None else dict.fromkeys(_FIELDS) | {"status": "failed", "attempts": 0, "error": "no URL"}
+
+        def batch(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), *(pa.array([x[k] for _, x in found], t) for k, t in _FIELDS.items())], [url_col, *_FIELDS])
+
+        found, held = [], 0
+        for url, x in window((u for b in batches for u in b.column(0).to_pylist()), one, concurrency):
+            found.append((url, x))
+            held += 100 + len(x["body"] or "")
+            if held >= size:
+                yield batch(found)
+                found, held = [], 0
+        if found:
+            yield batch(found)
 
-    return urls.select(F.col(url_col)).mapInArrow(run, f"`{url_col}` string, status string, http int, attempts int, final_url string, content_type string, body string, error string")
+    return rows.mapInArrow(run, f"`{url_col}` string, status string, http int, attempts int, final_url string, content_type string, body string, error string")
