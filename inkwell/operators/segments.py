@@ -16,7 +16,8 @@ from pyspark.sql.types import IntegerType, StructType
 from inkwell.functions import text
 from inkwell.operators import search
 
-BUCKETS = search.BUCKETS
+#: Buckets of a token or an id, and groups of token buckets that are shuffled together (a divisor of them).
+BUCKETS, GROUPS = search.BUCKETS, 8
 _FIELDS = search._FIELDS
 _STATISTICS = "n long, tokens long, segment int"
 
@@ -41,7 +42,7 @@ class _Index:
         fields = fields.add("length", IntegerType())
         tail = lambda s: s.add("segment", IntegerType()).add("bucket", IntegerType())
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("segment").isin(self.segments))
-        self.postings = read("postings", tail(StructType(list(fields)).add("token", "string").add("tf", "long")))
+        self.postings = read("postings", tail(StructType(list(fields)).add("token", "string").add("tf", IntegerType())))
         self.documents = read("documents", tail(StructType().add(id_col, kind).add("length", IntegerType())))
         self.stale = read("stale", StructType().add(id_col, kind).add("length", IntegerType()).add("dead", IntegerType()).add("segment", IntegerType()))
         counts = spark.read.schema(_STATISTICS).parquet(f"{path}/statistics")
@@ -54,19 +55,34 @@ class _Index:
 
 
 def _put(rows: DataFrame, path: str, name: str, number: int, *order: str) -> None:
-    """One segment's folder of a table; by bucket where it has one. Small buckets share a task, large ones are cut."""
+    """One segment's folder of a table; by bucket, in this order, where it has buckets."""
     if not order:
         return rows.write.mode("overwrite").parquet(f"{path}/{name}/segment={number}")
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/segment={number}")
+    rows.sortWithinPartitions("bucket", *order).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}/segment={number}")
+
+
+def _postings(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a document and token. Occurrences are counted in the row: the tokens are sorted, and a run's length is its count.
+
+    What is shuffled is a row a document and group of buckets, with the keys once and the tokens as arrays.
+    Small groups share a task, large ones are cut.
+    """
+    rows = rows.withColumn("toks", F.sort_array("toks"))
+    first = F.filter(F.transform("toks", lambda t, i: F.when((i == 0) | (t != F.get("toks", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("first", first).withColumn("next", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array("length")))
+    group = lambda t: F.pmod(F.xxhash64(t), F.lit(GROUPS))
+    run = lambda x, i: F.named_struct(F.lit("token"), F.get("toks", x), F.lit("tf"), F.get("next", i) - x, F.lit("g"), group(F.get("toks", x)))
+    rows = rows.select(*keys, F.transform("first", run).alias("runs"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group"))
+    rows = rows.withColumn("runs", F.filter("runs", lambda r: r.g == F.col("group"))).where(F.size("runs") > 0)
+    dealt = rows.select(*keys, "group", F.col("runs.token").alias("token"), F.col("runs.tf").alias("tf")).hint("rebalance", "group")
+    return dealt.select(*keys, F.inline(F.arrays_zip("token", "tf"))).withColumn("bucket", _bucket("token"))
 
 
 def _texts(docs: DataFrame, path: str, number: int, id_col: str, text_col: str) -> DataFrame:
     """Write postings and documents of a batch; the documents, read back."""
     rows = docs.select(id_col, *_FIELDS, text.tokens(F.col(text_col)).alias("toks")).withColumn("length", F.size("toks"))
-    keys = [id_col, *_FIELDS, "length"]
-    postings = rows.select(*keys, F.explode("toks").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    _put(postings.withColumn("bucket", _bucket("token")), path, "postings", number, "token")
-    _put(rows.select(id_col, "length", _bucket(id_col)), path, "documents", number, id_col)
+    _put(_postings(rows, [id_col, *_FIELDS, "length"]), path, "postings", number, "token", id_col)
+    _put(rows.select(id_col, "length", _bucket(id_col)).hint("rebalance", "bucket"), path, "documents", number, id_col)
     schema = StructType().add(id_col, docs.schema[id_col].dataType).add("length", IntegerType()).add("bucket", IntegerType())
     own = docs.sparkSession.read.schema(schema).parquet(f"{path}/documents/segment={number}")
     if own.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
@@ -124,7 +140,8 @@ def find(spark: SparkSession, path: str, query_tokens: list[str], filters: dict
 def merged(spark: SparkSession, path: str, into: str, id_col: str = "id", kind: str = "string") -> None:
     """The live rows of the index at ``path`` as segment 0 of a new index at ``into``; ``path`` stays as it is."""
     index = _Index(spark, path, id_col, kind)
-    _put(index.live(index.postings).drop("segment"), into, "postings", 0, "token")
+    # Rows lie by bucket already: the scan packs small files into a task, and nothing is shuffled but for many stale rows.
+    _put(index.live(index.postings).drop("segment"), into, "postings", 0, "token", id_col)
     _put(index.live(index.documents).drop("segment"), into, "documents", 0, id_col)
     _put(index.stale.drop("segment").limit(0), into, "stale", 0)
     index.totals.coalesce(1).write.mode("overwrite").parquet(f"{into}/statistics/segment=0")
