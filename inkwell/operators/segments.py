@@ -72,9 +72,10 @@ def _postings(rows: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumn("first", first).withColumn("next", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array("length")))
     group = lambda t: F.pmod(F.xxhash64(t), F.lit(GROUPS))
     run = lambda x, i: F.named_struct(F.lit("token"), F.get("toks", x), F.lit("tf"), F.get("next", i) - x, F.lit("g"), group(F.get("toks", x)))
-    rows = rows.select(*keys, F.transform("first", run).alias("runs"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group"))
-    rows = rows.withColumn("runs", F.filter("runs", lambda r: r.g == F.col("group"))).where(F.size("runs") > 0)
-    dealt = rows.select(*keys, "group", F.col("runs.token").alias("token"), F.col("runs.tf").alias("tf")).hint("rebalance", "group")
+    # No filter stands above these columns: pushed below them it would cut the text anew for every token.
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter("runs", lambda r: r.g == g))
+    rows = rows.select(*keys, F.transform("first", run).alias("runs")).select(*keys, F.posexplode(groups).alias("group", "mine"))
+    dealt = rows.select(*keys, "group", F.col("mine.token").alias("token"), F.col("mine.tf").alias("tf")).hint("rebalance", "group")
     return dealt.select(*keys, F.inline(F.arrays_zip("token", "tf"))).withColumn("bucket", _bucket("token"))
 
 
