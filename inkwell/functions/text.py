@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LATIN = r"[a-z0-9][a-z0-9+._-]*"
-HAN = r"\p{IsHan}"
+#: Han characters; the range before the script leaves most characters of other scripts without a table search.
+HAN = r"[\x{2E80}-\x{10FFFF}&&\p{IsHan}]"
 URL = r"""https?://[^\s)>\]"']+"""
 NUMBER = r"\d+(?:[.,]\d+)*[%‰]?"
 
