@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.functions import scores, urls
+from inkwell.functions import scores, text, urls
 from inkwell.operators import archive, ledger
 from inkwell.plans import bindings as b
 
@@ -136,6 +136,39 @@ _QUEUE = f"""{b.PAIRS}, queue AS (SELECT id, publisher, id AS archive_index,
     CASE WHEN len(regexp_extract_all(source, '\\p{{Han}}')) > 0.4 * len(regexp_extract_all(source, '[A-Za-z]')) THEN 'zh' ELSE 'en' END AS source_language, length(source)::INT AS source_characters,
     CASE WHEN translation = '' THEN 'pending' WHEN id % 4 <> 0 THEN 'complete' ELSE 'invalid' END AS status FROM pairs)"""
 
+def _pointed(spark, sf):
+    """documents behind points of four dimensions, by name and in order; some lack one."""
+    i = F.col("doc_id")
+    named = F.concat(F.lit("CV "), i % 36, F.lit(", impact"), i % 26, F.when(i % 3 != 0, F.concat(F.lit(" SR\t"), i % 25)).otherwise(""), F.lit(" Evidence "), i % 16, F.lit("\n"), text.blank(F.col("text")))
+    ordered = F.concat(i % 36, F.lit("/35 "), i % 26, F.lit(" / 25, "), F.when(i % 4 != 0, F.concat(i % 25, F.lit("/25 "))).otherwise(""), i % 16, F.lit("/15\n"), text.blank(F.col("text")))
+    return b.table(spark, sf, "documents").select("doc_id", scores.labelled_dimensions(named).alias("named"), scores.ordered_dimensions(ordered).alias("ordered"))
+
+
+_NAMED = "'CV ' || doc_id % 36 || ', impact' || doc_id % 26 || CASE WHEN doc_id % 3 <> 0 THEN ' SR' || chr(9) || doc_id % 25 ELSE '' END || ' Evidence ' || doc_id % 16 || chr(10) || coalesce(text, '')"
+_ORDERED = "doc_id % 36 || '/35 ' || doc_id % 26 || ' / 25, ' || CASE WHEN doc_id % 4 <> 0 THEN doc_id % 25 || '/25 ' ELSE '' END || doc_id % 16 || '/15' || chr(10) || coalesce(text, '')"
+_POINTS = {"content": "CV|Content", "impact": "IB|Impact", "relevance": "SR|Relevance", "evidence": "ES|Evidence"}
+
+
+def _in_one(spark, sf):
+    """Digests of three makes (one by topic, one with a scale, one plain) as one table."""
+    rows = b.table(spark, sf, "documents").select(F.format_string("doc-%06d", "doc_id").alias("id"), F.col("source").alias("publisher"), F.concat(F.lit("https://example.com/a/"), "doc_id", F.lit("/?utm_source=x")).alias("source_url"), text.blank(F.col("lang")).alias("lang"))
+    topics = rows.where("lang = 'en'").withColumn("topic", F.lit("governance")).drop("lang")
+    scaled = rows.where("lang = 'fr'").withColumn("scale", F.lit(10)).drop("lang")
+    found = ledger.union_scan(topics, scaled, rows.where("lang not in ('en', 'fr')").drop("lang"))
+    return found.select("id", "publisher", "topic", "scale", urls.canonical(F.col("source_url")).alias("canonical_url"))
+
+
+def _plain_texts(spark, sf):
+    """Whole texts with white space of several scripts and markup, cleaned and escaped; digests of both."""
+    col, i = F.col("text"), F.col("doc_id")
+    wide = F.when(i % 3 == 0, F.replace(col, F.lit(" "), F.lit("\u00a0 "))).when(i % 3 == 1, F.concat(F.lit("\u3000 "), F.replace(col, F.lit("\n"), F.lit("\u2028")), F.lit("\t\u2003"))).otherwise(F.concat(F.lit("<a href='x'>\"&amp;\""), col))
+    return b.table(spark, sf, "documents").select("doc_id", F.md5(text.clean(wide)).alias("clean_md5"), F.length(text.clean(wide)).alias("clean_characters"), F.md5(text.escape_html(wide)).alias("escaped_md5"))
+
+
+_SPACES = r"[\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WIDE = "CASE doc_id % 3 WHEN 0 THEN replace(text, ' ', chr(160) || ' ') WHEN 1 THEN chr(12288) || ' ' || replace(text, chr(10), chr(8232)) || chr(9) || chr(8195) ELSE '<a href=''x''>\"&amp;\"' || text END"
+
+
 QUERIES = {
     "canonical_urls": lambda s, sf: b.table(s, sf, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.merge_key(F.col("url")).alias("merge_key"), urls.slug(F.col("url")).alias("slug")),
     "url_dedup": lambda s, sf: b.table(s, sf, "pages").groupBy(F.lower(urls.canonical(F.col("url"))).alias("key")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")),
@@ -167,6 +200,9 @@ QUERIES = {
     "create_if_missing": lambda s, sf: archive.create_if_missing(b.ledger(s, sf).where("doc_id % 2 = 0").select("id", F.lit("kept").alias("body")), b.ledger(s, sf).where("doc_id % 3 = 0").select("id", F.lit("new").alias("body"))),
     "upsert_latest": lambda s, sf: archive.upsert(b.ledger(s, sf).select("id", F.lit(1).alias("updated_at"), F.length("content").alias("characters")), b.ledger(s, sf).where("doc_id % 4 = 0").select("id", (F.col("doc_id") % 3).cast("int").alias("updated_at"), F.lit(0).alias("characters"))),
     "safe_paths": lambda s, sf: b.ledger(s, sf).select("id", archive.safe_path(F.concat(F.lit("/archive/"), "publisher", F.lit("/"), F.when(F.col("doc_id") % 5 == 0, "%2e%2e").when(F.col("doc_id") % 7 == 0, ".hidden").otherwise(F.col("id")), F.when(F.col("doc_id") % 3 == 0, "/source.md").when(F.col("doc_id") % 3 == 1, "/reader.html").otherwise("/other.js"))).alias("safe")),
+    "dimension_points": lambda s, sf: _pointed(s, sf).select("doc_id", *[F.col(f"{way}.{d}").alias(f"{way}_{d}") for way in ("named", "ordered") for d in scores.MAXIMA]),
+    "digests_in_one": _in_one,
+    "plain_texts": _plain_texts,
     "queue_entries": _queue,
     "queue_counts": lambda s, sf: archive.queue_counts(_queue(s, sf)),
     "queue_filter": lambda s, sf: archive.queue_filter(_queue(s, sf), "src3", 100, 600).where("source_language = 'en' and status != 'complete'"),
@@ -174,6 +210,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "dimension_points": f"""WITH t AS (SELECT doc_id, {_NAMED} AS named, {_ORDERED} AS listed FROM documents),
+        p AS (SELECT doc_id, {', '.join(f"TRY_CAST(nullif(regexp_extract(named, '(?i)(?:{v})[ \\t-\\r]*([0-9]+)', 1), '') AS INT) AS {k}" for k, v in _POINTS.items())},
+              regexp_extract_all(listed, '([0-9]+)[ \\t-\\r]*/[ \\t-\\r]*(?:35|25|15)', 1) AS o FROM t),
+        q AS (SELECT *, {' AND '.join(f'{k} IS NOT NULL' for k in _POINTS)} AS whole FROM p)
+        SELECT doc_id, {', '.join(f'CASE WHEN whole THEN {k} END AS named_{k}' for k in _POINTS)}, {', '.join(f'CASE WHEN len(o) >= 4 THEN o[{n + 1}]::INT END AS ordered_{k}' for n, k in enumerate(_POINTS))} FROM q""",
+    "digests_in_one": """SELECT 'doc-' || lpad(doc_id::VARCHAR, 6, '0') AS id, source AS publisher, CASE WHEN lang = 'en' THEN 'governance' END AS topic, CASE WHEN lang = 'fr' THEN 10::INT END AS scale,
+        'https://example.com/a/' || doc_id AS canonical_url FROM documents""",
+    "plain_texts": f"""WITH t AS (SELECT doc_id, coalesce({_WIDE}, '') AS w FROM documents), c AS (SELECT doc_id, w, trim(regexp_replace(w, '{_SPACES}', ' ', 'g'), ' ') AS c FROM t)
+        SELECT doc_id, md5(c) AS clean_md5, length(c)::INT AS clean_characters, md5(replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM c""",
     "canonical_urls": f"SELECT page_id, {_canon('url')} AS canonical, {_key('url')} AS merge_key, {_slug('url')} AS slug FROM pages",
     "url_dedup": f"SELECT lower({_canon('url')}) AS key, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1",
     "url_parameters": "SELECT page_id, " + ", ".join(f"regexp_extract(url, '[?&]{p}=([^&#]*)', 1) AS {p}" for p in ("page", "ref", "utm_source")) + " FROM pages",
