@@ -56,10 +56,16 @@ def migrate(articles: DataFrame, at: Column) -> DataFrame:
     )
 
 
+#: Where a word of the rules ends: before anything but an ASCII letter, digit or underscore. A letter
+#: with a mark ends it too, as in the reference and in SQL; Java's own mark goes by Unicode.
+WORD_END = "(?![0-9A-Za-z_])"
+
+
 def classify(text: Column) -> Column:
     """The first matching rule's category and domains."""
     out = F.lit(None)
     for i, (pattern, name, domains) in enumerate(RULES):
+        pattern = pattern.replace(r"\b", WORD_END)
         verdict = F.struct(F.lit(name).alias("primary"), F.array(*map(F.lit, domains)).alias("domains"))
         out = F.when(text.rlike(f"(?i){pattern}"), verdict) if i == 0 else out.when(text.rlike(f"(?i){pattern}"), verdict)
     return out.otherwise(F.struct(F.lit(DEFAULT[0]).alias("primary"), F.array(*map(F.lit, DEFAULT[1])).alias("domains")))
