@@ -15,3 +15,13 @@ def test_word_ends_are_those_of_sql(spark):
     want = {t: con.execute(f"SELECT {ledger_queries._class('t')} FROM (SELECT ? AS t)", [t]).fetchall()[0][0] for t in texts}
     assert {r.t: r.c for r in got} == want
     assert want["échré"] == "组织、人才与变革" and want["hrs"] == "AI战略与价值"
+
+
+def test_refreshed_categories_end_words_as_sql(spark):
+    """Records are classified by the same step: a title whose word ends before a marked letter."""
+    columns = "candidate_id long, url string, publisher string, status string, reason string, published_at string, inspected_title string"
+    candidates = spark.createDataFrame([(1, "https://a.example/x", "a.example", "included", None, None, "Chré éauxeau")], columns)
+    overrides = spark.createDataFrame([], "url string, title_zh string, title_original string")
+    existing = spark.createDataFrame([], "publisher string, archive_index int")
+    row = ledger.refresh(candidates, overrides, existing).toArrow().to_pylist()[0]
+    assert "组织、人才与变革" in row.values()
