@@ -25,3 +25,14 @@ def test_refreshed_categories_end_words_as_sql(spark):
     existing = spark.createDataFrame([], "publisher string, archive_index int")
     row = ledger.refresh(candidates, overrides, existing).toArrow().to_pylist()[0]
     assert "组织、人才与变革" in row.values()
+
+
+def test_facts_are_those_of_the_list(spark, tmp_path):
+    """An opening line with a number and a unit adds none to the list's facts."""
+    rows = [(i, 'the token = "373e80f4"', "en", "s1", 1) for i in range(3)] + [(3, "4486733645976649 wh of", "en", "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = editorial_queries.QUERIES["numeric_facts"](spark, str(tmp_path)).toArrow().to_pylist()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(editorial_queries.ORACLES["numeric_facts"]).fetchall()
+    assert sorted((r["id"], r["number"], r["qualifier"]) for r in got) == sorted(want)
