@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import ledger, search
-from inkwell.plans import editorial_queries, ledger_queries
+from inkwell.plans import editorial_queries, ledger_queries, search_queries
 
 
 def test_word_ends_are_those_of_sql(spark):
@@ -55,3 +55,9 @@ def test_a_batch_of_queries_loses_no_answer(spark, seed):
     assert sorted((r["query_id"], r["id"], r["publisher"], r["score"], r["matched"], r["rank"]) for r in got if r["rank"]) == sorted(want)
     assert search.search_many(docs.limit(0), spark.createDataFrame(asked, "query_id int, query string")).count() == 0
     assert search.search_many(docs, spark.createDataFrame(asked, "query_id int, query string").limit(0)).count() == 0
+
+
+def test_no_score_of_a_batch_is_shuffled(spark):
+    """What is shuffled of a batch of queries is what each task passes on, not a row a posting."""
+    plan = search_queries.QUERIES["bm25_batch_queries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "token" not in plan
