@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import ledger, search
-from inkwell.plans import editorial_queries, ledger_queries, search_queries
+from inkwell.plans import editorial_queries, ledger_queries, library_queries, search_queries
 
 
 def test_word_ends_are_those_of_sql(spark):
@@ -61,3 +61,14 @@ def test_no_score_of_a_batch_is_shuffled(spark):
     """What is shuffled of a batch of queries is what each task passes on, not a row a posting."""
     plan = search_queries.QUERIES["bm25_batch_queries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "token" not in plan
+
+
+def _plan(name, spark):
+    return library_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_of_libraries_are_not_broadcast(spark):
+    """Forty sources a library grow with the libraries; their size is hidden from the planner."""
+    for name in ("library_errors", "library_build"):
+        assert "BroadcastExchange" not in _plan(name, spark), name
+    assert _plan("library_errors", spark).count("Window") <= 8  # built once, not once a rule
