@@ -110,5 +110,8 @@ def status_stream(events: DataFrame, delay: str = "1 hour", window: str = "1 day
 
 
 def keep_complete(counts: DataFrame, path: str, checkpoint: str):
-    """The whole small result after each batch, in one folder that is replaced."""
-    return counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.coalesce(1).write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The whole small result after each batch, in one folder that is replaced.
+
+    The small result is dealt to one task; the counting before it keeps a task for each part of the state.
+    """
+    return counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.repartition(1).write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import ledger, search
 from inkwell.plans import editorial_queries, ledger_queries, library_queries, search_queries
+from inkwell.streaming import runs
 
 
 def test_word_ends_are_those_of_sql(spark):
@@ -72,3 +73,15 @@ def test_sources_of_libraries_are_not_broadcast(spark):
     for name in ("library_errors", "library_build"):
         assert "BroadcastExchange" not in _plan(name, spark), name
     assert _plan("library_errors", spark).count("Window") <= 8  # built once, not once a rule
+
+
+def test_counting_keeps_a_task_for_each_part_of_the_state(spark, tmp_path):
+    """One task for all parts holds the memory of all of them at once."""
+    spark.sql("select timestamp'2026-01-01 10:00:00' as ts, 'a' as event_type from range(20)").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    query = runs.keep_complete(runs.status_stream(stream), str(tmp_path / "out"), str(tmp_path / "mark"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup(str(query.runId)) for i in tracker.getJobInfo(job).stageIds]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in [s.numTasks for s in stages if s]
+    assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [20]
