@@ -16,8 +16,8 @@ from pyspark.sql.types import IntegerType, StructType
 from inkwell.functions import text
 from inkwell.operators import search
 
-#: Buckets of a token or an id, and groups of token buckets that are shuffled together (a divisor of them).
-BUCKETS, GROUPS = search.BUCKETS, 8
+#: Buckets of a token or an id.
+BUCKETS = search.BUCKETS
 _FIELDS = search._FIELDS
 _STATISTICS = "n long, tokens long, segment int"
 
@@ -61,34 +61,14 @@ def _put(rows: DataFrame, path: str, name: str, number: int, *order: str) -> Non
     rows.sortWithinPartitions("bucket", *order).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}/segment={number}")
 
 
-def _postings(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a document and token, and one of the empty token for the document itself. Occurrences are counted in the row: the tokens are sorted, and a run's length is its count.
-
-    What is shuffled is a row a document and group of buckets, with the keys once and the tokens as arrays.
-    Small groups share a task, large ones are cut.
-    """
-    rows = rows.withColumn("toks", F.sort_array(F.concat("toks", F.array(F.lit("")))))
-    first = F.filter(F.transform("toks", lambda t, i: F.when((i == 0) | (t != F.get("toks", i - 1)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("first", first).withColumn("next", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(F.size("toks"))))
-    # Arrays that an element's function reads are columns used twice or arguments: one used once, inside, would be made anew for each element.
-    run = lambda x: F.named_struct(F.lit("token"), F.get("toks", x["first"]), F.lit("tf"), x["next"] - x["first"], F.lit("g"), F.pmod(F.xxhash64(F.get("toks", x["first"])), F.lit(GROUPS)))
-    rows = rows.select(*keys, F.transform(F.arrays_zip("first", "next"), run).alias("runs"))
-    mine = lambda g: F.filter("runs", lambda r: r.g == g)
-    groups = F.array(*[mine(g) for g in range(GROUPS)])
-    # No filter stands above these columns: pushed below them it would cut the text anew for every token.
-    rows = rows.select(*keys, F.posexplode(groups).alias("group", "mine"))
-    dealt = rows.select(*keys, "group", F.col("mine.token").alias("token"), F.col("mine.tf").alias("tf")).hint("rebalance", "group")
-    return dealt.select(*keys, F.inline(F.arrays_zip("token", "tf"))).withColumn("bucket", _bucket("token"))
-
-
 def _texts(docs: DataFrame, path: str, number: int, id_col: str, text_col: str) -> DataFrame:
     """Write postings and documents of a batch; the documents, read back. Texts are cut into tokens once: the documents come from the empty token's postings."""
     rows = docs.select(id_col, *_FIELDS, text.tokens(F.col(text_col)).alias("toks")).withColumn("length", F.size("toks"))
-    _put(_postings(rows, [id_col, *_FIELDS, "length"]), path, "postings", number, "token", id_col)
+    _put(search.counted(rows, [id_col, *_FIELDS, "length"], whole=True), path, "postings", number, "token", id_col)
     kind = docs.schema[id_col].dataType
     fields = StructType().add(id_col, kind).add("length", IntegerType())
     read = lambda name, schema: docs.sparkSession.read.schema(schema.add("bucket", IntegerType())).parquet(f"{path}/{name}/segment={number}")
-    whole = read("postings", StructType(list(fields)).add("token", "string")).where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("token") == ""))
+    whole = read("postings", StructType(list(fields)).add("token", "string")).where(search.in_buckets(docs.sparkSession, [""]))
     _put(whole.select(id_col, "length", _bucket(id_col)).hint("rebalance", "bucket"), path, "documents", number, id_col)
     own = read("documents", fields)
     if own.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():

@@ -85,3 +85,12 @@ def test_counting_keeps_a_task_for_each_part_of_the_state(spark, tmp_path):
     stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup(str(query.runId)) for i in tracker.getJobInfo(job).stageIds]
     assert int(spark.conf.get("spark.sql.shuffle.partitions")) in [s.numTasks for s in stages if s]
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [20]
+
+
+def test_postings_are_counted_before_they_are_shuffled(spark):
+    """A row a document and group of buckets is shuffled, not a row a posting or occurrence."""
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", [])], "id string, toks array<string>")
+    got = search.counted(rows, ["id"], whole=True)
+    assert sorted((r.id, r.token, r.tf) for r in got.collect()) == [("a", "", 1), ("a", "x", 2), ("a", "y", 1), ("b", "", 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ") and "Aggregate" not in plan
