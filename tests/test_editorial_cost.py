@@ -31,3 +31,8 @@ def test_letters_that_equal_others_but_for_case_are_found():
     assert key("3 ſeconds and 4 Kg") == [("3", "unit:second"), ("4", "unit:kg")]
     for _, _, name, _, local, needles in qualifiers._DEFINITIONS:
         assert needles or local, name
+
+
+def test_issues_scan_equal_baselines_once(scans):
+    found = editorial.issues(None, "o", "b", "e")(TEXT, TEXT, TEXT)
+    assert found == [] and len(scans) == 2  # the text, which is the edit as well, and it without furniture
