@@ -2,7 +2,7 @@
 
 import pytest
 
-from inkwell.functions import drafts, qualifiers
+from inkwell.functions import drafts, markdown, qualifiers
 from inkwell.operators import editorial
 
 TEXT = "# H\n\nShare\n\n- 5 km\n\nSee 7% of 12 `x`.\n"
@@ -36,3 +36,10 @@ def test_letters_that_equal_others_but_for_case_are_found():
 def test_issues_scan_equal_baselines_once(scans):
     found = editorial.issues(None, "o", "b", "e")(TEXT, TEXT, TEXT)
     assert found == [] and len(scans) == 2  # the text, which is the edit as well, and it without furniture
+
+
+def test_polishing_looks_for_each_texts_facts_once(monkeypatch):
+    seen, facts = [], markdown.facts
+    monkeypatch.setattr(markdown, "facts", lambda text: seen.append(text) or facts(text))
+    assert ("missing_fact", "5|unit:km", 1) in markdown.polished(TEXT, TEXT, TEXT.replace("5 km", "5"))
+    assert len(seen) == 2  # the text without furniture and the edit
