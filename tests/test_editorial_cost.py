@@ -4,6 +4,7 @@ import pytest
 
 from inkwell.functions import drafts, markdown, qualifiers
 from inkwell.operators import editorial
+from inkwell.sources import adapters, digests
 
 TEXT = "# H\n\nShare\n\n- 5 km\n\nSee 7% of 12 `x`.\n"
 
@@ -43,3 +44,16 @@ def test_polishing_looks_for_each_texts_facts_once(monkeypatch):
     monkeypatch.setattr(markdown, "facts", lambda text: seen.append(text) or facts(text))
     assert ("missing_fact", "5|unit:km", 1) in markdown.polished(TEXT, TEXT, TEXT.replace("5 km", "5"))
     assert len(seen) == 2  # the text without furniture and the edit
+
+
+def test_a_digest_is_parsed_once_and_a_selector_read_once(spark, monkeypatch):
+    seen = []
+    html = "<title>D</title>" + "".join(f"<article class='article-card' data-radar-id='r{k}'><h3>T{k}</h3><footer><a href='https://x.example/{k}'>s</a></footer></article>" for k in range(1200))
+    parsed = adapters.tree(html)
+    monkeypatch.setattr(digests.re, "fullmatch", lambda *a, f=digests.re.fullmatch: seen.append(a) or f(*a))
+    digests._selector.cache_clear()
+    assert len(parsed.find("article.article-card")) == len(parsed.find("h3")) == 1200
+    assert len(seen) == 2
+    assert adapters.records(parsed, "mit", "MIT") == adapters.records(html, "mit", "MIT")
+    rows = spark.createDataFrame([("a", html, "mit", "MIT", "D", 1200), ("b", "<title>D</title>", "mit", "MIT", "D", 0)], "digest string, html string, adapter string, publisher string, title string, expected int")
+    assert adapters.scan(rows).groupBy("digest").count().collect() == [("a", 1200)]
