@@ -58,15 +58,20 @@ def paragraph_count(col: Column) -> Column:
     return F.size(F.filter(blocks, lambda b: (b != "") & ~b.rlike(r"^#{1,6}\s")))
 
 
+def characters(col: Column, kind: str) -> Column:
+    """How many characters are of a class; ``regexp_count`` would make an array of all of them."""
+    return F.length(col) - F.length(F.regexp_replace(col, f"{kind}+", ""))
+
+
 def han_ratio(col: Column, drop_urls: bool = False) -> Column:
     """Han characters among letters and digits; 0 where there are none."""
     text = F.regexp_replace(blank(col), URL, "") if drop_urls else blank(col)
-    return F.coalesce(F.regexp_count(text, F.lit(HAN)) / F.nullif(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")), F.lit(0)), F.lit(0.0))
+    return F.coalesce(characters(text, HAN) / F.nullif(characters(text, r"[\p{L}\p{N}]"), F.lit(0)), F.lit(0.0))
 
 
 def source_language(col: Column) -> Column:
     """zh where Han characters outnumber 0.4 times the Latin letters, else en."""
-    return F.when(F.regexp_count(blank(col), F.lit(HAN)) > 0.4 * F.regexp_count(blank(col), F.lit("[A-Za-z]")), "zh").otherwise("en")
+    return F.when(characters(blank(col), HAN) > 0.4 * characters(blank(col), "[A-Za-z]"), "zh").otherwise("en")
 
 
 def first_paragraph(col: Column, least: int = 20, most: int = 260) -> Column:

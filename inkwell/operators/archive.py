@@ -90,18 +90,27 @@ def upsert(base: DataFrame, patches: DataFrame, key: str = "id", order: str = "u
     return both.withColumn("turn", F.row_number().over(last)).where("turn = 1").drop("turn", "source_rank")
 
 
+def _status(pending: Column, verified: Column) -> Column:
+    return F.when(pending, "pending").when(verified, "complete").otherwise("invalid").alias("status")
+
+
+def _source() -> list[Column]:
+    return [text.source_language(F.col("source")).alias("source_language"), F.length(F.coalesce("source", F.lit(""))).alias("source_characters")]
+
+
 def queue(pairs: DataFrame) -> DataFrame:
     """Queue state of (id, source, translation, verified): pending without a translation, else complete or invalid."""
-    status = F.when(F.coalesce("translation", F.lit("")) == "", "pending").when(F.col("verified"), "complete").otherwise("invalid")
-    return pairs.select("id", "publisher", "archive_index", text.source_language(F.col("source")).alias("source_language"), F.length(F.coalesce("source", F.lit(""))).alias("source_characters"), status.alias("status"))
+    return pairs.select("id", "publisher", "archive_index", *_source(), _status(F.coalesce("translation", F.lit("")) == "", F.col("verified")))
 
 
 def queue_checked(pairs: DataFrame) -> DataFrame:
     """Queue state of (id, publisher, archive_index, source, translation) with the verdict of the translation's own check, and what it found wrong."""
-    checked = translation.verify(pairs.where("coalesce(trim(translation), '') != ''")).select("id", F.col("ok").alias("verified"), F.array_join("errors", ",").alias("errors"))
-    rows = pairs.select("id", "publisher", "archive_index", "source", F.when(F.trim("translation") != "", F.col("translation")).alias("translation")).join(checked.hint("merge"), "id", "left")
-    state = queue(rows)
-    return state.join(checked.select("id", "errors").hint("merge"), "id", "left").withColumn("errors", F.when(F.col("status") == "invalid", F.col("errors")))
+    done = F.coalesce(F.trim("translation") != "", F.lit(False))
+    # What the queue says of a row goes through the check with it; an untranslated one has no text there.
+    rows = pairs.select("id", "publisher", "archive_index", *_source(), (~done).alias("pending"), F.when(done, F.col("source")).alias("source"), F.when(done, F.col("translation")).alias("translation"))
+    said = ["publisher", "archive_index", "source_language", "source_characters"]
+    checked = translation.verify(rows, keep=[*said, "pending"]).select("id", *said, _status(F.col("pending"), F.col("ok")), F.array_join("errors", ",").alias("errors"))
+    return checked.withColumn("errors", F.when(F.col("status") == "invalid", F.col("errors")))
 
 
 def workers(n: int, most: int = 12) -> int:

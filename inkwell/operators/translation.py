@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text
@@ -14,12 +14,12 @@ from inkwell.functions import text
 COVERAGE, RATIO, CHUNK_RATIO, SHORT = 0.8, 0.12, 0.05, 0.25
 
 
-def verify(pairs: DataFrame, ratio: float = RATIO, drop_urls: bool = False) -> DataFrame:
-    """Measurements, errors and warnings of each (id, source, translation)."""
+def verify(pairs: DataFrame, ratio: float = RATIO, drop_urls: bool = False, keep: Sequence[str | Column] = ()) -> DataFrame:
+    """Measurements, errors and warnings of each (id, source, translation), and what ``keep`` names of its row."""
     s, t = F.col("source"), F.col("translation")
     plain = lambda xs: F.transform(xs, lambda x: F.regexp_replace(x, "[%‰]$", ""))
     rows = pairs.select(
-        "id", text.heading_count(s).alias("source_headings"), text.heading_count(t).alias("headings"),
+        "id", *keep, text.heading_count(s).alias("source_headings"), text.heading_count(t).alias("headings"),
         text.urls(s).alias("source_urls"), text.urls(t).alias("urls"), plain(text.numbers(s)).alias("source_numbers"), plain(text.numbers(t)).alias("numbers"),
         text.paragraph_count(s).alias("source_paragraphs"), text.paragraph_count(t).alias("paragraphs"),
         text.han_ratio(t, drop_urls).alias("han_ratio"), F.length(text.blank(s)).alias("source_length"), F.length(text.blank(t)).alias("length"),
