@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.scratch import bounded_batches, slices
+
 TARGET, OVERLAP, LEAST = 1500, 150, 0.6
 ROOT, SEPARATOR = "正文", " › "
 SPLIT = 12_000
@@ -82,10 +84,11 @@ def packed(source: str | None, most: int = SPLIT) -> list[str]:
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], list[tuple]], names: list[str], types: list[pa.DataType], ddl: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each tuple that ``make`` gives for a text, with the text's id and the columns in ``keep``."""
+    bounded_batches(docs.sparkSession)
     kept = [docs.schema[c] for c in (id_col, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for part in make(text):
