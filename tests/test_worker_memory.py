@@ -26,3 +26,9 @@ def test_sections_leave_a_worker_in_slices(function):
     chunks.chunk(docs, "id", "text", 1_000_000)
     assert passed(found[0]) <= 100
     assert int(docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_chunks_leave_a_worker_in_slices(function):
+    docs, found = function
+    chunks.chunk(docs, "id", "text")
+    assert passed(found[0]) <= 100
