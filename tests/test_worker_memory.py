@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from inkwell.operators import chunks
+from inkwell.operators import chunks, editorial
 
 
 @pytest.fixture
@@ -11,7 +11,7 @@ def function(spark, monkeypatch):
     """The function that an operator hands to mapInArrow, and a table."""
     docs = spark.createDataFrame([(1, "a")], "id long, text string")
     found = []
-    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: found.append(run) or self.withColumns({"chunk_no": self[self.columns[0]], "content": self[self.columns[0]]}))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: found.append(run) or self.withColumns({"chunk_no": self[self.columns[0]], "content": self[self.columns[0]].cast("string")}))
     return docs, found
 
 
@@ -32,3 +32,9 @@ def test_chunks_leave_a_worker_in_slices(function):
     docs, found = function
     chunks.chunk(docs, "id", "text")
     assert passed(found[0]) <= 100
+
+
+def test_reader_pages_leave_a_worker_in_slices(function):
+    docs, found = function
+    editorial.rows_of(docs, ["text"], lambda t: [(t,)], {"html": "string"})
+    assert passed(found[0]) <= 100
