@@ -75,6 +75,15 @@ def test_sources_of_libraries_are_not_broadcast(spark):
     assert _plan("library_errors", spark).count("Window") <= 8  # built once, not once a rule
 
 
+@pytest.mark.parametrize("name", ["library_by_date"])
+def test_a_library_run_broadcasts_nothing(spark, name):
+    """Small rows tempt the planner to broadcast while it runs: the plan that ran is read, not the first one."""
+    rows = library_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.collect()
+    ran = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in ran and "Broadcast" not in ran
+
+
 def test_counting_keeps_a_task_for_each_part_of_the_state(spark, tmp_path):
     """One task for all parts holds the memory of all of them at once."""
     spark.sql("select timestamp'2026-01-01 10:00:00' as ts, 'a' as event_type from range(20)").write.parquet(str(tmp_path / "in"))
