@@ -75,7 +75,7 @@ def test_sources_of_libraries_are_not_broadcast(spark):
     assert _plan("library_errors", spark).count("Window") <= 8  # built once, not once a rule
 
 
-@pytest.mark.parametrize("name", ["library_by_date", "library_build", "library_shared_ids", "library_pilots", "library_by_number"])
+@pytest.mark.parametrize("name", ["library_by_date", "library_build", "library_shared_ids", "library_pilots", "library_by_number", "library_filter"])
 def test_a_library_run_broadcasts_nothing(spark, name):
     """Small rows tempt the planner to broadcast while it runs: the plan that ran is read, not the first one."""
     rows = library_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
