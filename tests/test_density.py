@@ -55,6 +55,17 @@ def test_open_paragraphs_and_items_end_where_the_next_begins():
     assert len(deep.children) == 5000
 
 
+def test_an_article_of_short_paragraphs_only_is_whole():
+    # As its lines are all too short to count, what the names rule out was the only paragraph.
+    ad, lines = f'<div class="ad">{PROSE}</div>', [f"Line {i} of many." for i in range(60)]
+    for body in ("<div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>", "".join(f"<p><b>{x}<br>" for x in lines)):
+        assert found(ad + body) == ["".join(lines)]
+        got = digests.extracted(page(f"<nav>menu</nav>{ad}{body}<footer>end</footer>"), "", "")
+        assert (got["status"], got["method"], got["character_count"], got["paragraph_count"]) == ("extracted", "readability", len("".join(lines)), 60)
+        assert got["markdown"].count("\n\n") == 59 and all(x in got["markdown"] for x in lines)
+    assert found(f"{ad}<p>Too short.</p>")[0].startswith(PROSE.strip())
+
+
 def plain_points(root):
     """Points by element, each summed over all paragraphs below it, from their definition."""
     parent = {c: p for p in root.iter() for c in p}
